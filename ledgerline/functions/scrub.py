@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 # The mask and the three patterns it applies to.
 MASK = "[REDACTED]"
-SECRET_KEY_PATTERN = "(?i)(token|password|secret|private[_-]?key|authorization|credential)"
-CONNECTION_PATTERN = "(?i)(postgres(?:ql)?|https?)://[^\\s\"']+"
-BEARER_PATTERN = "(?i)bearer\\s+[a-z0-9._~+/-]+"
+SECRET_KEY_PATTERN = "(?iU)(token|password|secret|private[_-]?key|authorization|credential)"
+CONNECTION_PATTERN = "(?iU)(postgres(?:ql)?|https?)://[^\\s\"']+"
+BEARER_PATTERN = "(?iU)bearer\\s+[a-z0-9._~+/-]+"
 
 
 def scrub_text(text: Column | str) -> Column:

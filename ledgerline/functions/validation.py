@@ -26,6 +26,7 @@ MESSAGE_LIMIT = 1000
 
 _STRIP = r"(?U)^\s+|\s+$"
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+_NUMBER_KINDS = "^(BIGINT|DOUBLE|FLOAT|DECIMAL.*|STRING)$"
 _WHOLE_TEXT = r"^\s*[+-]?\d+(\.0*)?\s*$"
 _UUID = r"^(urn:uuid:)?([0-9a-f]{8}-([0-9a-f]{4}-){3}[0-9a-f]{12}|[0-9a-f]{32})$"
 _BRACED_UUID = r"^\{[0-9a-f]{8}-([0-9a-f]{4}-){3}[0-9a-f]{12}\}$"
@@ -36,50 +37,55 @@ _MONEY_LIMIT = 10**16  # numeric(18,2) holds sixteen digits before the point
 _INT_LIMIT = 2**31
 
 
-# --- reading one JSON value -------------------------------------------------------------
+# --- one JSON value ---------------------------------------------------------------------
 
 
-def _kind(value: Column) -> Column:
-    return F.schema_of_variant(value)
-
-
-def _text(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "string")
-
-
-def _is_text(value: Column) -> Column:
-    return F.coalesce(_kind(value) == "STRING", F.lit(False))
-
-
-def _stripped(value: Column) -> Column:
-    return F.regexp_replace(_text(value), _STRIP, "")
-
-
-def _is_absent_or_null(value: Column) -> Column:
-    return value.isNull() | F.is_variant_null(value)
-
-
-def _is_numeric(value: Column) -> Column:
-    plain = _kind(value).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*|STRING)$")
-    return F.coalesce(plain & _text(value).rlike(_NUMBER), F.lit(False))
-
-
-def _whole(value: Column) -> Column:
-    """Whole number of a JSON number, boolean or digit text; NULL for anything else."""
-    number = F.expr("CAST(NULL AS DECIMAL(38,9))")
-    wide = _text(value).try_cast("decimal(38,9)")
-    from_text = (_kind(value) == "STRING") & _text(value).rlike(_WHOLE_TEXT)
-    from_number = (_kind(value) != "STRING") & _is_numeric(value) & (wide == F.floor(wide))
-    from_flag = _kind(value) == "BOOLEAN"
-    return (
-        F.when(from_flag, (_text(value) == "true").cast("int").cast("decimal(38,9)"))
-        .when(from_text | from_number, wide)
-        .otherwise(number)
-    )
+@dataclass(frozen=True)
+class Value:
+    """The kind and text of one JSON value, held in two columns computed once per record."""
 
+    name: str
 
-def _amount_sign(value: Column) -> Column:
-    return F.when(_is_numeric(value), _text(value).try_cast("double"))
+    @property
+    def kind(self) -> Column:
+        """Variant type name; NULL when the field is absent, VOID for a JSON null."""
+        return F.col(f"_kind_{self.name}")
+
+    @property
+    def text(self) -> Column:
+        return F.col(f"_text_{self.name}")
+
+    @property
+    def is_text(self) -> Column:
+        return self.kind == "STRING"
+
+    @property
+    def is_absent(self) -> Column:
+        return self.kind.isNull()
+
+    @property
+    def is_absent_or_null(self) -> Column:
+        return self.kind.isNull() | (self.kind == "VOID")
+
+    @property
+    def stripped(self) -> Column:
+        return F.regexp_replace(self.text, _STRIP, "")
+
+    @property
+    def number(self) -> Column:
+        """Double of a JSON number or number-like text; NULL for anything else."""
+        plain = self.kind.rlike(_NUMBER_KINDS) & self.text.rlike(_NUMBER)
+        return F.when(plain, self.text.try_cast("double"))
+
+    @property
+    def whole(self) -> Column:
+        """Whole number of a JSON number, boolean or digit text; NULL for anything else."""
+        wide = self.text.try_cast("decimal(38,9)")
+        digits = self.is_text & self.text.rlike(_WHOLE_TEXT)
+        number = ~self.is_text & self.kind.rlike(_NUMBER_KINDS) & (wide == F.floor(wide))
+        return F.when(self.kind == "BOOLEAN", (self.text == "true").cast("decimal(38,9)")).when(
+            digits | number, wide
+        )
 
 
 def normalised_uuid(text: Column) -> Column:
@@ -104,47 +110,46 @@ def aware_timestamp(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class Rule:
-    """A named check on one JSON value; NULL or false means the rule is broken."""
+    """A named check on one field; NULL or false means the rule is broken."""
 
     name: str
-    holds: Callable[[Column], Column]
+    holds: Callable[[Value], Column]
     optional: bool = False
 
-    def message(self, location: str, value: Column) -> Column:
-        passed = F.coalesce(self.holds(value), F.lit(False))
+    def message(self, location: str, field: Value) -> Column:
+        passed = F.coalesce(self.holds(field), F.lit(False))
         if self.optional:
-            passed = _is_absent_or_null(value) | passed
+            passed = field.is_absent_or_null | passed
         return F.when(~passed, F.lit(f"{location}: {self.name}"))
 
 
 def _one_of(allowed: Sequence[str]) -> Rule:
     return Rule(
         f"must be one of {', '.join(allowed)}",
-        lambda value: _is_text(value) & _text(value).isin(*allowed),
+        lambda field: field.is_text & field.text.isin(*allowed),
     )
 
 
-def _filled(value: Column) -> Column:
-    return _is_text(value) & (F.length(_stripped(value)) > 0)
+def _filled(field: Value) -> Column:
+    """Stripped text is not empty, that is, some character is not white space."""
+    return field.is_text & field.text.rlike(r"(?U)\S")
 
 
-def _starts_with_slash(value: Column) -> Column:
-    return _is_text(value) & _text(value).startswith("/")
+def _starts_with_slash(field: Value) -> Column:
+    return field.is_text & field.text.startswith("/")
 
 
 TEXT = Rule("must be non-empty text", _filled)
 OPTIONAL_TEXT = Rule("must be non-empty text", _filled, optional=True)
-OPTIONAL_ANY_TEXT = Rule("must be text", _is_text, optional=True)
-POSITIVE_WHOLE = Rule("must be a whole number above 0", lambda value: _whole(value) > 0)
-NON_NEGATIVE_WHOLE = Rule(
-    "must be a whole number of at least 0", lambda value: _whole(value) >= 0
-)
+OPTIONAL_ANY_TEXT = Rule("must be text", lambda field: field.is_text, optional=True)
+POSITIVE_WHOLE = Rule("must be a whole number above 0", lambda field: field.whole > 0)
+NON_NEGATIVE_WHOLE = Rule("must be a whole number of at least 0", lambda field: field.whole >= 0)
 STATUS_CODE = Rule(
-    "must be a whole number from 100 to 599", lambda value: _whole(value).between(100, 599)
+    "must be a whole number from 100 to 599", lambda field: field.whole.between(100, 599)
 )
 POSITIVE_AMOUNT = Rule(
     "must be a number above 0",
-    lambda value: (_amount_sign(value) > 0) & (_amount_sign(value) < float("inf")),
+    lambda field: (field.number > 0) & (field.number < float("inf")),
 )
 ENDPOINT = Rule("must start with /", _starts_with_slash)
 OPTIONAL_ENDPOINT = Rule("must start with /", _starts_with_slash, optional=True)
@@ -223,22 +228,46 @@ def decode(raw: DataFrame, family: Family) -> DataFrame:
     """Decode raw records and attach ``error_type``, ``error_message`` and typed fields."""
     fields = _payload_fields(family)
     opened = _open_json(raw)
-    values = opened.withColumns(
+    read = opened.withColumns(
         {
-            **{f"_e_{name}": F.try_element_at("_envelope", F.lit(name)) for name in ENVELOPE_FIELDS},
-            **{f"_p_{name}": F.try_element_at("_payload", F.lit(name)) for name in fields},
+            **_read_fields("_envelope", [name for name in ENVELOPE_FIELDS if name != "payload"], "e_"),
+            **_read_fields("_payload", fields, "p_"),
         }
     )
-    typed = values.withColumns(_typed_columns(family, fields))
+    typed = read.withColumns(_typed_columns(family, fields))
     checked = typed.withColumns(
         {"_broken": _broken_rules(family), "_too_wide": _storage_violations(fields)}
     )
     verdict = checked.withColumns(_verdict(family))
-    keep = [name for name in typed.columns if not name.startswith("_")]
-    return verdict.select(*keep, "error_type", "error_message", *_DLQ_INPUTS)
+    kept = [name for name in typed.columns if not name.startswith("_")]
+    return _evaluated_once(verdict.select(*kept, "error_type", "error_message"))
+
 
+def _read_fields(map_column: str, names: Sequence[str], prefix: str) -> dict[str, Column]:
+    columns = {}
+    for name in names:
+        found = F.try_element_at(map_column, F.lit(name))
+        columns[f"_kind_{prefix}{name}"] = F.schema_of_variant(found)
+        columns[f"_text_{prefix}{name}"] = F.try_variant_get(found, "$", "string")
+    return columns
 
-_DLQ_INPUTS = ("payload_text", "payload_is_json", "dlq_event_id")
+
+def _envelope_value(name: str) -> Value:
+    return Value(f"e_{name}")
+
+
+def _payload_value(name: str) -> Value:
+    return Value(f"p_{name}")
+
+
+def _evaluated_once(rows: DataFrame) -> DataFrame:
+    """The same rows behind a generator.
+
+    A later filter on ``error_type`` would otherwise be pushed below the projections, and its
+    copy of every nested rule makes the plan explode. Filters do not move below a generator.
+    """
+    record = F.explode_outer(F.array(F.struct(*rows.columns))).alias("_record")
+    return rows.select(record).select("_record.*")
 
 
 def _payload_fields(family: Family) -> list[str]:
@@ -280,12 +309,6 @@ def _open_json(raw: DataFrame) -> DataFrame:
                 # A JSON null decodes to nothing and is kept as text.
                 "payload_is_json": F.coalesce(~F.is_variant_null("_json"), F.lit(False))
                 & F.col("_json").isNotNull(),
-                "dlq_event_id": _lenient_uuid(
-                    F.when(
-                        F.col("_envelope").isNotNull(),
-                        _text(F.try_element_at("_envelope", F.lit("event_id"))),
-                    )
-                ),
             }
         )
     )
@@ -298,80 +321,72 @@ def _lenient_uuid(text: Column) -> Column:
 
 
 def _event_type(family: Family) -> Column:
-    value = F.col("_e_event_type")
-    text = F.when(_is_text(value), _text(value))
+    field = _envelope_value("event_type")
+    text = F.when(field.is_text, field.text)
     if family.default_type is None:
         return text
-    return F.when(value.isNull(), F.lit(family.default_type)).otherwise(text)
+    return F.when(field.is_absent, F.lit(family.default_type)).otherwise(text)
 
 
 def _typed_columns(family: Family, fields: Sequence[str]) -> dict[str, Column]:
     """Stored form of each field; the verdict decides whether a row may use them."""
+    event_id, event_time = _envelope_value("event_id"), _envelope_value("event_time")
     typed = {
         "event_type": _event_type(family),
-        "event_id": normalised_uuid(
-            F.when(_is_text(F.col("_e_event_id")), _text(F.col("_e_event_id")))
-        ),
-        "event_time": aware_timestamp(
-            F.when(_is_text(F.col("_e_event_time")), _text(F.col("_e_event_time")))
-        ),
-        "source": _stripped(F.col("_e_source")),
+        "event_id": normalised_uuid(F.when(event_id.is_text, event_id.text)),
+        "dlq_event_id": _lenient_uuid(event_id.text),
+        "event_time": aware_timestamp(F.when(event_time.is_text, event_time.text)),
+        "source": _envelope_value("source").stripped,
     }
     for name in fields:
-        value = F.col(f"_p_{name}")
+        field = _payload_value(name)
         if name == "amount":
-            typed[name] = _text(value).try_cast("decimal(38,2)").try_cast(MONEY)
+            typed[name] = field.text.try_cast("decimal(38,2)").try_cast(MONEY)
+            typed["_amount"] = field.number
         elif name in ("quantity", "status_code", "response_time_ms"):
-            typed[name] = _whole(value).try_cast("int")
+            typed[f"_{name}"] = field.whole
+            typed[name] = field.whole.try_cast("int")
         elif name in ("endpoint", "stack_trace"):
-            typed[name] = _text(value)
+            typed[name] = field.text
         else:
-            typed[name] = _stripped(value)
+            typed[name] = field.stripped
     return typed
 
 
 def _broken_rules(family: Family) -> Column:
-    envelope = [
+    version = _envelope_value("event_version")
+    is_version_one = version.kind.rlike("^(BIGINT|DECIMAL.*|DOUBLE)$") & (
+        version.text.try_cast("double") == 1
+    )
+    supported = F.coalesce(F.col("event_type").isin(*family.event_types), F.lit(False))
+    envelope = F.array(
         F.when(F.col("event_id").isNull(), F.lit("event_id: must be a UUID")),
+        F.when(~supported, F.lit("event_type: must be a supported type")),
         F.when(
-            ~F.coalesce(F.col("event_type").isin(*family.event_types), F.lit(False)),
-            F.lit("event_type: must be a supported type"),
-        ),
-        F.when(
-            F.col("_e_event_version").isNotNull()
-            & ~F.coalesce(
-                _kind(F.col("_e_event_version")).rlike("^(BIGINT|DECIMAL.*|DOUBLE)$")
-                & (_text(F.col("_e_event_version")).try_cast("double") == 1),
-                F.lit(False),
-            ),
+            ~version.is_absent & ~F.coalesce(is_version_one, F.lit(False)),
             F.lit("event_version: must be 1"),
         ),
         F.when(
             F.col("event_time").isNull(), F.lit("event_time: must be a timestamp with an offset")
         ),
-        TEXT.message("source", F.col("_e_source")),
+        TEXT.message("source", _envelope_value("source")),
         F.when(F.col("_payload").isNull(), F.lit("payload: must be an object")),
-    ]
-    extra_envelope = _extra_fields("_envelope", ENVELOPE_FIELDS, "")
-    payload = F.array().cast("array<string>")
+    )
+    none = F.array().cast("array<string>")
+    payload = none
     for event_type in family.event_types:
         rules = PAYLOAD_RULES[event_type]
-        messages = F.array(
-            *[
-                rule.message(f"payload.{name}", F.col(f"_p_{name}"))
-                for name, rule in rules.items()
-            ]
-        )
-        extra = _extra_fields("_payload", tuple(rules), "payload.")
+        messages = [
+            rule.message(f"payload.{name}", _payload_value(name)) for name, rule in rules.items()
+        ]
         payload = F.when(
-            F.col("event_type") == event_type, F.concat(messages, extra)
+            F.col("event_type") == event_type,
+            F.concat(F.array(*messages), _extra_fields("_payload", tuple(rules), "payload.")),
         ).otherwise(payload)
-    payload = F.when(F.col("_payload").isNotNull(), payload).otherwise(
-        F.array().cast("array<string>")
-    )
-    object_rules = F.array_compact(F.concat(F.array(*envelope), extra_envelope, payload))
+    payload = F.when(F.col("_payload").isNotNull(), payload).otherwise(none)
+    found = F.concat(envelope, _extra_fields("_envelope", ENVELOPE_FIELDS, ""), payload)
     return F.when(F.col("_envelope").isNull(), F.array(F.lit("record: must be an object"))).otherwise(
-        object_rules
+        F.array_compact(found)
     )
 
 
@@ -395,17 +410,14 @@ def _storage_violations(fields: Sequence[str]) -> Column:
         F.when(F.length("topic") > TOPIC_WIDTH, F.lit("topic: longer than 255 characters"))
     )
     if "amount" in fields:
-        too_large = _amount_sign(F.col("_p_amount")) >= float(_MONEY_LIMIT)
-        checks.append(
-            F.when(
-                too_large | (_is_numeric(F.col("_p_amount")) & F.col("amount").isNull()),
-                F.lit("amount: beyond numeric(18,2)"),
-            )
+        beyond = (F.col("_amount") >= float(_MONEY_LIMIT)) | (
+            F.col("_amount").isNotNull() & F.col("amount").isNull()
         )
+        checks.append(F.when(beyond, F.lit("amount: beyond numeric(18,2)")))
     for name in ("quantity", "response_time_ms"):
         if name in fields:
             checks.append(
-                F.when(_whole(F.col(f"_p_{name}")) >= _INT_LIMIT, F.lit(f"{name}: beyond integer"))
+                F.when(F.col(f"_{name}") >= _INT_LIMIT, F.lit(f"{name}: beyond integer"))
             )
     return F.array_compact(F.array(*checks))
 
@@ -420,9 +432,9 @@ def _verdict(family: Family) -> dict[str, Column]:
         bad_json, F.lit("payload is not valid JSON")
     )
     if family.reject_other_types_as:
-        value = F.col("_e_event_type")
-        shown = F.substring(_text(value), 1, 100)
-        other = ~_is_absent_or_null(value) & ~F.coalesce(
+        given = _envelope_value("event_type")
+        shown = F.substring(given.text, 1, 100)
+        other = ~given.is_absent_or_null & ~F.coalesce(
             F.col("event_type").isin(*family.event_types), F.lit(False)
         )
         error_type = error_type.when(other, F.lit(family.reject_other_types_as))
