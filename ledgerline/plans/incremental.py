@@ -56,6 +56,26 @@ def replace_days(full_model: DataFrame, root: str, name: str, start: date, end:
     )
 
 
+def affected_days(order_events: DataFrame, arrived: DataFrame) -> DataFrame:
+    """Days whose sales can change through newly arrived events.
+
+    An order's creation gives channel and currency to its other events, so an order that got
+    any new event may change every day on which it has events.
+    """
+    touched = arrived.select("order_id").distinct()
+    return order_events.join(touched, "order_id", "left_semi").select("event_date").distinct()
+
+
+def refresh_days(full_model: DataFrame, root: str, name: str, days: DataFrame) -> None:
+    """Overwrite the listed day partitions, wherever they lie; ``days`` has the day column."""
+    contract = CONTRACTS[name]
+    table = enforce_schema(full_model, contract)
+    chosen = table.join(days, contract.partition_column, "left_semi").select(*contract.columns)
+    write_table(
+        chosen, f"{root}/{name}", partition_column=contract.partition_column, dynamic=True
+    )
+
+
 def late_rows(new_rows: DataFrame, contract: Contract, as_of: date) -> DataFrame:
     """Rows per day that arrived for days before the lookback window: backfill candidates."""
     column = contract.partition_column or "event_date"
