@@ -24,12 +24,21 @@ from ledgerline.schemas import (
 
 MESSAGE_LIMIT = 1000
 
-_STRIP = r"(?U)^\s+|\s+$"
+# Characters of the Unicode White_Space property.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 _NUMBER_KINDS = "^(BIGINT|DOUBLE|FLOAT|DECIMAL.*|STRING)$"
 _WHOLE_TEXT = r"^\s*[+-]?\d+(\.0*)?\s*$"
-_UUID = r"^(urn:uuid:)?([0-9a-f]{8}-([0-9a-f]{4}-){3}[0-9a-f]{12}|[0-9a-f]{32})$"
-_BRACED_UUID = r"^\{[0-9a-f]{8}-([0-9a-f]{4}-){3}[0-9a-f]{12}\}$"
+_CANONICAL_UUID = r"^[0-9a-f]{8}-([0-9a-f]{4}-){3}[0-9a-f]{12}$"
+_OTHER_UUID = (
+    r"^([0-9a-f]{32}"
+    r"|urn:uuid:[0-9a-f]{8}-([0-9a-f]{4}-){3}[0-9a-f]{12}"
+    r"|\{[0-9a-f]{8}-([0-9a-f]{4}-){3}[0-9a-f]{12}\})$"
+)
+_UUID_PARTS = r"^(.{8})(.{4})(.{4})(.{4})(.{12})$"
 _AWARE_TIME = (
     r"^\d{4}-\d{2}-\d{2}[T _]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?(Z|[+-]\d{2}:?\d{2})$"
 )
@@ -69,7 +78,7 @@ class Value:
 
     @property
     def stripped(self) -> Column:
-        return F.regexp_replace(self.text, _STRIP, "")
+        return F.btrim(self.text, F.lit(WHITE_SPACE))
 
     @property
     def number(self) -> Column:
@@ -88,13 +97,23 @@ class Value:
         )
 
 
+def _hyphenated(digits: Column) -> Column:
+    return F.regexp_replace(digits, _UUID_PARTS, "$1-$2-$3-$4-$5")
+
+
 def normalised_uuid(text: Column) -> Column:
     """Canonical lower-case UUID, or NULL when the text is not a UUID."""
     lowered = F.lower(text)
     digits = F.regexp_replace(lowered, r"^urn:uuid:|[{}-]", "")
-    parts = [(1, 8), (9, 4), (13, 4), (17, 4), (21, 12)]
-    canonical = F.concat_ws("-", *[F.substring(digits, at, size) for at, size in parts])
-    return F.when(lowered.rlike(_UUID) | lowered.rlike(_BRACED_UUID), canonical)
+    return F.when(lowered.rlike(_CANONICAL_UUID), lowered).when(
+        lowered.rlike(_OTHER_UUID), _hyphenated(digits)
+    )
+
+
+def lenient_uuid(text: Column) -> Column:
+    """UUID of a quarantined record: braces, prefixes and stray hyphens are ignored."""
+    digits = F.regexp_replace(F.lower(text), r"urn:|uuid:|-|^[{}]+|[{}]+$", "")
+    return F.when(digits.rlike("^[0-9a-f]{32}$"), _hyphenated(digits))
 
 
 def aware_timestamp(text: Column) -> Column:
@@ -131,8 +150,7 @@ def _one_of(allowed: Sequence[str]) -> Rule:
 
 
 def _filled(field: Value) -> Column:
-    """Stripped text is not empty, that is, some character is not white space."""
-    return field.is_text & field.text.rlike(r"(?U)\S")
+    return field.is_text & (field.stripped != "")
 
 
 def _starts_with_slash(field: Value) -> Column:
@@ -309,17 +327,14 @@ def _open_json(raw: DataFrame) -> DataFrame:
                 # A JSON null decodes to nothing and is kept as text.
                 "payload_is_json": F.coalesce(~F.is_variant_null("_json"), F.lit(False))
                 & F.col("_json").isNotNull(),
+                "_has_payload": F.coalesce(
+                    F.map_contains_key("_envelope", F.lit("payload")), F.lit(False)
+                ),
             }
         )
     )
 
 
-def _lenient_uuid(text: Column) -> Column:
-    """UUID of a quarantined record: braces, prefixes and stray hyphens are ignored."""
-    digits = F.regexp_replace(F.lower(text), r"urn:|uuid:|-|^[{}]+|[{}]+$", "")
-    return normalised_uuid(F.when(digits.rlike("^[0-9a-f]{32}$"), digits))
-
-
 def _event_type(family: Family) -> Column:
     field = _envelope_value("event_type")
     text = F.when(field.is_text, field.text)
@@ -334,7 +349,7 @@ def _typed_columns(family: Family, fields: Sequence[str]) -> dict[str, Column]:
     typed = {
         "event_type": _event_type(family),
         "event_id": normalised_uuid(F.when(event_id.is_text, event_id.text)),
-        "dlq_event_id": _lenient_uuid(event_id.text),
+        "event_id_text": event_id.text,
         "event_time": aware_timestamp(F.when(event_time.is_text, event_time.text)),
         "source": _envelope_value("source").stripped,
     }
@@ -359,7 +374,15 @@ def _broken_rules(family: Family) -> Column:
         version.text.try_cast("double") == 1
     )
     supported = F.coalesce(F.col("event_type").isin(*family.event_types), F.lit(False))
-    envelope = F.array(
+    payload = F.lit(None).cast("string")
+    for event_type in family.event_types:
+        rules = PAYLOAD_RULES[event_type]
+        messages = _joined(
+            *[rule.message(f"payload.{name}", _payload_value(name)) for name, rule in rules.items()],
+            _extra_fields("_payload", "p_", tuple(rules), "payload."),
+        )
+        payload = F.when(F.col("event_type") == event_type, messages).otherwise(payload)
+    found = _joined(
         F.when(F.col("event_id").isNull(), F.lit("event_id: must be a UUID")),
         F.when(~supported, F.lit("event_type: must be a supported type")),
         F.when(
@@ -371,33 +394,30 @@ def _broken_rules(family: Family) -> Column:
         ),
         TEXT.message("source", _envelope_value("source")),
         F.when(F.col("_payload").isNull(), F.lit("payload: must be an object")),
+        _extra_fields("_envelope", "e_", ENVELOPE_FIELDS, ""),
+        F.when(F.col("_payload").isNotNull(), payload),
     )
-    none = F.array().cast("array<string>")
-    payload = none
-    for event_type in family.event_types:
-        rules = PAYLOAD_RULES[event_type]
-        messages = [
-            rule.message(f"payload.{name}", _payload_value(name)) for name, rule in rules.items()
-        ]
-        payload = F.when(
-            F.col("event_type") == event_type,
-            F.concat(F.array(*messages), _extra_fields("_payload", tuple(rules), "payload.")),
-        ).otherwise(payload)
-    payload = F.when(F.col("_payload").isNotNull(), payload).otherwise(none)
-    found = F.concat(envelope, _extra_fields("_envelope", ENVELOPE_FIELDS, ""), payload)
-    return F.when(F.col("_envelope").isNull(), F.array(F.lit("record: must be an object"))).otherwise(
-        F.array_compact(found)
-    )
+    return F.when(F.col("_envelope").isNull(), F.lit("record: must be an object")).otherwise(found)
+
 
+def _joined(*messages: Column) -> Column:
+    """Messages that are set, separated; NULL when there is none."""
+    return F.nullif(F.concat_ws("; ", *messages), F.lit(""))
 
-def _extra_fields(map_column: str, allowed: Sequence[str], prefix: str) -> Column:
+
+def _extra_fields(map_column: str, prefix: str, allowed: Sequence[str], location: str) -> Column:
+    """Message naming the unknown keys; they are listed only if the key counts differ."""
+    present = F.lit(0)
+    for name in allowed:
+        is_set = F.col("_has_payload") if name == "payload" else F.col(f"_kind_{prefix}{name}").isNotNull()
+        present = present + is_set.cast("int")
     unknown = F.array_except(
         F.map_keys(map_column), F.array(*[F.lit(name) for name in allowed])
     )
-    named = F.transform(
-        F.array_sort(unknown), lambda key: F.concat(F.lit(prefix), key, F.lit(": unknown field"))
-    )
-    return F.coalesce(named, F.array().cast("array<string>"))
+    problem = ": unknown field"
+    listed = F.array_join(F.sort_array(unknown), f"{problem}; {location}")
+    named = F.concat(F.lit(location), listed, F.lit(problem))
+    return F.when(F.size(map_column) > present, named)
 
 
 def _storage_violations(fields: Sequence[str]) -> Column:
@@ -419,14 +439,14 @@ def _storage_violations(fields: Sequence[str]) -> Column:
             checks.append(
                 F.when(F.col(f"_{name}") >= _INT_LIMIT, F.lit(f"{name}: beyond integer"))
             )
-    return F.array_compact(F.array(*checks))
+    return _joined(*checks)
 
 
 def _verdict(family: Family) -> dict[str, Column]:
     bad_utf8 = ~F.col("_utf8")
     bad_json = F.col("_json").isNull()
-    broken = F.size("_broken") > 0
-    too_wide = F.size("_too_wide") > 0
+    broken = F.col("_broken").isNotNull()
+    too_wide = F.col("_too_wide").isNotNull()
     error_type = F.when(bad_utf8 | bad_json, F.lit("JSONDecodeError"))
     message = F.when(bad_utf8, F.lit("payload is not valid UTF-8")).when(
         bad_json, F.lit("payload is not valid JSON")
@@ -445,8 +465,8 @@ def _verdict(family: Family) -> dict[str, Column]:
     error_type = error_type.when(broken, F.lit("ValidationError")).when(
         too_wide, F.lit("StorageConstraintError")
     )
-    message = message.when(broken, F.array_join("_broken", "; ")).when(
-        too_wide, F.array_join("_too_wide", "; ")
+    message = message.when(broken, F.col("_broken")).when(
+        too_wide, F.col("_too_wide")
     )
     return {
         "error_type": error_type,
@@ -471,7 +491,7 @@ def dead_letters(rejected: DataFrame, consumer_group: str, failed_at: Column) ->
         ":", "topic", F.col("partition").cast("string"), F.col("offset").cast("string")
     )
     return rejected.select(
-        F.coalesce("dlq_event_id", coordinate).alias("dlq_key"),
+        F.coalesce(lenient_uuid(F.col("event_id_text")), coordinate).alias("dlq_key"),
         failed_at.alias("failed_at"),
         "error_type",
         "error_message",

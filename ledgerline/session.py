@@ -36,13 +36,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """
     context = spark.sparkContext
     named = spark.conf.get(CHECKPOINT_DIR_KEY, None)
-    if named:
-        context.setCheckpointDir(named)
-        return named
     current = context.getCheckpointDir()
-    if current:
+    if current and (named is None or named.rstrip("/") in current):
         return current
-    if not context.master.startswith("local"):
-        raise RuntimeError(f"set {CHECKPOINT_DIR_KEY} to a shared folder")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerline-checkpoint-"))
+    if named is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_DIR_KEY} to a shared folder")
+        named = tempfile.mkdtemp(prefix="ledgerline-checkpoint-")
+    context.setCheckpointDir(named)
     return context.getCheckpointDir()

@@ -51,15 +51,16 @@ def _iso(timestamp: Column, shift_hours: int = 0, suffix: str = "Z") -> Column:
     return F.concat(F.date_format(moved, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit(suffix))
 
 
-def _record(key: str, body: Column, topic: str) -> list[Column]:
-    return [
+def _records(rendered: DataFrame, key: str, body: Column, topic: str) -> DataFrame:
+    """Raw records, spread over tasks as the partitions of a topic would be."""
+    return rendered.select(
         F.col(key).cast("binary").alias("key"),
         body.alias("value"),
         F.lit(topic).alias("topic"),
         F.col("kafka_partition").alias("partition"),
         F.col("kafka_offset").alias("offset"),
         F.col("event_time").alias("timestamp"),
-    ]
+    ).repartition("partition", "offset")
 
 
 def order_records(spark: SparkSession, directory: str) -> DataFrame:
@@ -131,7 +132,7 @@ def order_records(spark: SparkSession, directory: str) -> DataFrame:
         .when(has("payload_is_list"), listed.cast("binary"))
         .otherwise(F.substring("text", F.lit(1), cut_at).cast("binary"))
     )
-    return rendered.select(*_record("order_id", body, ORDER_TOPIC))
+    return _records(rendered, "order_id", body, ORDER_TOPIC)
 
 
 def access_records(spark: SparkSession, directory: str) -> DataFrame:
@@ -182,4 +183,4 @@ def access_records(spark: SparkSession, directory: str) -> DataFrame:
     )
     cut_at = F.length("text") - F.when(has("truncated_json"), 1).otherwise(0)
     body = F.substring("text", F.lit(1), cut_at).cast("binary")
-    return placed.select(*_record("service", body, ACCESS_TOPIC))
+    return _records(placed, "service", body, ACCESS_TOPIC)
