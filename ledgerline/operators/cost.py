@@ -54,26 +54,18 @@ def evaluate_costs(estimates: DataFrame, policy: DataFrame, now: datetime | Colu
 
     ``estimates``: query_id, model, valid, total_bytes_processed, partition_filter_present,
     requested_scan_window_days, maximum_scan_window_days, has_waiver, and the waiver columns.
-    A missing estimate is invalid, never zero. The policy has one row per model, so it joins
-    by model name; the default row is attached by name as well and used where none matches.
+    A missing estimate is invalid, never zero. The policy has one row per model and joins by
+    model name; where none matches, the default row's values apply.
     """
     clock = now if isinstance(now, Column) else F.lit(now)
     thresholds = ("warning_threshold_bytes", "blocking_threshold_bytes", "cost_class")
     own = policy.select("model", *[F.col(name).alias(f"_own_{name}") for name in thresholds])
-    fallback = policy.filter(F.col("model") == DEFAULT_MODEL).select(
-        F.col("model").alias("_default_model"),
-        *[F.col(name).alias(f"_default_{name}") for name in thresholds],
-    )
-    rows = (
-        estimates.join(own, "model", "left")
-        .withColumn("_default_model", F.lit(DEFAULT_MODEL))
-        .join(fallback, "_default_model", "left")
-        .withColumns(
-            {
-                name: F.coalesce(f"_own_{name}", f"_default_{name}")
-                for name in thresholds
-            }
-        )
+    default = policy.filter(F.col("model") == DEFAULT_MODEL)
+    rows = estimates.join(own, "model", "left").withColumns(
+        {
+            name: F.coalesce(F.col(f"_own_{name}"), default.select(name).scalar())
+            for name in thresholds
+        }
     )
     estimate = F.col("total_bytes_processed")
     approved = F.when(

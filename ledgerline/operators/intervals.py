@@ -108,12 +108,19 @@ def consumed_count(intervals: DataFrame, committed: DataFrame) -> DataFrame:
     )
 
 
-def coverage(intervals: DataFrame, delivered_count: Column) -> DataFrame:
-    """One row: total interval length and whether it equals the delivered count."""
-    length = F.coalesce(F.sum(F.col("end_offset_exclusive") - F.col("start_offset")), F.lit(0))
-    return intervals.agg(length.cast("bigint").alias("covered_offsets")).withColumn(
-        "is_complete", F.col("covered_offsets") == delivered_count
+def coverage(intervals: DataFrame, delivered: DataFrame) -> DataFrame:
+    """One row: total interval length, number of distinct delivered offsets, and equality."""
+    lengths = intervals.select(
+        (F.col("end_offset_exclusive") - F.col("start_offset")).alias("_covered"),
+        F.lit(0).cast("bigint").alias("_delivered"),
     )
+    offsets = delivered.select(*_PARTITION, "offset").distinct().agg(
+        F.lit(0).cast("bigint").alias("_covered"), F.count(F.lit(1)).alias("_delivered")
+    )
+    totals = lengths.unionByName(offsets).agg(
+        F.sum("_covered").alias("covered_offsets"), F.sum("_delivered").alias("delivered_count")
+    )
+    return totals.withColumn("is_complete", F.col("covered_offsets") == F.col("delivered_count"))
 
 
 def run_counts(

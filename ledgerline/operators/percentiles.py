@@ -89,22 +89,19 @@ def sample_summary(
 ) -> DataFrame:
     """One row per group: sample count, mean and one column per percentile (p50, p95, ...)."""
     keys = list(by)
+    names = {p: "p" + f"{p * 100:g}".replace(".", "_") for p in percentiles}
     totals = samples.groupBy(*keys).agg(
         F.count(value).alias("sample_count"), F.avg(value).alias("average")
     )
-    names = {p: "p" + f"{p * 100:g}".replace(".", "_") for p in percentiles}
-    ranks = (
-        nearest_rank_percentiles(samples, value, percentiles, keys)
-        .groupBy(*keys)
-        .agg(
-            *[
-                F.max(F.when(F.col("percentile") == float(p), F.col("value"))).alias(name)
-                for p, name in names.items()
-            ]
-        )
+    ranks = nearest_rank_percentiles(samples, value, percentiles, keys).select(
+        *keys,
+        *[
+            F.when(F.col("percentile") == float(p), F.col("value")).alias(name)
+            for p, name in names.items()
+        ],
     )
-    if not keys:
-        # Both sides are single rows.
-        one = F.lit(1).alias("_one")
-        return totals.select("*", one).join(ranks.select("*", one), "_one", "left").drop("_one")
-    return totals.join(ranks, keys, "left")
+    # One row per group from the totals and one per percentile: a union and an aggregate
+    # put them side by side without a join.
+    parts = totals.unionByName(ranks, allowMissingColumns=True)
+    measures = ["sample_count", "average", *names.values()]
+    return parts.groupBy(*keys).agg(*[F.max(name).alias(name) for name in measures])

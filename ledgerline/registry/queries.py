@@ -231,24 +231,7 @@ def ingest_access_outcomes(spark, directory):
     """Count of records per outcome; every record has exactly one."""
     decoded = decode(raw_records.access_records(spark, directory), ACCESS_LOGS)
     resolved = ingest.resolve(decoded, ACCESS_JOB, None, _clock())
-    counts = (
-        resolved.accepted.select(F.lit("processed").alias("outcome"))
-        .unionByName(resolved.dead.select(F.lit("dead-lettered").alias("outcome")))
-        .groupBy("outcome")
-        .agg(F.count(F.lit(1)).alias("record_count"))
-    )
-    total = decoded.agg(F.count(F.lit(1)).alias("_total"))
-    settled = counts.agg(F.sum("record_count").alias("_settled"))
-    one = F.lit(1).alias("_one")
-    duplicates = (
-        total.select("*", one)
-        .join(settled.select("*", one), "_one")
-        .select(
-            F.lit("duplicate").alias("outcome"),
-            (F.col("_total") - F.col("_settled")).alias("record_count"),
-        )
-    )
-    return counts.unionByName(duplicates)
+    return ingest.outcome_counts(resolved)
 
 
 def routed_messages(spark, directory):
@@ -477,16 +460,8 @@ def offset_intervals(spark, directory):
 
 
 def interval_coverage(spark, directory):
-    delivered = derived.delivered_offsets(spark, directory)
-    total = delivered.agg(F.count(F.lit(1)).alias("delivered_count"))
-    one = F.lit(1).alias("_one")
-    covered = intervals.coverage(_run_intervals(spark, directory), F.lit(0)).select(
-        "covered_offsets", one
-    )
-    return (
-        covered.join(total.select("delivered_count", one), "_one")
-        .drop("_one")
-        .withColumn("is_complete", F.col("covered_offsets") == F.col("delivered_count"))
+    return intervals.coverage(
+        _run_intervals(spark, directory), derived.delivered_offsets(spark, directory)
     )
 
 

@@ -17,6 +17,8 @@ from ledgerline.streaming.ledger import ACCESS_ROW, ORDER_ROW, Ledger
 
 COORDINATE = ["topic", "partition", "offset"]
 FLUSH_INTERVAL = "10 seconds"
+# At about 100 bytes per id this is 20 MB on each executor.
+BROADCAST_IDS = 200_000
 CONFLICT_TYPE = "DuplicateEventConflict"
 CONFLICT_MESSAGE = "event_id was reused with different metric data"
 
@@ -81,7 +83,7 @@ def resolve(
         *[name for name in job.row_schema.fieldNames() if name in valid.columns],
     )
     firsts = first_occurrences(rows, ["consumer_group", "event_id"], COORDINATE)
-    accepted = firsts if earlier_markers is None else pending(firsts, earlier_markers)
+    accepted = firsts if earlier_markers is None else unseen(firsts, earlier_markers)
     dead = rejected
     if job.checks_conflicts:
         conflicts = conflicts_in(valid).withColumns(
@@ -95,6 +97,49 @@ def resolve(
     )
 
 
+def unseen(firsts: DataFrame, earlier_markers: DataFrame) -> DataFrame:
+    """First occurrences without an earlier marker.
+
+    A micro-batch is small and the markers of all time are not. Once its number of ids is
+    known to be small, they are broadcast: the markers are then only scanned for two columns
+    and filtered in place, never shuffled. A larger batch, such as a first load, is joined
+    by shuffling both sides.
+    """
+    key = ["consumer_group", "event_id"]
+    ids = firsts.select(*key)
+    if ids.limit(BROADCAST_IDS + 1).count() > BROADCAST_IDS:
+        return pending(firsts, earlier_markers)
+    seen = earlier_markers.select(*key).join(F.broadcast(ids), key, "left_semi")
+    # Markers are unique, so at most BROADCAST_IDS of them remain.
+    return firsts.join(F.broadcast(seen), key, "left_anti")
+
+
+def outcome_counts(resolved: Resolved) -> DataFrame:
+    """Rows (outcome, record_count); duplicates are the records in neither other part."""
+
+    def part(rows: DataFrame, outcome: str, duplicate_share: int) -> DataFrame:
+        return rows.agg(F.count(F.lit(1)).alias("_rows")).select(
+            F.explode(
+                F.array(
+                    F.struct(F.lit(outcome).alias("outcome"), F.col("_rows").alias("n")),
+                    F.struct(
+                        F.lit("duplicate").alias("outcome"),
+                        (F.col("_rows") * duplicate_share).alias("n"),
+                    ),
+                )
+            ).alias("_part")
+        )
+
+    parts = (
+        part(resolved.decoded, "duplicate", 0)
+        .unionByName(part(resolved.accepted, "processed", -1))
+        .unionByName(part(resolved.dead, "dead-lettered", -1))
+    )
+    return parts.groupBy(F.col("_part.outcome").alias("outcome")).agg(
+        F.sum("_part.n").alias("record_count")
+    )
+
+
 def start(
     records: DataFrame,
     job: Job,
