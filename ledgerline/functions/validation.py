@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -212,7 +213,8 @@ PAYLOAD_RULES: dict[str, dict[str, Rule]] = {
         "trace_id": OPTIONAL_TEXT,
     },
 }
-ENVELOPE_FIELDS = ("event_id", "event_type", "event_version", "event_time", "source", "payload")
+SCALAR_ENVELOPE_FIELDS = ("event_id", "event_type", "event_version", "event_time", "source")
+ENVELOPE_FIELDS = (*SCALAR_ENVELOPE_FIELDS, "payload")
 
 # Widths of the stored text columns.
 TEXT_WIDTHS = {"order_id": 64, "user_id": 64, "product_id": 64, "service": 100, "endpoint": 255}
@@ -243,12 +245,16 @@ ALL_EVENTS = Family("all events", tuple(PAYLOAD_RULES))
 
 
 def decode(raw: DataFrame, family: Family) -> DataFrame:
-    """Decode raw records and attach ``error_type``, ``error_message`` and typed fields."""
+    """Decode raw records and attach ``error_type``, ``error_message`` and typed fields.
+
+    The rule expressions refer to columns by name only, so they are built once per family
+    and reused by every micro-batch.
+    """
     fields = _payload_fields(family)
     opened = _open_json(raw)
     read = opened.withColumns(
         {
-            **_read_fields("_envelope", [name for name in ENVELOPE_FIELDS if name != "payload"], "e_"),
+            **_read_fields("_envelope", SCALAR_ENVELOPE_FIELDS, "e_"),
             **_read_fields("_payload", fields, "p_"),
         }
     )
@@ -261,6 +267,7 @@ def decode(raw: DataFrame, family: Family) -> DataFrame:
     return _evaluated_once(verdict.select(*kept, "error_type", "error_message"))
 
 
+@cache
 def _read_fields(map_column: str, names: Sequence[str], prefix: str) -> dict[str, Column]:
     columns = {}
     for name in names:
@@ -288,11 +295,11 @@ def _evaluated_once(rows: DataFrame) -> DataFrame:
     return rows.select(record).select("_record.*")
 
 
-def _payload_fields(family: Family) -> list[str]:
+def _payload_fields(family: Family) -> tuple[str, ...]:
     names: dict[str, None] = {}
     for event_type in family.event_types:
         names.update(dict.fromkeys(PAYLOAD_RULES[event_type]))
-    return list(names)
+    return tuple(names)
 
 
 def _open_json(raw: DataFrame) -> DataFrame:
@@ -343,6 +350,7 @@ def _event_type(family: Family) -> Column:
     return F.when(field.is_absent, F.lit(family.default_type)).otherwise(text)
 
 
+@cache
 def _typed_columns(family: Family, fields: Sequence[str]) -> dict[str, Column]:
     """Stored form of each field; the verdict decides whether a row may use them."""
     event_id, event_time = _envelope_value("event_id"), _envelope_value("event_time")
@@ -368,6 +376,7 @@ def _typed_columns(family: Family, fields: Sequence[str]) -> dict[str, Column]:
     return typed
 
 
+@cache
 def _broken_rules(family: Family) -> Column:
     version = _envelope_value("event_version")
     is_version_one = version.kind.rlike("^(BIGINT|DECIMAL.*|DOUBLE)$") & (
@@ -420,6 +429,7 @@ def _extra_fields(map_column: str, prefix: str, allowed: Sequence[str], location
     return F.when(F.size(map_column) > present, named)
 
 
+@cache
 def _storage_violations(fields: Sequence[str]) -> Column:
     checks = [
         F.when(F.length(name) > width, F.lit(f"{name}: longer than {width} characters"))
@@ -442,6 +452,7 @@ def _storage_violations(fields: Sequence[str]) -> Column:
     return _joined(*checks)
 
 
+@cache
 def _verdict(family: Family) -> dict[str, Column]:
     bad_utf8 = ~F.col("_utf8")
     bad_json = F.col("_json").isNull()
