@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.exprs import safe_divide
@@ -27,12 +27,13 @@ def daily_sales(events: DataFrame, orders: DataFrame | None = None) -> DataFrame
     """Aggregate order activity per (date, currency, channel).
 
     Step one reduces events to one row per order, day, own currency and cancellation flag
-    (map-side partial aggregate). At most one row per order then reaches each output group
-    for each count, so distinct-order counts become sums and no row is expanded. A cancelled
-    event takes its order's creation currency, which is why its own currency is left out of
-    the step-one key. Step two attaches the creation currency and channel, from ``orders``
-    when that fact is given, otherwise from the same scan through a window over the small
-    per-order rows; step three rolls up.
+    (hash aggregate with map-side partial results). At most one row per order then reaches
+    each output group for each count, so distinct-order counts become sums and no row is
+    expanded. A cancelled event takes its order's creation currency, which is why its own
+    currency is left out of the step-one key. Step two attaches the creation currency and
+    channel to the reduced rows, so the join never sees a hot order's events; they come from
+    ``orders`` when that fact is given, otherwise from the creation events alone. Step three
+    rolls up.
     """
     keyed = events.withColumns(
         {
@@ -40,35 +41,37 @@ def daily_sales(events: DataFrame, orders: DataFrame | None = None) -> DataFrame
             "_own_currency": F.when(~is_type("order_cancelled"), F.col("currency")),
         }
     )
-    measures = [F.count_if(is_type(kind)).alias(name) for name, kind in _COUNTS.items()]
-    measures += [
-        F.sum(F.when(is_type(kind), F.col("amount"))).alias(name)
-        for name, kind in _AMOUNTS.items()
-    ]
-    if orders is None:
-        creation = F.struct(*STREAM_ORDER, "currency", "channel")
-        measures.append(F.min(F.when(is_type("order_created"), creation)).alias("_creation"))
-        order_days = keyed.groupBy(*_ORDER_DAY).agg(*measures)
-        attributed = order_days.withColumn(
-            "_creation", F.min("_creation").over(Window.partitionBy("order_id"))
-        ).withColumns(
-            {
-                "_order_currency": F.col("_creation.currency"),
-                "_channel": F.col("_creation.channel"),
-            }
-        )
-    else:
-        creation_facts = orders.select(
+    order_days = keyed.groupBy(*_ORDER_DAY).agg(
+        *[F.count_if(is_type(kind)).alias(name) for name, kind in _COUNTS.items()],
+        *[
+            F.sum(F.when(is_type(kind), F.col("amount"))).alias(name)
+            for name, kind in _AMOUNTS.items()
+        ],
+    )
+    facts = creation_facts(events) if orders is None else orders
+    attributed = order_days.join(
+        facts.select(
             "order_id",
             F.col("currency").alias("_order_currency"),
             F.col("channel").alias("_channel"),
-        )
-        attributed = (
-            keyed.groupBy(*_ORDER_DAY).agg(*measures).join(creation_facts, "order_id", "left")
-        )
+        ),
+        "order_id",
+        "left",
+    )
     return _roll_up(attributed)
 
 
+def creation_facts(events: DataFrame) -> DataFrame:
+    """Currency and channel of each order's first creation event."""
+    first = F.min(F.struct(*STREAM_ORDER, "currency", "channel")).alias("_creation")
+    return (
+        events.filter(is_type("order_created"))
+        .groupBy("order_id")
+        .agg(first)
+        .select("order_id", "_creation.currency", "_creation.channel")
+    )
+
+
 def _roll_up(attributed: DataFrame) -> DataFrame:
     def orders_with(name: str):
         return F.count_if(F.col(name) > 0)
