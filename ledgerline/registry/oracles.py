@@ -756,7 +756,7 @@ per_day AS (
     FROM acc GROUP BY ALL
 ),
 daily AS (
-    SELECT day, max(day_end) OVER (PARTITION BY part ORDER BY day) AS log_end,
+    SELECT day, part, max(day_end) OVER (PARTITION BY part ORDER BY day) AS log_end,
            lag(day_end) OVER (PARTITION BY part ORDER BY day) AS committed
     FROM per_day
 ),
@@ -849,6 +849,15 @@ _EVIDENCE = {
         "(SELECT benchmark_lag FROM snapshots ORDER BY observed_at DESC LIMIT 1) AS final_lag "
         "FROM snapshots"
     ),
+    "lag_report": (
+        f"{_with(_DAILY_LAG)} SELECT strftime(CAST(day AS TIMESTAMP), '%Y-%m-%d %H:%M:%S.%f') "
+        "AS observed_at, 'log-consumer-v1' AS consumer_group, 'application-logs.v1' AS topic, "
+        'part AS "partition", committed AS committed_offset, log_end AS log_end_offset, '
+        "log_end - committed AS lag, 'measured' AS status FROM daily"
+    ),
+    "test_result_report": (
+        f"WITH {_RESULTS} SELECT unique_id, coalesce(status, 'unknown') AS status FROM res"
+    ),
     "latency_percentiles": (
         _with(_ATTEMPTS, _ranked("att", "injection_kind", "value", "outcome = 'delivered'"))
         + " SELECT injection_kind, count(*) AS sample_count, "
@@ -1076,6 +1085,20 @@ step_two AS (
 ),
 step_three AS (SELECT NULL AS node, 0 AS pos WHERE false),{_WALKED}
 SELECT node, CAST(depth AS BIGINT) AS depth FROM reached""",
+    "lineage_walked_edges": f"""WITH {_EDGES}
+SELECT ord AS upstream, part AS downstream FROM held WHERE part = 'part.7'
+UNION
+SELECT customer, ord FROM placed WHERE ord IN (SELECT ord FROM held WHERE part = 'part.7')""",
+    "finding_paths": f"""{_with(_FINDINGS, _EDGES)},
+found AS (
+    SELECT 'order.' || substr(model, 7) AS model, "column", change_type FROM findings
+    WHERE severity = 'blocking'
+),
+paths AS (
+    SELECT ord AS model, ord || '|' || part AS path FROM held
+    UNION ALL SELECT ord, ord || '|' || part || '|' || supplier FROM held JOIN supplied USING (part)
+)
+SELECT model, "column", change_type, path FROM found JOIN paths USING (model)""",
     "lineage_impact": f"""WITH {_EDGES}, {_ASSETS},
 first AS (SELECT DISTINCT part AS node FROM held WHERE ord = 'order.17'),
 second AS (SELECT DISTINCT supplier AS node FROM supplied WHERE part IN (SELECT node FROM first)),

@@ -529,6 +529,38 @@ def observed_lag(spark, directory):
     return lag.observed_lag(benchmark_lag(spark, directory))
 
 
+def lag_report(spark, directory):
+    """Daily lag written as nested JSON reports, one per line, and read back as rows."""
+    row = F.struct(
+        "consumer_group", "topic", "partition", "current_offset", "log_end_offset", "lag",
+        F.lit("measured").alias("status"),
+    )
+    # A group's rows are its topic partitions, a small fixed number.
+    reports = (
+        derived.daily_lag(spark, directory)
+        .groupBy("observed_at", "consumer_group", "topic")
+        .agg(F.collect_list(row).alias("rows"))
+        .select(
+            "observed_at",
+            F.array(
+                F.struct("consumer_group", "topic", F.lit("measured").alias("status"), "rows")
+            ).alias("groups"),
+        )
+    )
+    path = f"{_scratch(spark)}/lag"
+    reports.write.json(path)
+    return tables.lag_report(spark, path, one_per_line=True)
+
+
+def test_result_report(spark, directory):
+    """Test results written as JSON reports, one per line, and read back as rows."""
+    results = derived.item_results(spark, directory)
+    reports = results.select(F.array(F.struct("unique_id", "status")).alias("results"))
+    path = f"{_scratch(spark)}/results"
+    reports.write.json(path)
+    return tables.result_report(spark, path, one_per_line=True)
+
+
 def latency_percentiles(spark, directory):
     attempts = derived.delivery_attempts(spark, directory).filter(F.col("outcome") == "delivered")
     return percentiles.sample_summary(
@@ -696,6 +728,22 @@ def lineage_upstream(spark, directory):
     return lineage.reach(edges, "part.7", downstream=False, max_depth=8).nodes
 
 
+def lineage_walked_edges(spark, directory):
+    """Edges met on the way from a part up to its orders and customers."""
+    edges = derived.lineage_edges(spark, directory)
+    return lineage.reach(edges, "part.7", downstream=False, max_depth=8).edges
+
+
+def finding_paths(spark, directory):
+    """Blocking findings with the paths below the order that shares the model's number."""
+    findings = _diff(spark, directory).filter("severity = 'blocking'").select(
+        F.concat(F.lit("order."), F.substring_index("model", "_", -1)).alias("model"),
+        "column",
+        "change_type",
+    )
+    return lineage.finding_paths(findings, derived.lineage_edges(spark, directory))
+
+
 def lineage_impact(spark, directory):
     return lineage.impact(
         derived.lineage_edges(spark, directory),
@@ -832,6 +880,8 @@ _QUERIES = [
     combined_lag,
     benchmark_lag,
     observed_lag,
+    lag_report,
+    test_result_report,
     latency_percentiles,
     latency_percentiles_overall,
     price_percentiles,
@@ -850,8 +900,10 @@ _QUERIES = [
     lineage_unknown_endpoints,
     lineage_reach,
     lineage_upstream,
+    lineage_walked_edges,
     lineage_impact,
     impact_paths,
+    finding_paths,
     query_costs,
     loosened_thresholds,
     asset_table,

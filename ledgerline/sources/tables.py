@@ -104,9 +104,13 @@ def write_to_kafka(messages: DataFrame, servers: str, topic: str) -> None:
     ).save()
 
 
-def lag_report(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of lag report files: one row per snapshot, group and partition."""
-    report = spark.read.schema(LAG_REPORT).json(path, multiLine=True)
+def lag_report(spark: SparkSession, path: str, *, one_per_line: bool = False) -> DataFrame:
+    """Rows of lag report files: one row per snapshot, group and partition.
+
+    A file holds one indented report, or with ``one_per_line`` a report per line, which
+    Spark can split between tasks.
+    """
+    report = spark.read.schema(LAG_REPORT).json(path, multiLine=not one_per_line)
     groups = report.select("observed_at", F.explode("groups").alias("group"))
     return groups.select("observed_at", F.explode("group.rows").alias("row")).select(
         "observed_at",
@@ -120,9 +124,9 @@ def lag_report(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def result_report(spark: SparkSession, path: str) -> DataFrame:
+def result_report(spark: SparkSession, path: str, *, one_per_line: bool = False) -> DataFrame:
     """Rows (unique_id, status) of test-result or freshness files."""
-    report = spark.read.schema(TEST_RESULTS).json(path, multiLine=True)
+    report = spark.read.schema(TEST_RESULTS).json(path, multiLine=not one_per_line)
     return report.select(F.explode("results").alias("result")).select(
         "result.unique_id", F.coalesce("result.status", F.lit("unknown")).alias("status")
     )
