@@ -73,9 +73,12 @@ def publish(models: Models, root: str) -> dict[str, str]:
                 models.stg_order_events, read_mart_files(spark, root, "fct_orders")
             )
         contract = CONTRACTS[name]
-        quality.enforce_schema(table, contract)
         paths[name] = f"{root}/{name}"
-        write_table(table, paths[name], partition_column=contract.partition_column)
+        write_table(
+            quality.enforce_contract(table, contract),
+            paths[name],
+            partition_column=contract.partition_column,
+        )
     return paths
 
 

@@ -8,7 +8,7 @@ from datetime import date, timedelta
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.operators.quality import enforce_schema
+from ledgerline.operators.quality import enforce_contract
 from ledgerline.plans.build import read_mart_files
 from ledgerline.schemas import CONTRACTS, Contract
 from ledgerline.session import ensure_checkpoint_dir
@@ -49,7 +49,7 @@ def replace_days(full_model: DataFrame, root: str, name: str, start: date, end:
     contract = CONTRACTS[name]
     if contract.partition_column is None:
         raise ValueError(f"{name} is not partitioned by day; merge it by key")
-    table = enforce_schema(full_model, contract)
+    table = enforce_contract(full_model, contract)
     window = table.filter(between_dates(contract.partition_column, start, end))
     write_table(
         window, f"{root}/{name}", partition_column=contract.partition_column, dynamic=True
@@ -69,7 +69,7 @@ def affected_days(order_events: DataFrame, arrived: DataFrame) -> DataFrame:
 def refresh_days(full_model: DataFrame, root: str, name: str, days: DataFrame) -> None:
     """Overwrite the listed day partitions, wherever they lie; ``days`` has the day column."""
     contract = CONTRACTS[name]
-    table = enforce_schema(full_model, contract)
+    table = enforce_contract(full_model, contract)
     chosen = table.join(days, contract.partition_column, "left_semi").select(*contract.columns)
     write_table(
         chosen, f"{root}/{name}", partition_column=contract.partition_column, dynamic=True
@@ -124,8 +124,10 @@ def merge_into_mart(
     if day is not None:
         replaced = current.join(updates.select(*key).distinct(), key, "left_semi").select(day)
         touched = replaced.unionByName(updates.select(day)).distinct()
-        current = current.join(touched, day, "left_semi")
-    merged = merge_latest(current, updates, key, version).checkpoint()
+        current = current.join(touched, day, "left_semi").select(*contract.columns)
+    merged = enforce_contract(
+        merge_latest(current, updates, key, version), contract
+    ).checkpoint()
     write_table(
         merged, f"{root}/{name}", partition_column=day, dynamic=day is not None
     )

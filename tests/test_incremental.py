@@ -57,6 +57,10 @@ def test_incremental_equals_full_and_reruns_are_safe(spark, tmp_path, events):
         incremental.merge_into_mart(spark, updates, root, "fct_orders", ["order_event_count"])
         found = build.read_mart_files(spark, root, "fct_orders")
         assert values(found) == values(orders.fct_orders(events))
+    updates = orders.fct_order_events(events.join(touched, "order_id", "left_semi"))
+    incremental.merge_into_mart(spark, updates, root, "fct_order_events", ["event_sequence_number"])
+    found = build.read_mart_files(spark, root, "fct_order_events")
+    assert values(found) == values(orders.fct_order_events(events))
 
 
 def test_merge_latest_prefers_updates_then_versions(rows):

@@ -90,6 +90,10 @@ def test_contract_schema_is_enforced(spark):
         q.enforce_schema(daily.select(*reversed(daily.columns)), MART_DAILY_SALES)
     broken = build.orders.fct_orders(events).withColumn("user_id", F.lit(None).cast("string"))
     assert [r.column_name for r in q.required_nulls(broken, FCT_ORDERS).collect()] == ["user_id"]
+    with pytest.raises(Exception, match="fct_orders.user_id must not be NULL"):
+        q.enforce_contract(broken, FCT_ORDERS).write.format("noop").mode("overwrite").save()
+    sound = q.enforce_contract(daily, MART_DAILY_SALES)
+    assert values(sound) == values(daily)
 
 
 def test_suites_pass_on_generated_tables_and_count_in_one_scan(spark):
