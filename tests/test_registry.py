@@ -6,14 +6,16 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
+from ledgerline.registry.oracles import all_oracles
+from ledgerline.registry.queries import all_queries
 
 SMALL = "/root/testdata/sf0.001"
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
 ).split()
-QUERIES = entry_point.queries()
-ORACLES = entry_point.oracle_sql()
+QUERIES = all_queries()
+ORACLES = all_oracles()
 
 
 @pytest.fixture(scope="module")
@@ -26,6 +28,8 @@ def database():
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry_point.queries())
+    assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
 
 
 def test_entry(spark):
