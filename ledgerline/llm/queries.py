@@ -10,6 +10,8 @@ from ledgerline.llm.common import read_table
 from ledgerline.llm.decontamination import contamination
 from ledgerline.llm.packing import pack_documents
 from ledgerline.llm.secret_scan import scan_secrets
+from ledgerline.llm.substring_dedup import dedup_substrings
+from ledgerline.llm.suffix_dedup import dedup_suffixes
 from ledgerline.llm.token_counts import token_counts
 
 
@@ -17,6 +19,10 @@ def _documents(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents", "doc_id", "text", *more)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(_documents(spark, sf_dir)).drop("kept_text")
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_documents(spark, sf_dir)).drop("found")
 
@@ -25,6 +31,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_documents(spark, sf_dir))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_suffixes(_documents(spark, sf_dir)).drop("kept_bytes")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_documents(spark, sf_dir))
 
@@ -36,14 +46,42 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
+        op1_substring_dedup,
         op3_secret_scan,
         op5_token_counts,
+        op6_suffix_dedup,
         op7_best_fit_packing,
         op10_decontamination,
     )
     return {query.__name__: query for query in named}
 
 
+OP1_SQL = r"""
+WITH docs AS (
+    SELECT doc_id, coalesce(list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> ''), []) AS w
+    FROM documents
+), windows AS (
+    SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS gram
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM docs WHERE len(w) >= 13)
+), firsts AS (
+    SELECT gram, min(doc_id) AS smallest FROM windows GROUP BY gram
+), gone AS (
+    SELECT doc_id, list(DISTINCT place) AS places
+    FROM (SELECT doc_id, unnest(range(i, i + 13)) AS place
+          FROM windows JOIN firsts USING (gram) WHERE doc_id > smallest)
+    GROUP BY doc_id
+), kept AS (
+    SELECT doc_id, string_agg(word, ' ' ORDER BY place) AS text
+    FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS place FROM docs)
+    WHERE NOT EXISTS (
+        SELECT 1 FROM (SELECT doc_id AS d, unnest(places) AS p FROM gone) g WHERE g.d = doc_id AND g.p = place)
+    GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(len(g.places), 0)::BIGINT AS n_removed,
+       sha256(coalesce(k.text, '')) AS kept_sha256
+FROM docs d LEFT JOIN gone g USING (doc_id) LEFT JOIN kept k USING (doc_id)
+"""
+
 OP10_SQL = r"""
 WITH items AS (
     SELECT DISTINCT item_id, list_filter(string_split_regex(
@@ -85,4 +123,4 @@ FROM docs d LEFT JOIN marked m USING (doc_id) LEFT JOIN listed l USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_decontamination": OP10_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op10_decontamination": OP10_SQL}
