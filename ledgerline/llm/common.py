@@ -7,12 +7,14 @@ Intermediate results that several jobs read are written once to the shared folde
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ledgerline.session import ensure_checkpoint_dir
 
@@ -43,6 +45,25 @@ def doc_key(column: str = "doc_id"):
     return F.coalesce(F.col(column).cast("long"), F.lit(NULL_ID))
 
 
+def _importable(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the package from where the driver has it.
+
+    On a cluster the package is shipped as usual (``--py-files`` or installed); the extra entry is
+    then a folder that does not exist there.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    environment = spark.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([p for p in paths if p] + [root])
+
+
+def map_arrow(frame: DataFrame, function: Callable, schema: StructType | str) -> DataFrame:
+    """``mapInArrow`` with functions of this package."""
+    _importable(frame.sparkSession)
+    return frame.mapInArrow(function, schema)
+
+
 def map_batches(
     frame: DataFrame, function: Callable[[pa.RecordBatch], Iterator[dict[str, list]]], schema: str
 ) -> DataFrame:
@@ -61,7 +82,7 @@ def map_batches(
                     [_array(columns[field.name], field.type) for field in arrow], schema=arrow
                 )
 
-    return frame.mapInArrow(run, empty)
+    return map_arrow(frame, run, empty)
 
 
 def arrow_schema(schema) -> pa.Schema:

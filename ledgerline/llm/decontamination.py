@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ledgerline.llm.common import map_batches, texts
+from ledgerline.llm.common import map_arrow, map_batches, texts
 
 WINDOW = 13
 BLOCK_BYTES = 4 << 20
@@ -277,4 +277,4 @@ def _filtered(documents: DataFrame, items: list) -> DataFrame:
                 keep.append(hits is None or HIT_SHARE * int(hits[0].sum()) < len(words))
             yield batch.filter(pa.array(keep, type=pa.bool_()))
 
-    return documents.mapInArrow(run, documents.schema)
+    return map_arrow(documents, run, documents.schema)

@@ -10,6 +10,7 @@ from ledgerline.llm.common import read_table
 from ledgerline.llm.decontamination import contamination
 from ledgerline.llm.packing import pack_documents
 from ledgerline.llm.secret_scan import scan_secrets
+from ledgerline.llm.simhash import near_duplicates
 from ledgerline.llm.substring_dedup import dedup_substrings
 from ledgerline.llm.suffix_dedup import dedup_suffixes
 from ledgerline.llm.token_counts import token_counts
@@ -23,6 +24,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(_documents(spark, sf_dir)).drop("kept_text")
 
 
+def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_documents(spark, sf_dir))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_documents(spark, sf_dir)).drop("found")
 
@@ -47,6 +52,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         op1_substring_dedup,
+        op2_simhash_dedup,
         op3_secret_scan,
         op5_token_counts,
         op6_suffix_dedup,

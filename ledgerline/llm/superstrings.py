@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.blocks import pack, to_buckets, unpack
-from ledgerline.llm.common import NULL_ID, doc_key, map_batches
+from ledgerline.llm.common import NULL_ID, doc_key, map_arrow, map_batches
 
 #: Buckets a partition works off one after another, to divide its memory.
 ROUNDS = 4
@@ -179,7 +179,7 @@ def resolve_buckets(
             yield from finished()
 
     cuts_schema = exchanged.sparkSession.createDataFrame([], CUTS).schema
-    return ready.mapInArrow(function, cuts_schema)
+    return map_arrow(ready, function, cuts_schema)
 
 
 def with_cuts(documents: DataFrame, cuts: DataFrame) -> DataFrame:
