@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerline.llm.common import read_table
 from ledgerline.llm.decontamination import contamination
 from ledgerline.llm.packing import pack_documents
+from ledgerline.llm.quality_rules import MEASURES, assess
 from ledgerline.llm.secret_scan import scan_secrets
 from ledgerline.llm.simhash import near_duplicates
 from ledgerline.llm.substring_dedup import dedup_substrings
@@ -44,6 +45,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_documents(spark, sf_dir))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assess(_documents(spark, sf_dir, "lang", "source")).drop(*(m.name for m in MEASURES))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = read_table(spark, sf_dir, "benchmark", "item_id", "text")
     return contamination(_documents(spark, sf_dir), benchmark).drop("items", "spans")
@@ -57,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op5_token_counts,
         op6_suffix_dedup,
         op7_best_fit_packing,
+        op8_quality_rules,
         op10_decontamination,
     )
     return {query.__name__: query for query in named}
