@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm.blocks import bucket_count
 from ledgerline.llm.common import map_batches, stored, texts
-from ledgerline.llm.tokens import IdCache, default_path, units_of
+from ledgerline.llm.tokens import default_path, id_cache
 
 CAPACITY = 2048
 END_ID = 0
@@ -36,14 +36,13 @@ Pattern = tuple[tuple[int, int], ...]
 def pieces_of(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """Token pieces per document: number, first token, length, checksum of the ids."""
 
-    def function(batch, cache=[]):  # noqa: B006  one for each task
-        if not cache:
-            cache.append(IdCache(tokenizer_path))
+    def function(batch):
+        cache = id_cache(tokenizer_path)
         end = np.array([END_ID], dtype="<u4").tobytes()
         ids = batch.column(0)
         out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
         for row, text in enumerate(texts(batch)):
-            coded = cache[0].ids_of(units_of(text)) + end
+            coded = cache.ids_of(text) + end
             for number, start in enumerate(range(0, len(coded), 4 * capacity)):
                 part = coded[start : start + 4 * capacity]
                 out["doc_id"].append(ids[row].as_py())

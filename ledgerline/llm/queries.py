@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerline.llm.common import read_table
 from ledgerline.llm.decontamination import contamination
 from ledgerline.llm.packing import pack_documents
+from ledgerline.llm.pii import find_personal_data
 from ledgerline.llm.quality_rules import MEASURES, assess
 from ledgerline.llm.secret_scan import scan_secrets
 from ledgerline.llm.simhash import near_duplicates
 from ledgerline.llm.substring_dedup import dedup_substrings
 from ledgerline.llm.suffix_dedup import dedup_suffixes
 from ledgerline.llm.token_counts import token_counts
+from ledgerline.llm.toxicity import score_documents
 
 
 def _documents(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
@@ -33,6 +35,11 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_documents(spark, sf_dir)).drop("found")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = read_table(spark, sf_dir, "labels", "doc_id", "toxic")
+    return score_documents(_documents(spark, sf_dir), labels)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_documents(spark, sf_dir))
 
@@ -49,6 +56,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assess(_documents(spark, sf_dir, "lang", "source")).drop(*(m.name for m in MEASURES))
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(_documents(spark, sf_dir)).drop("found")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = read_table(spark, sf_dir, "benchmark", "item_id", "text")
     return contamination(_documents(spark, sf_dir), benchmark).drop("items", "spans")
@@ -59,10 +70,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op1_substring_dedup,
         op2_simhash_dedup,
         op3_secret_scan,
+        op4_toxicity,
         op5_token_counts,
         op6_suffix_dedup,
         op7_best_fit_packing,
         op8_quality_rules,
+        op9_personal_data,
         op10_decontamination,
     )
     return {query.__name__: query for query in named}

@@ -67,17 +67,22 @@ def fingerprint_of(text: str, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_key, fp): one row per document row."""
+    """(doc_key, digest, fp): one row per document row; the digest tells texts of one id apart."""
 
     def function(batch):
         values = [fingerprint_of(text, shingle) for text in texts(batch)]
         yield {
             "doc_key": batch.column(0),
+            "digest": batch.column(2),
             "fp": np.array(values, dtype=np.uint64).view(np.int64),
         }
 
-    source = documents.select(doc_key().alias("doc_key"), "text")
-    return map_batches(source, function, "doc_key long, fp long")
+    source = documents.select(doc_key().alias("doc_key"), "text", _digest().alias("digest"))
+    return map_batches(source, function, "doc_key long, digest long, fp long")
+
+
+def _digest():
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def _patterns(bits: int, weight: int) -> np.ndarray:
@@ -236,10 +241,10 @@ def link_edges(replicas: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return map_arrow(dealt, run, "a long, b long")
 
 
-def near_duplicates(
+def _components(
     documents: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD
 ) -> DataFrame:
-    """Per document row: fingerprint and component, named by the smallest doc_id in it."""
+    """(doc_key, digest, fp, root, component) per row: root is a fingerprint, component the smallest id."""
     marked = stored(fingerprints(documents, shingle))
     classes = stored(marked.groupBy("fp").agg(F.min("doc_key").alias("rep")))
     labels = components(link_edges(_replicas(classes, threshold), threshold))
@@ -247,9 +252,36 @@ def near_duplicates(
         "fp", "rep", F.coalesce("root", "fp").alias("root")
     )
     smallest = rooted.groupBy("root").agg(F.min("rep").alias("component"))
-    named = rooted.join(smallest, "root").select("fp", "component")
-    return marked.join(named, "fp").select(
+    named = rooted.join(smallest, "root").select("fp", "root", "component")
+    return marked.join(named, "fp")
+
+
+def near_duplicates(
+    documents: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD
+) -> DataFrame:
+    """Per document row: fingerprint and component, named by the smallest doc_id in it."""
+    return _components(documents, shingle, threshold).select(
         F.when(F.col("doc_key") != NULL_ID, F.col("doc_key")).alias("doc_id"),
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         F.when(F.col("component") != NULL_ID, F.col("component")).alias("component_id"),
     )
+
+
+def one_of_each_group(documents: DataFrame) -> DataFrame:
+    """The row with the smallest doc_id of each component, all columns kept.
+
+    Of several rows with that doc_id, one stays. The texts are shuffled once, for the join that finds
+    the rows; equal rows are then next to each other.
+    """
+    named = _components(documents)
+    heads = named.groupBy("root").agg(
+        F.min(F.struct("doc_key", "digest")).alias("head")
+    )
+    heads = heads.select(F.col("head.doc_key").alias("_key"), F.col("head.digest").alias("_digest"))
+    rows = documents.withColumn("_row_key", doc_key()).withColumn("_row_digest", _digest())
+    found = rows.join(
+        heads,
+        (F.col("_row_key") == F.col("_key")) & (F.col("_row_digest") == F.col("_digest")),
+        "left_semi",
+    )
+    return found.dropDuplicates(["_row_key", "_row_digest"]).select(*documents.columns)

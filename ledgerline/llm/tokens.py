@@ -8,7 +8,9 @@ strings hold no white space and stay inside one piece.
 
 from __future__ import annotations
 
+import json
 import re
+from functools import lru_cache
 
 import numpy as np
 
@@ -46,25 +48,70 @@ def piece_counts(path: str, units: list[str]) -> np.ndarray:
     return np.fromiter((len(x.ids) for x in coded), np.int64, len(units))
 
 
+#: ASCII capitals to small letters.
+_SMALL = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: A full stop or comma between a small Latin letter and white space.
+_STOP = re.compile(rb"(?:(?<=[a-z])|(?<=\xc3[\x9f-\xb6\xb8-\xbf]))([.,])(?=[ \n])")
+
+
+def folds_words(path: str) -> bool:
+    """Whether a tokenizer lower-cases, drops white space, and parts letters from punctuation."""
+    config = json.loads(tokenizer(path).to_str())
+    normal, before = config.get("normalizer") or {}, config.get("pre_tokenizer") or {}
+    steps = [(x["type"], x.get("pattern"), x.get("content")) for x in normal.get("normalizers", [])]
+    splits = before.get("pretokenizers", [])
+    return (
+        steps == [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)]
+        and [x["type"] for x in splits] == ["Split", "ByteLevel"]
+        and splits[0]["behavior"] == "Removed"
+        and splits[0]["invert"]
+        and splits[0]["pattern"]["Regex"].endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        and not splits[1].get("add_prefix_space")
+    )
+
+
+def folded_units(text: str) -> list[bytes]:
+    """Words of a text for a tokenizer that folds them: fewer different ones than pre-tokens.
+
+    Capitals stay where a special string might stand, since those are matched before lower-casing.
+    """
+    raw = text.encode("utf-8", "surrogatepass")
+    if b"<|" not in raw:
+        raw = raw.translate(_SMALL)
+    return _STOP.sub(rb" \1", raw).split()
+
+
 class IdCache:
-    """Ids of units as little-endian bytes, within ``limit`` cached units."""
+    """Ids of texts through a cache from unit to ids (little-endian bytes) of bounded size."""
 
-    def __init__(self, path: str, limit: int = 400_000):
-        self.path, self.limit, self.known = path, limit, {}
+    def __init__(self, path: str, limit: int = 1_200_000):
+        self.path, self.limit = path, limit
+        self.known: dict = {}
+        self.folds = folds_words(path)
 
-    def ids_of(self, units: list[str]) -> bytes:
+    def ids_of(self, text: str) -> bytes:
+        units = folded_units(text) if self.folds else units_of(text)
         known = self.known
         try:
             return b"".join([known[u] for u in units])
         except KeyError:
             missing = list({u for u in units if u not in known})
-        if len(known) + len(missing) > self.limit:
-            known.clear()
-            missing = list(set(units))
-        for unit, coded in zip(
-            missing,
-            tokenizer(self.path).encode_batch_fast(missing, add_special_tokens=False),
-            strict=True,
-        ):
-            known[unit] = np.array(coded.ids, dtype="<u4").tobytes()
-        return b"".join([known[u] for u in units])
+        words = [u.decode("utf-8", "surrogatepass") for u in missing] if self.folds else missing
+        # units are normalised and split one by one; word_ids tells them apart again
+        coded = tokenizer(self.path).encode(words, is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(coded.ids, dtype="<u4")
+        owner = np.array([-1 if w is None else w for w in coded.word_ids], dtype=np.int64)
+        edges = np.searchsorted(owner, np.arange(len(missing) + 1)).tolist()
+        found = {
+            unit: ids[edges[number] : edges[number + 1]].tobytes() for number, unit in enumerate(missing)
+        }
+        if len(known) + len(found) <= self.limit:  # once full, common units are known
+            known.update(found)
+            return b"".join([known[u] for u in units])
+        return b"".join([found[u] if u in found else known[u] for u in units])
+
+
+@lru_cache(maxsize=2)
+def id_cache(path: str) -> IdCache:
+    """One cache for each worker process, kept from task to task."""
+    return IdCache(path)
