@@ -50,6 +50,12 @@ def unpack(blob: bytes) -> list:
     return parts
 
 
+def narrow(values: np.ndarray) -> np.ndarray:
+    """Whole numbers from 0 on in the smallest type that holds them."""
+    most = int(values.max(initial=0))
+    return values.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint64)
+
+
 def mixed(values: np.ndarray) -> np.ndarray:
     """A fixed mixing of 64-bit numbers, for dealing to buckets and ranking; equality is judged on content."""
     x = values.astype(np.uint64, copy=True)

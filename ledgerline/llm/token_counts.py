@@ -3,7 +3,8 @@
 Each Arrow batch turns its documents into per-document pre-token frequencies and deals them to
 buckets by pre-token: a block lists the batch's pre-tokens of that bucket with their (document,
 frequency) postings. In its bucket a pre-token is encoded once and its number of pieces is joined to
-all postings; sums per document are added up by a grouping on doc_id.
+all postings; the sums of a block go home to where their batch's other sums meet, as one packed row,
+and are added up there and once more by doc_id.
 
 A pre-token that many documents of a batch hold (``HOT`` of them) is dealt by batch instead, so that
 a very common one is spread over all buckets, at the price of one encoding in each of them.
@@ -21,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.blocks import bucket_count, dealt, pack, to_buckets, unpack
+from ledgerline.llm.blocks import bucket_count, dealt, narrow, pack, to_buckets, unpack
 from ledgerline.llm.common import NULL_ID, doc_key, map_batches, texts
 from ledgerline.llm.tokens import default_path, piece_counts, units_of
 
@@ -64,8 +65,8 @@ def _packed(units: dict[str, list[int]], ids: np.ndarray, first: int, buckets: i
     sizes = np.fromiter(map(len, postings), np.int64, len(postings)) // 2
     flat = np.fromiter((x for p in postings for x in p), np.int64, 2 * int(sizes.sum())).reshape(-1, 2)
     bucket = dealt(np.fromiter(map(zlib.crc32, raw), np.uint64, len(raw)), buckets)
-    spread = int(dealt(ids[first : first + 1].astype(np.uint64), buckets)[0])
-    bucket = np.where(sizes >= HOT, (bucket + spread) % buckets, bucket)
+    home = dealt(ids[first : first + 1].astype(np.uint64), buckets)
+    bucket = np.where(sizes >= HOT, (bucket + home[0]) % buckets, bucket)
     order = np.argsort(bucket, kind="stable")
     starts = np.concatenate(([0], np.cumsum(sizes)))
     out_bucket, out_block = [], []
@@ -79,11 +80,12 @@ def _packed(units: dict[str, list[int]], ids: np.ndarray, first: int, buckets: i
         out_bucket.append(int(bucket[order[begin]]))
         out_block.append(
             pack(
+                home,
                 ids[present].astype(np.int64),
-                np.fromiter(map(len, chosen_raw), np.int64, len(chosen_raw)).astype(np.uint32),
-                sizes[chosen].astype(np.uint32),
-                local.astype(np.uint16 if len(present) < 65536 else np.uint32),
-                times.astype(np.uint8 if times.max() < 256 else np.uint32),
+                narrow(np.fromiter(map(len, chosen_raw), np.int64, len(chosen_raw))),
+                narrow(sizes[chosen]),
+                narrow(local),
+                narrow(times),
                 b"".join(chosen_raw),
             )
         )
@@ -95,9 +97,10 @@ def token_counts(documents: DataFrame, tokenizer_path: str | None = None, limit:
     path = tokenizer_path or default_path("byte_bpe_50k.json")
     buckets = bucket_count(documents.sparkSession)
 
-    def function(batch, known={}):  # noqa: B006  one for each task
+    def count(batch, known={}):  # noqa: B006  one for each task
+        out: dict[str, list] = {"home": [], "block": []}
         for blob in batch.column(1):
-            ids, lengths, sizes, local, times, raw = unpack(blob.as_py())
+            home, ids, lengths, sizes, local, times, raw = unpack(blob.as_py())
             ends = np.cumsum(lengths.astype(np.int64)).tolist()
             units = [raw[a:b] for a, b in zip([0, *ends], ends)]
             missing = [u for u in units if u not in known]
@@ -107,13 +110,25 @@ def token_counts(documents: DataFrame, tokenizer_path: str | None = None, limit:
             found = piece_counts(path, [u.decode("utf-8", "surrogatepass") for u in missing])
             known.update(zip(missing, found.tolist()))
             pieces = np.fromiter((known[u] for u in units), np.int64, len(units))
-            weights = np.repeat(pieces, sizes) * times
             total = np.zeros(len(ids), dtype=np.int64)
-            np.add.at(total, local, weights)
+            np.add.at(total, local, np.repeat(pieces, sizes.astype(np.int64)) * times.astype(np.int64))
+            out["home"].append(int(home[0]))
+            out["block"].append(pack(ids, narrow(total)))
+        yield out
+
+    def add_up(batch):
+        held = [unpack(blob.as_py()) for blob in batch.column(1)]
+        if held:
+            ids, place = np.unique(np.concatenate([ids for ids, _ in held]), return_inverse=True)
+            total = np.zeros(len(ids), dtype=np.int64)
+            np.add.at(total, place, np.concatenate([part.astype(np.int64) for _, part in held]))
             yield {"doc_id": ids, "tokens": total}
 
-    dealt_out = to_buckets(_blocks(documents, buckets), buckets)
-    sums = map_batches(dealt_out, function, "doc_id long, tokens long")
+    counted = map_batches(
+        to_buckets(_blocks(documents, buckets), buckets), count, "home int, block binary"
+    )
+    # a batch's blocks go home together, sorted next to each other, so that each document gives few rows
+    sums = map_batches(to_buckets(counted, buckets, "home"), add_up, "doc_id long, tokens long")
     base = documents.select(
         doc_key().alias("doc_id"),
         F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
