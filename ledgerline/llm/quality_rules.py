@@ -243,6 +243,6 @@ def kept_documents(documents: DataFrame) -> DataFrame:
     Only the measures of the first pass are written, not the texts: the second pass measures again.
     """
     limits = stored(fences(stored(measured(_inputs(documents)).drop("text", "doc_id"))))
-    whole = F.struct(*(F.col(c) for c in documents.columns)).alias("_row")
+    whole = F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("_row")
     rows = documents.select(whole, "text", "lang", "source")
     return judged(measured(rows), limits).where("kept").select("_row.*")

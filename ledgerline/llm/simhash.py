@@ -278,10 +278,11 @@ def one_of_each_group(documents: DataFrame) -> DataFrame:
         F.min(F.struct("doc_key", "digest")).alias("head")
     )
     heads = heads.select(F.col("head.doc_key").alias("_key"), F.col("head.digest").alias("_digest"))
-    rows = documents.withColumn("_row_key", doc_key()).withColumn("_row_digest", _digest())
+    whole = F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("_row")
+    rows = documents.select(whole, doc_key().alias("_row_key"), _digest().alias("_row_digest"))
     found = rows.join(
         heads,
         (F.col("_row_key") == F.col("_key")) & (F.col("_row_digest") == F.col("_digest")),
         "left_semi",
     )
-    return found.dropDuplicates(["_row_key", "_row_digest"]).select(*documents.columns)
+    return found.dropDuplicates(["_row_key", "_row_digest"]).select("_row.*")

@@ -327,17 +327,17 @@ class Model:
     def _calibrate(self, documents: list[tuple[int, np.ndarray]]) -> None:
         """Share of toxic documents by margin, monotone: neighbours that fall are pooled."""
         pairs = sorted((self.margin(rows), t) for t, rows in documents)
-        blocks: list[list[float]] = []  # sum of margins, sum of labels, size
+        blocks: list[list[float]] = []  # least and largest margin, toxic documents, documents
         for margin, toxic in pairs:
-            blocks.append([margin, toxic, 1.0])
+            blocks.append([margin, margin, toxic, 1.0])
             while len(blocks) > 1 and (
-                blocks[-2][1] / blocks[-2][2] >= blocks[-1][1] / blocks[-1][2]
-                or blocks[-2][0] / blocks[-2][2] >= blocks[-1][0] / blocks[-1][2]
+                blocks[-2][2] / blocks[-2][3] >= blocks[-1][2] / blocks[-1][3]
+                or blocks[-2][1] >= blocks[-1][0]
             ):
-                last = blocks.pop()
-                blocks[-1] = [x + y for x, y in zip(blocks[-1], last)]
-        self.margins = [m / n for m, _, n in blocks]
-        self.shares = [t / n for _, t, n in blocks]
+                low, high, hits, size = blocks.pop()
+                blocks[-1] = [blocks[-1][0], high, blocks[-1][2] + hits, blocks[-1][3] + size]
+        self.margins = [edge for block in blocks for edge in block[:2]]
+        self.shares = [block[2] / block[3] for block in blocks for _ in range(2)]
 
 
 def train(documents: DataFrame, labels: DataFrame) -> Model:
