@@ -1033,12 +1033,17 @@ edges AS (
     SELECT customer AS upstream, ord AS downstream FROM placed
     UNION ALL SELECT * FROM held UNION ALL SELECT * FROM supplied
 )"""
-_WALKED = """
-reached AS (
-    SELECT node, depth FROM (
-        SELECT node, 1 AS depth, pos FROM step_one UNION ALL SELECT node, 2, pos FROM step_two
-        UNION ALL SELECT node, 3, pos FROM step_three)
-    ORDER BY depth, pos LIMIT 199
+_DOWN = """
+walk AS (
+    SELECT upstream AS start, downstream AS node, 1 AS depth FROM edges
+    WHERE upstream IN (SELECT asset_id FROM assets)
+    UNION SELECT start, downstream, depth + 1 FROM walk JOIN edges ON upstream = node
+)"""
+_UP = """
+walk AS (
+    SELECT downstream AS start, upstream AS node, 1 AS depth FROM edges
+    WHERE downstream LIKE 'part.%'
+    UNION SELECT start, upstream, depth + 1 FROM walk JOIN edges ON downstream = node
 )"""
 
 _CATALOG = {
@@ -1062,33 +1067,15 @@ _CATALOG = {
         "(SELECT upstream AS asset_id FROM edges UNION SELECT downstream FROM edges) "
         "WHERE asset_id NOT IN (SELECT asset_id FROM assets WHERE layer <> 'marts')"
     ),
-    "lineage_reach": f"""WITH {_EDGES},
-step_one AS (
-    SELECT ord AS node, row_number() OVER (ORDER BY ord) AS pos FROM placed
-    WHERE customer = 'customer.1'
-),
-step_two AS (
-    SELECT part AS node, row_number() OVER (ORDER BY min(pos), part) AS pos
-    FROM step_one JOIN held ON held.ord = node GROUP BY part
-),
-step_three AS (
-    SELECT supplier AS node, row_number() OVER (ORDER BY min(pos), supplier) AS pos
-    FROM step_two JOIN supplied ON supplied.part = node GROUP BY supplier
-),{_WALKED} SELECT node, CAST(depth AS BIGINT) AS depth FROM reached""",
-    "lineage_upstream": f"""WITH {_EDGES},
-step_one AS (
-    SELECT ord AS node, row_number() OVER (ORDER BY ord) AS pos FROM held WHERE part = 'part.7'
-),
-step_two AS (
-    SELECT customer AS node, row_number() OVER (ORDER BY min(pos), customer) AS pos
-    FROM step_one JOIN placed ON placed.ord = node GROUP BY customer
-),
-step_three AS (SELECT NULL AS node, 0 AS pos WHERE false),{_WALKED}
-SELECT node, CAST(depth AS BIGINT) AS depth FROM reached""",
+    "lineage_reach": f"""WITH RECURSIVE {_EDGES}, {_ASSETS}, {_DOWN}
+SELECT start, node, CAST(min(depth) AS BIGINT) AS depth FROM walk
+WHERE start LIKE 'customer.%' GROUP BY start, node""",
+    "lineage_upstream": f"""WITH RECURSIVE {_EDGES}, {_ASSETS}, {_UP}
+SELECT start, node, CAST(min(depth) AS BIGINT) AS depth FROM walk GROUP BY start, node""",
     "lineage_walked_edges": f"""WITH {_EDGES}
-SELECT ord AS upstream, part AS downstream FROM held WHERE part = 'part.7'
+SELECT ord AS upstream, part AS downstream FROM held
 UNION
-SELECT customer, ord FROM placed WHERE ord IN (SELECT ord FROM held WHERE part = 'part.7')""",
+SELECT customer, ord FROM placed WHERE ord IN (SELECT ord FROM held)""",
     "finding_paths": f"""{_with(_FINDINGS, _EDGES)},
 found AS (
     SELECT 'order.' || substr(model, 7) AS model, "column", change_type FROM findings
@@ -1099,12 +1086,10 @@ paths AS (
     UNION ALL SELECT ord, ord || '|' || part || '|' || supplier FROM held JOIN supplied USING (part)
 )
 SELECT model, "column", change_type, path FROM found JOIN paths USING (model)""",
-    "lineage_impact": f"""WITH {_EDGES}, {_ASSETS},
-first AS (SELECT DISTINCT part AS node FROM held WHERE ord = 'order.17'),
-second AS (SELECT DISTINCT supplier AS node FROM supplied WHERE part IN (SELECT node FROM first)),
-found AS (SELECT node, 1 AS depth FROM first UNION ALL SELECT node, 2 FROM second)
-SELECT asset_id, layer, CAST(depth AS BIGINT) AS depth, layer = 'marts' AS is_published
-FROM assets JOIN found ON node = asset_id""",
+    "lineage_impact": f"""WITH RECURSIVE {_EDGES}, {_ASSETS}, {_DOWN}
+SELECT start, asset_id, layer, CAST(min(depth) AS BIGINT) AS depth, layer = 'marts' AS is_published
+FROM walk JOIN assets ON node = asset_id WHERE start LIKE 'order.%'
+GROUP BY start, asset_id, layer""",
     "impact_paths": f"""WITH {_EDGES},
 starts AS (SELECT 'order.' || s_suppkey AS start FROM supplier)
 SELECT start, start || '|' || part AS path FROM starts JOIN held ON ord = start

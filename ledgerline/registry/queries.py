@@ -718,20 +718,30 @@ def lineage_unknown_endpoints(spark, directory):
     return lineage.unknown_endpoints(derived.lineage_edges(spark, directory), known)
 
 
+def _starts(spark, directory, layer):
+    """Every asset of a layer as a start of a walk."""
+    assets = derived.lineage_assets(spark, directory).filter(F.col("layer") == layer)
+    return assets.select(F.col("asset_id").alias("start"))
+
+
 def lineage_reach(spark, directory):
+    """Everything below every customer."""
     edges = derived.lineage_edges(spark, directory)
-    return lineage.reach(edges, "customer.1", max_depth=3).nodes
+    return lineage.reach(edges, _starts(spark, directory, "source"))
 
 
 def lineage_upstream(spark, directory):
+    """Everything above every part."""
     edges = derived.lineage_edges(spark, directory)
-    return lineage.reach(edges, "part.7", downstream=False, max_depth=8).nodes
+    return lineage.reach(edges, _starts(spark, directory, "intermediate"), downstream=False)
 
 
 def lineage_walked_edges(spark, directory):
-    """Edges met on the way from a part up to its orders and customers."""
+    """Edges met on the way from every part up to its orders and customers."""
     edges = derived.lineage_edges(spark, directory)
-    return lineage.reach(edges, "part.7", downstream=False, max_depth=8).edges
+    starts = _starts(spark, directory, "intermediate")
+    reached = lineage.reach(edges, starts, downstream=False)
+    return lineage.walked_edges(edges, starts, reached, downstream=False)
 
 
 def finding_paths(spark, directory):
@@ -745,10 +755,11 @@ def finding_paths(spark, directory):
 
 
 def lineage_impact(spark, directory):
+    """Parts and suppliers that every order touches."""
     return lineage.impact(
         derived.lineage_edges(spark, directory),
         derived.lineage_assets(spark, directory),
-        "order.17",
+        _starts(spark, directory, "staging"),
     )
 
 

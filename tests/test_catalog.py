@@ -91,25 +91,31 @@ def edges(spark, *pairs):
 GRAPH = [("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "e"), ("e", "a")]
 
 
-def test_reach_limits(spark):
+def starts(spark, *names):
+    return spark.createDataFrame([(n,) for n in names], "start string")
+
+
+def test_reach_of_many_starts(spark):
     graph = edges(spark, *GRAPH)
-    full = lineage.reach(graph, "a", max_depth=8)
-    assert values(full.nodes) == [("b", 1), ("c", 1), ("d", 2), ("e", 3)]
-    assert full.edges.count() == 6 and not full.truncated
-    shallow = lineage.reach(graph, "a", max_depth=1)
-    assert values(shallow.nodes, "node") == [("b",), ("c",)] and shallow.truncated
-    up = lineage.reach(graph, "d", downstream=False, max_depth=2)
-    assert values(up.nodes) == [("a", 2), ("b", 1), ("c", 1)]
-    capped = lineage.reach(graph, "a", max_depth=8, max_nodes=3)
-    assert values(capped.nodes, "node") == [("b",), ("c",)] and capped.truncated
-
-
-def test_reach_of_a_hub_is_bounded(spark):
+    full = lineage.reach(graph, starts(spark, "a", "d"))
+    assert values(full) == [
+        ("a", "b", 1), ("a", "c", 1), ("a", "d", 2), ("a", "e", 3),
+        ("d", "a", 2), ("d", "b", 3), ("d", "c", 3), ("d", "e", 1),
+    ]
+    assert lineage.walked_edges(graph, starts(spark, "a", "d"), full).count() == 6
+    assert values(lineage.reach(graph, starts(spark, "a"), max_depth=1), "node") == [("b",), ("c",)]
+    up = lineage.reach(graph, starts(spark, "d"), downstream=False, max_depth=2)
+    assert values(up, "node", "depth") == [("a", 2), ("b", 1), ("c", 1)]
+
+
+def test_reach_of_a_hub_and_of_a_long_chain_is_whole(spark):
     hub = spark.range(5000).select(F.lit("hub").alias("upstream"),
                                    F.format_string("n%05d", "id").alias("downstream"))
-    found = lineage.reach(hub, "hub")
-    assert found.nodes.count() == lineage.MAX_LINEAGE_NODES - 1 and found.truncated
-    assert found.nodes.agg(F.max("node")).first()[0] == "n00198"
+    assert lineage.reach(hub, starts(spark, "hub")).count() == 5000
+    chain = edges(spark, *[(f"c{n:02d}", f"c{n + 1:02d}") for n in range(12)])
+    deepest = lineage.reach(chain, starts(spark, "c00")).agg(F.max("depth")).first()[0]
+    assert deepest == 12
+    assert lineage.impact_paths(chain, starts(spark, "c00")).count() == 12
 
 
 def test_edges_impact_and_endpoints(spark):
@@ -121,19 +127,19 @@ def test_edges_impact_and_endpoints(spark):
     assert values(built, "upstream", "downstream") == [("a", "b"), ("b", "d")]
     assert lineage.unknown_endpoints(built, catalog).count() == 0
     assert values(lineage.unknown_endpoints(edges(spark, ("a", "q")), catalog)) == [("q",)]
-    assert values(lineage.impact(built, catalog, "a"), "asset_id", "is_published") == [
+    assert values(lineage.impact(built, catalog, starts(spark, "a")), "asset_id", "is_published") == [
         ("b", False), ("d", True)
     ]
 
 
 def test_impact_paths(spark):
-    starts = spark.createDataFrame([("a",), ("e",)], "start string")
-    found = values(lineage.impact_paths(edges(spark, *GRAPH), starts).filter("start = 'a'"), "path")
+    begin = starts(spark, "a", "e")
+    found = values(lineage.impact_paths(edges(spark, *GRAPH), begin).filter("start = 'a'"), "path")
     assert sorted(p for (p,) in found) == [
         ["a", "b"], ["a", "b", "d"], ["a", "b", "d", "e"], ["a", "b", "d", "e", "a"],
         ["a", "c"], ["a", "c", "d"],
     ]
-    short = lineage.impact_paths(edges(spark, *GRAPH), starts, max_depth=1)
+    short = lineage.impact_paths(edges(spark, *GRAPH), begin, max_depth=1)
     assert values(short, "path") == [(["a", "b"],), (["a", "c"],), (["e", "a"],)]
 
 
