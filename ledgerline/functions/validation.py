@@ -23,7 +23,6 @@ from ledgerline.schemas import (
     ORDER_EVENT_TYPES,
 )
 
-MESSAGE_LIMIT = 1000
 
 # Characters of the Unicode White_Space property.
 WHITE_SPACE = (
@@ -464,14 +463,13 @@ def _verdict(family: Family) -> dict[str, Column]:
     )
     if family.reject_other_types_as:
         given = _envelope_value("event_type")
-        shown = F.substring(given.text, 1, 100)
         other = ~given.is_absent_or_null & ~F.coalesce(
             F.col("event_type").isin(*family.event_types), F.lit(False)
         )
         error_type = error_type.when(other, F.lit(family.reject_other_types_as))
         message = message.when(
             other,
-            F.concat(F.lit("event_type "), shown, F.lit(f" is not supported by {family.name}")),
+            F.lit("event_type: not accepted by this consumer"),
         )
     error_type = error_type.when(broken, F.lit("ValidationError")).when(
         too_wide, F.lit("StorageConstraintError")
@@ -481,7 +479,7 @@ def _verdict(family: Family) -> dict[str, Column]:
     )
     return {
         "error_type": error_type,
-        "error_message": F.substring(message, 1, MESSAGE_LIMIT),
+        "error_message": message,
     }
 
 

@@ -54,7 +54,7 @@ def evaluate_costs(estimates: DataFrame, policy: DataFrame, now: datetime | Colu
 
     ``estimates``: query_id, model, valid, total_bytes_processed, partition_filter_present,
     requested_scan_window_days, maximum_scan_window_days, has_waiver, and the waiver columns.
-    A missing estimate is invalid, never zero. The policy has one row per model and joins by
+    A missing or negative estimate is invalid, never zero. The policy has one row per model and joins by
     model name; where none matches, the default row's values apply.
     """
     clock = now if isinstance(now, Column) else F.lit(now)
@@ -90,10 +90,12 @@ def evaluate_costs(estimates: DataFrame, policy: DataFrame, now: datetime | Colu
     blocks = F.coalesce(estimate >= F.col("blocking_threshold_bytes"), F.lit(False))
     warns = F.coalesce(estimate >= F.col("warning_threshold_bytes"), F.lit(False))
     is_valid = F.coalesce(F.col("valid"), F.lit(False))
+    negative = F.coalesce(estimate < 0, F.lit(False))
     filtered = F.coalesce(F.col("partition_filter_present"), F.lit(False))
     errors = {
         "fixture-validity": ~is_valid,
         "missing-estimate": estimate.isNull(),
+        "negative-estimate": negative,
         "partition-filter": (F.col("model") != PARTITION_FILTER_EXEMPT) & ~filtered,
         "scan-window-requested": ~requested_ok,
         "scan-window-maximum": ~maximum_ok,
@@ -118,7 +120,7 @@ def evaluate_costs(estimates: DataFrame, policy: DataFrame, now: datetime | Colu
         }
     )
     decision = (
-        F.when(~is_valid | estimate.isNull(), F.lit("invalid"))
+        F.when(~is_valid | estimate.isNull() | negative, F.lit("invalid"))
         .when(F.size("errors") > 0, F.lit("block"))
         .when(F.size("warnings") > 0, F.lit("warn"))
         .otherwise(F.lit("pass"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 _COARSE_PER_OCTAVE = 256
 _FINE_BINS = 65_536
+_LAST_BIN = (1 << 63) - 1
 
 
 def nearest_rank_percentiles(
@@ -26,9 +27,10 @@ def nearest_rank_percentiles(
         raise ValueError("a percentile must be greater than 0 and at most 1")
     keys = list(by)
     # Bins only need to be monotone in the value; both functions below are.
-    coarse = F.floor(
-        F.signum("_v") * F.log2(1 + F.abs("_v")) * _COARSE_PER_OCTAVE
-    ).cast("bigint")
+    # NaN is the largest value, as in Spark's own order.
+    coarse = F.when(F.isnan("_v"), F.lit(_LAST_BIN)).otherwise(
+        F.floor(F.signum("_v") * F.log2(1 + F.abs("_v")) * _COARSE_PER_OCTAVE).cast("bigint")
+    )
     counted = (
         samples.filter(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias("_v"))
@@ -49,7 +51,7 @@ def nearest_rank_percentiles(
         *keys, "percentile", "_rank", "_below", "_coarse", "_low", "_high"
     )
 
-    candidates = counted.join(in_coarse, [*keys, "_coarse"]).withColumn("_fine", _fine_bin())
+    candidates = _null_safe_join(counted, in_coarse, keys, ["_coarse"]).withColumn("_fine", _fine_bin())
     target = [*keys, "percentile"]
     per_target = Window.partitionBy(*target)
     fine_bins = candidates.groupBy(*target, "_fine", "_rank", "_below").agg(
@@ -63,13 +65,27 @@ def nearest_rank_percentiles(
         .filter(_holds_rank("_bin_n"))
         .select(*target, "_fine", F.col("_below").alias("_fine_below"))
     )
-    finalists = candidates.join(in_fine, [*target, "_fine"]).withColumn(
+    finalists = _null_safe_join(candidates, in_fine, keys, ["percentile", "_fine"]).withColumn(
         "_below",
         F.col("_fine_below") + F.sum("_n").over(per_target.orderBy("_v")) - F.col("_n"),
     )
     return finalists.filter(_holds_rank("_n")).select(*target, F.col("_v").alias("value"))
 
 
+def _null_safe_join(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], others: Sequence[str]
+) -> DataFrame:
+    """Inner join on keys, of which NULL equals NULL, and on columns that are never NULL."""
+    renamed = right.withColumnsRenamed({key: f"_right_{key}" for key in (*keys, *others)})
+    same = F.lit(True)
+    for key in keys:
+        same = same & F.col(key).eqNullSafe(F.col(f"_right_{key}"))
+    for key in others:
+        if key in left.columns:
+            same = same & (F.col(key) == F.col(f"_right_{key}"))
+    return left.join(renamed, same).drop(*[f"_right_{key}" for key in (*keys, *others)])
+
+
 def _literals(values: Sequence[float]) -> Column:
     return F.array(*[F.lit(float(value)) for value in values])
 

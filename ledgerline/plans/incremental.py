@@ -45,15 +45,38 @@ def backfill(full_model: DataFrame, root: str, name: str, start: date, end: date
 
 
 def replace_days(full_model: DataFrame, root: str, name: str, start: date, end: date) -> None:
-    """Overwrite exactly the day partitions of the range that hold rows."""
+    """Overwrite the day partitions of the range; days without rows any more become empty."""
     contract = CONTRACTS[name]
     if contract.partition_column is None:
         raise ValueError(f"{name} is not partitioned by day; merge it by key")
     table = enforce_contract(full_model, contract)
     window = table.filter(between_dates(contract.partition_column, start, end))
-    write_table(
-        window, f"{root}/{name}", partition_column=contract.partition_column, dynamic=True
+    held = read_mart_files(full_model.sparkSession, root, name).filter(
+        between_dates(contract.partition_column, start, end)
     )
+    _replace_partitions(window, held.select(contract.partition_column), root, contract)
+
+
+def _replace_partitions(
+    table: DataFrame, touched: DataFrame, root: str, contract: Contract
+) -> None:
+    """Overwrite the days of ``table`` and empty the ``touched`` days that it no longer holds.
+
+    A dynamic overwrite leaves days without new rows as they are, so each of these gets a file
+    without rows in place of its old ones. Only the emptied days are listed on the driver.
+    """
+    spark, day = table.sparkSession, contract.partition_column
+    ensure_checkpoint_dir(spark)
+    table = table.checkpoint()
+    emptied = touched.select(day).distinct().join(table.select(day).distinct(), day, "left_anti")
+    emptied_days = [row[0] for row in emptied.collect()]
+    path = f"{root}/{contract.name}"
+    write_table(table, path, partition_column=day, dynamic=True)
+    columns = [column for column in contract.columns if column != day]
+    for value in emptied_days:
+        table.select(*columns).limit(0).coalesce(1).write.mode("overwrite").parquet(
+            f"{path}/{day}={value}"
+        )
 
 
 def affected_days(order_events: DataFrame, arrived: DataFrame) -> DataFrame:
@@ -71,9 +94,9 @@ def refresh_days(full_model: DataFrame, root: str, name: str, days: DataFrame) -
     contract = CONTRACTS[name]
     table = enforce_contract(full_model, contract)
     chosen = table.join(days, contract.partition_column, "left_semi").select(*contract.columns)
-    write_table(
-        chosen, f"{root}/{name}", partition_column=contract.partition_column, dynamic=True
-    )
+    held = read_mart_files(full_model.sparkSession, root, name).select(contract.partition_column)
+    touched = held.join(days, contract.partition_column, "left_semi")
+    _replace_partitions(chosen, touched, root, contract)
 
 
 def late_rows(new_rows: DataFrame, contract: Contract, as_of: date) -> DataFrame:
@@ -89,17 +112,17 @@ def late_rows(new_rows: DataFrame, contract: Contract, as_of: date) -> DataFrame
 def merge_latest(
     current: DataFrame, updates: DataFrame, key: Sequence[str], version: Sequence[str]
 ) -> DataFrame:
-    """Keyed merge: an updated key takes its highest-version update, others stay.
+    """Keyed merge: every key takes its row of the highest version.
 
-    One aggregate over the union instead of an anti-join: updates win over current rows by
-    rank, then by version, and copies collapse map-side.
+    One aggregate over the union instead of an anti-join: the highest version wins wherever it
+    comes from, an update wins over a current row of its version, and copies collapse map-side.
     """
     columns = current.columns
     rest = [name for name in columns if name not in key and name not in version]
     ranked = current.withColumn("_rank", F.lit(0)).unionByName(
         updates.select(*columns).withColumn("_rank", F.lit(1))
     )
-    picked = F.max(F.struct("_rank", *version, *rest)).alias("_picked")
+    picked = F.max(F.struct(*version, "_rank", *rest)).alias("_picked")
     return (
         ranked.groupBy(*key)
         .agg(picked)
@@ -121,16 +144,15 @@ def merge_into_mart(
     key = list(contract.unique_key)
     current = read_mart_files(spark, root, name)
     day = contract.partition_column
-    if day is not None:
-        replaced = current.join(updates.select(*key).distinct(), key, "left_semi").select(day)
-        touched = replaced.unionByName(updates.select(day)).distinct()
-        current = current.join(touched, day, "left_semi").select(*contract.columns)
-    merged = enforce_contract(
-        merge_latest(current, updates, key, version), contract
-    ).checkpoint()
-    write_table(
-        merged, f"{root}/{name}", partition_column=day, dynamic=day is not None
-    )
+    if day is None:
+        merged = enforce_contract(merge_latest(current, updates, key, version), contract)
+        write_table(merged.checkpoint(), f"{root}/{name}")
+        return
+    replaced = current.join(updates.select(*key).distinct(), key, "left_semi").select(day)
+    touched = replaced.unionByName(updates.select(day)).distinct().checkpoint()
+    current = current.join(touched, day, "left_semi").select(*contract.columns)
+    merged = enforce_contract(merge_latest(current, updates, key, version), contract)
+    _replace_partitions(merged, touched, root, contract)
 
 
 def read_mart(

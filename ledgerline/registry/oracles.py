@@ -329,8 +329,8 @@ judged AS (
                            || 'GET, POST, PUT, PATCH, DELETE, HEAD, OPTIONS'
                WHEN 2 THEN 'payload.status_code: must be a whole number from 100 to 599'
                WHEN 3 THEN 'payload.endpoint: must start with /'
-               WHEN 4 THEN 'event_type order_created is not supported by access logs'
-               WHEN 5 THEN 'event_type application_error_log is not supported by access logs'
+               WHEN 4 THEN 'event_type: not accepted by this consumer'
+               WHEN 5 THEN 'event_type: not accepted by this consumer'
                WHEN 7 THEN 'payload is not valid JSON' END AS error_message
     FROM sent
 )"""
@@ -592,7 +592,8 @@ est AS (
                WHEN '2' THEN 'mart_service_health' WHEN '3' THEN 'fct_order_events'
                WHEN '4' THEN 'fct_orders' ELSE 'adhoc_report' END AS model,
            o_custkey % 11 <> 0 AS valid,
-           CASE WHEN o_orderkey % 13 <> 0 THEN CAST(floor(o_totalprice * 2500) AS BIGINT) END AS bytes,
+           CASE WHEN o_orderkey % 13 <> 0 THEN CAST(floor(o_totalprice * 2500) AS BIGINT)
+               * CASE WHEN o_orderkey % 17 = 0 THEN -1 ELSE 1 END END AS bytes,
            o_custkey % 3 <> 0 AS filtered,
            o_orderkey % 12 AS requested,
            CASE WHEN substr(o_orderpriority, 1, 1) = '2' THEN 7 ELSE 31 END AS maximum,
@@ -1116,6 +1117,7 @@ named AS (
     SELECT *, concat_ws('|',
         CASE WHEN NOT valid THEN 'fixture-validity' END,
         CASE WHEN bytes IS NULL THEN 'missing-estimate' END,
+        CASE WHEN bytes < 0 THEN 'negative-estimate' END,
         CASE WHEN model <> 'fct_orders' AND NOT filtered THEN 'partition-filter' END,
         CASE WHEN requested <= 0 THEN 'scan-window-requested' END,
         CASE WHEN requested > maximum THEN 'scan-window-exceeded' END,
@@ -1131,7 +1133,7 @@ named AS (
     FROM judged
 )
 SELECT query_id, model,
-       CASE WHEN NOT valid OR bytes IS NULL THEN 'invalid' WHEN errors <> '' THEN 'block'
+       CASE WHEN NOT valid OR bytes IS NULL OR bytes < 0 THEN 'invalid' WHEN errors <> '' THEN 'block'
             WHEN warnings <> '' THEN 'warn' ELSE 'pass' END AS decision,
        bytes AS estimated_bytes, CAST(warning AS BIGINT) AS warning_threshold_bytes,
        CAST(blocking AS BIGINT) AS blocking_threshold_bytes, cost_class, errors, warnings,

@@ -247,7 +247,10 @@ def query_estimates(spark: SparkSession, directory: str) -> DataFrame:
         key.alias("query_id"),
         F.element_at(models, level).alias("model"),
         (customer % 11 != 0).alias("valid"),
-        F.when(key % 13 != 0, F.floor(F.col("o_totalprice") * 2500)).alias("total_bytes_processed"),
+        F.when(
+            key % 13 != 0,
+            F.floor(F.col("o_totalprice") * 2500) * F.when(key % 17 == 0, -1).otherwise(1),
+        ).alias("total_bytes_processed"),
         (customer % 3 != 0).alias("partition_filter_present"),
         (key % 12).cast("int").alias("requested_scan_window_days"),
         F.when(level == 2, F.lit(7)).otherwise(F.lit(31)).alias("maximum_scan_window_days"),

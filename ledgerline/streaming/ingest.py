@@ -20,7 +20,7 @@ FLUSH_INTERVAL = "10 seconds"
 # At about 100 bytes per id this is 20 MB on each executor.
 BROADCAST_IDS = 200_000
 CONFLICT_TYPE = "DuplicateEventConflict"
-CONFLICT_MESSAGE = "event_id was reused with different metric data"
+CONFLICT_MESSAGE = "event_id: seen before in this batch with other measurements"
 
 # Only these are compared when an event id comes back within one batch.
 METRIC_COLUMNS = [*MINUTE_KEY, "status_class", "response_time_ms"]

@@ -63,15 +63,35 @@ def test_incremental_equals_full_and_reruns_are_safe(spark, tmp_path, events):
     assert values(found) == values(orders.fct_order_events(events))
 
 
-def test_merge_latest_prefers_updates_then_versions(rows):
+def test_merge_latest_takes_the_highest_version(rows):
     schema = "k string, v int, x string"
-    current = rows([dict(k="a", v=9, x="old"), dict(k="b", v=1, x="kept")], schema)
-    updates = rows([dict(k="a", v=1, x="first"), dict(k="a", v=2, x="second"), dict(k="c", v=1, x="new")], schema)
+    current = rows([dict(k="a", v=9, x="newest"), dict(k="b", v=1, x="kept"), dict(k="d", v=2, x="same")], schema)
+    updates = rows([dict(k="a", v=1, x="old"), dict(k="a", v=2, x="older update"), dict(k="c", v=1, x="new"),
+                    dict(k="d", v=2, x="replayed")], schema)
     assert values(incremental.merge_latest(current, updates, ["k"], ["v"])) == [
-        ("a", 2, "second"), ("b", 1, "kept"), ("c", 1, "new")
+        ("a", 9, "newest"), ("b", 1, "kept"), ("c", 1, "new"), ("d", 2, "replayed")
     ]
 
 
+def test_a_day_that_loses_all_rows_is_emptied(spark, full_marts, events):
+    read = lambda name: build.read_mart_files(spark, full_marts, name)
+    facts = orders.fct_order_events(events)
+    day = facts.agg(F.min("event_date")).first()[0]
+    moved = facts.filter(F.col("event_date") == day).withColumns({
+        "event_date": F.date_add("event_date", 400),
+        "event_sequence_number": F.col("event_sequence_number") + 1000,
+    })
+    incremental.merge_into_mart(spark, moved, full_marts, "fct_order_events", ["event_sequence_number"])
+    found = read("fct_order_events")
+    assert found.count() == facts.count() == found.select("event_id").distinct().count()
+    assert found.filter(F.col("event_date") == day).count() == 0
+    gone = read("mart_daily_sales").agg(F.min("event_date")).first()[0]
+    shorter = sales.daily_sales(events).filter(F.col("event_date") > gone)
+    incremental.replace_days(shorter, full_marts, "mart_daily_sales", gone, gone)
+    assert read("mart_daily_sales").filter(F.col("event_date") == gone).count() == 0
+    assert values(read("mart_daily_sales")) == values(shorter)
+
+
 def test_bounded_reads(spark, full_marts):
     read = lambda *bounds: incremental.read_mart(spark, full_marts, "mart_service_health", *bounds)
     week = read(date(2024, 1, 1), date(2024, 1, 7))

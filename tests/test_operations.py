@@ -132,6 +132,14 @@ def test_percentiles_per_group_with_random_samples(rows):
     assert found == {(g, p): nearest_rank(vs, p) for g, vs in groups.items() for p in points}
 
 
+def test_percentiles_of_a_null_group_and_of_nan(rows):
+    frame = rows([dict(g=None, v=1.0), dict(g=None, v=2.0), dict(g="a", v=float("nan")),
+                  dict(g="a", v=2.0), dict(g="a", v=3.0)], "g string, v double")
+    found = {r.g: r for r in percentiles.sample_summary(frame, "v", [0.5, 1.0], ["g"]).collect()}
+    assert (found[None].sample_count, found[None].p50, found[None].p100) == (2, 1.0, 2.0)
+    assert found["a"].p50 == 3.0 and found["a"].p100 != found["a"].p100
+
+
 def test_percentiles_of_nothing(rows):
     empty = rows([], "v double")
     assert percentiles.nearest_rank_percentiles(empty, "v", [0.5]).count() == 0

@@ -129,9 +129,9 @@ def test_storage_limits_are_quarantined(spark):
     assert [row.error_type for row in rows] == ["StorageConstraintError"] * 4 + [None]
 
 
-def test_messages_are_cut(spark):
+def test_messages_are_whole_and_show_no_values(spark):
     row = verdicts(spark, [event("order_paid", {**PAID, **{f"k{n}" * 9: 1 for n in range(99)}})], ORDERS)[0]
-    assert len(row.error_message) == 1000
+    assert all(f"k{n}" * 9 in row.error_message for n in range(99))
 
 
 def test_access_log_types(spark):
