@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 16
-
 
 def first_occurrences(
     records: DataFrame, key: Sequence[str], order_by: Sequence[str]
@@ -36,14 +34,16 @@ def conflicting_reuse(
     key: Sequence[str],
     order_by: Sequence[str],
     compared: Sequence[str],
-    salts: int = SALTS,
+    salts: int | None = None,
 ) -> DataFrame:
     """Rows whose compared columns differ from those of the first row with the same key.
 
     Only keys that really hold two different values take part. Their rows are spread over
-    ``salts`` buckets and the one-row-per-key side is repeated once per bucket, so one reused
+    ``salts`` buckets (as many as the session has shuffle partitions) and the one-row-per-key side is repeated once per bucket, so one reused
     key cannot gather all of its copies in a single task.
     """
+    if salts is None:
+        salts = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     value = F.struct(*compared)
     disagreeing = (
         records.groupBy(*key)

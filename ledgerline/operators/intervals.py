@@ -69,31 +69,51 @@ def within_intervals(
 ) -> DataFrame:
     """Rows whose coordinate lies in an interval of exactly its topic and partition.
 
-    Joining on topic and partition alone would put a busy partition into one task. Each
-    interval is listed once per offset segment it touches, and the semi-join also matches
-    the segment, which spreads both sides. AQE broadcasts the interval side when it
-    measures as small.
+    Rows and interval starts are sorted together inside (topic, partition, offset segment), and
+    a row is inside if the furthest end of the intervals that started up to it lies beyond it.
+    The work is linear in rows and intervals however fragmented the intervals are, and a busy
+    partition is spread over its segments; intervals are cut at segment edges.
     """
-    pieces = intervals.filter("end_offset_exclusive > start_offset").select(
-        F.col("topic").alias("_i_topic"),
-        F.col("partition").alias("_i_partition"),
-        F.col("start_offset").alias("_i_start"),
-        F.col("end_offset_exclusive").alias("_i_end"),
-        F.explode(
-            F.sequence(
-                F.expr(f"start_offset div {segment_offsets}"),
-                F.expr(f"(end_offset_exclusive - 1) div {segment_offsets}"),
-            )
-        ).alias("_i_segment"),
+    place = ["_topic", "_partition", "_segment"]
+    begin, end = F.col("start_offset").cast("bigint"), F.col("end_offset_exclusive").cast("bigint")
+    pieces = (
+        intervals.filter("end_offset_exclusive > start_offset")
+        .select(
+            F.col("topic").alias("_topic"),
+            F.col("partition").cast("bigint").alias("_partition"),
+            begin.alias("_start"),
+            end.alias("_stop"),
+            F.explode(
+                F.sequence(
+                    F.expr(f"start_offset div {segment_offsets}"),
+                    F.expr(f"(end_offset_exclusive - 1) div {segment_offsets}"),
+                )
+            ).alias("_segment"),
+        )
+        .select(
+            *place,
+            F.greatest("_start", F.col("_segment") * segment_offsets).alias("_at"),
+            F.least("_stop", (F.col("_segment") + 1) * segment_offsets).alias("_end"),
+        )
     )
-    matches = (
-        (F.col(topic) == F.col("_i_topic"))
-        & (F.col(partition) == F.col("_i_partition"))
-        & (F.expr(f"`{offset}` div {segment_offsets}") == F.col("_i_segment"))
-        & (F.col(offset) >= F.col("_i_start"))
-        & (F.col(offset) < F.col("_i_end"))
+    placed = rows.filter(
+        F.col(topic).isNotNull() & F.col(partition).isNotNull() & F.col(offset).isNotNull()
+    ).select(
+        F.col(topic).alias("_topic"),
+        F.col(partition).cast("bigint").alias("_partition"),
+        F.expr(f"`{offset}` div {segment_offsets}").alias("_segment"),
+        F.col(offset).cast("bigint").alias("_at"),
+        F.struct(*rows.columns).alias("_row"),
+    )
+    # NULL sorts first, so an interval that starts at a row's offset comes before the row
+    so_far = Window.partitionBy(*place).orderBy("_at", F.col("_row").isNotNull())
+    reached = F.max("_end").over(so_far.rowsBetween(Window.unboundedPreceding, 0))
+    return (
+        placed.unionByName(pieces, allowMissingColumns=True)
+        .withColumn("_reached", reached)
+        .filter(F.col("_row").isNotNull() & (F.col("_reached") > F.col("_at")))
+        .select("_row.*")
     )
-    return rows.join(pieces, matches, "left_semi")
 
 
 def consumed_count(intervals: DataFrame, committed: DataFrame) -> DataFrame:
@@ -135,15 +155,16 @@ def run_counts(
 ) -> DataFrame:
     """Named counts of one run: rows inside its intervals, and the whole minute table."""
     markers = within_intervals(
-        processed_events,
+        processed_events.select("consumer_group", "topic", "partition_id", "offset_id"),
         intervals,
         topic="topic",
         partition="partition_id",
         offset="offset_id",
     )
-    orders = within_intervals(valid_orders, intervals.filter(F.col("topic") == order_topic))
+    coordinates = ["kafka_topic", "kafka_partition", "kafka_offset"]
+    orders = within_intervals(valid_orders.select(*coordinates), intervals.filter(F.col("topic") == order_topic))
     letters = within_intervals(
-        dead_letters,
+        dead_letters.select("original_topic", "original_partition", "original_offset"),
         intervals,
         topic="original_topic",
         partition="original_partition",

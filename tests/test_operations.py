@@ -132,6 +132,19 @@ def test_percentiles_per_group_with_random_samples(rows):
     assert found == {(g, p): nearest_rank(vs, p) for g, vs in groups.items() for p in points}
 
 
+def test_membership_with_every_second_offset_is_linear(spark):
+    delivered = spark.range(0, 60_000, 2).select(
+        F.lit("t").alias("topic"), F.lit(0).alias("partition"), F.col("id").alias("offset"))
+    ranges = intervals.coalesce_offsets(delivered)
+    rows = spark.range(60_000).select(F.lit("t").alias("kafka_topic"), F.lit(0).alias("kafka_partition"),
+                                      F.col("id").alias("kafka_offset"))
+    found = intervals.within_intervals(rows, ranges)
+    assert found.columns == rows.columns
+    assert found.agg(F.count("*"), F.max(F.col("kafka_offset") % 2)).first()[:] == (30_000, 0)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+
+
 def test_percentiles_of_a_null_group_and_of_nan(rows):
     frame = rows([dict(g=None, v=1.0), dict(g=None, v=2.0), dict(g="a", v=float("nan")),
                   dict(g="a", v=2.0), dict(g="a", v=3.0)], "g string, v double")
