@@ -236,3 +236,25 @@ def test_json_evidence(spark, tmp_path):
         '{"results": [{"unique_id": "t1", "status": "pass"},\n {"unique_id": "t2"}]}'
     )
     assert values(result_report(spark, f"{tmp_path}/results.json")) == [("t1", "pass"), ("t2", "unknown")]
+
+
+def test_scrubbing_reaches_every_level(spark):
+    frame = spark.createDataFrame(
+        [(1, ("pw", "see https://u:p@h/x"), [("k", {"api_token": "t", "note": "Bearer abc.d"})], 7)],
+        "id int, login struct<password:string,hint:string>, "
+        "calls array<struct<name:string,fields:map<string,string>>>, secret_number int",
+    )
+    row = scrub.scrub_frame(frame).first()
+    assert row.id == 1 and row.secret_number is None
+    assert tuple(row.login) == ("[REDACTED]", "see [REDACTED]")
+    assert row.calls[0].fields == {"api_token": "[REDACTED]", "note": "[REDACTED]"}
+    assert scrub.scrub_frame(frame).columns == frame.columns
+
+
+def test_scrubbing_of_json_text(rows):
+    body = '{"user": "a", "password": "p\\"q", "n": {"auth_token" : 12}, "text": "bearer xyz"}'
+    frame = rows([dict(t=body)], "t string")
+    found = frame.select(scrub.scrub_json_text("t").alias("t")).first().t
+    assert found == (
+        '{"user": "a", "password": "[REDACTED]", "n": {"auth_token" : "[REDACTED]"}, "text": "[REDACTED]"}'
+    )
