@@ -165,7 +165,8 @@ def fences(measures: DataFrame) -> DataFrame:
     )
     merged = [F.kll_merge_agg_double(m.name).alias(m.name) for m in MEASURES]
     by_lang = by_source.groupBy("lang").agg(F.sum("n").alias("n"), *merged)
-    overall = by_source.groupBy().agg(*merged)
+    # one row by construction, read as a scalar
+    overall = by_source.groupBy().agg(F.struct(*merged).alias("all")).scalar()
     groups = measures.select("lang", "source").distinct()
     joined = (
         groups.alias("g")
@@ -175,14 +176,13 @@ def fences(measures: DataFrame) -> DataFrame:
             "left",
         )
         .join(by_lang.alias("l"), F.col("g.lang").eqNullSafe(F.col("l.lang")), "left")
-        .join(overall.alias("o"), F.lit(True), "left")
     )
     columns = [F.col("g.lang").alias("lang"), F.col("g.source").alias("source")]
     for m in MEASURES:
         sketch = (
             F.when(F.col("s.n") >= SMALL_GROUP, F.col(f"s.{m.name}"))
             .when(F.col("l.n") >= SMALL_GROUP, F.col(f"l.{m.name}"))
-            .otherwise(F.col(f"o.{m.name}"))
+            .otherwise(overall[m.name])
         )
         low, high = (
             F.when(
