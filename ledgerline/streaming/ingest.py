@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
@@ -17,8 +18,6 @@ from ledgerline.streaming.ledger import ACCESS_ROW, ORDER_ROW, Ledger
 
 COORDINATE = ["topic", "partition", "offset"]
 FLUSH_INTERVAL = "10 seconds"
-# At about 100 bytes per id this is 20 MB on each executor.
-BROADCAST_IDS = 200_000
 CONFLICT_TYPE = "DuplicateEventConflict"
 CONFLICT_MESSAGE = "event_id: seen before in this batch with other measurements"
 
@@ -83,7 +82,7 @@ def resolve(
         *[name for name in job.row_schema.fieldNames() if name in valid.columns],
     )
     firsts = first_occurrences(rows, ["consumer_group", "event_id"], COORDINATE)
-    accepted = firsts if earlier_markers is None else unseen(firsts, earlier_markers)
+    accepted = firsts if earlier_markers is None else pending(firsts, earlier_markers)
     dead = rejected
     if job.checks_conflicts:
         conflicts = conflicts_in(valid).withColumns(
@@ -97,23 +96,6 @@ def resolve(
     )
 
 
-def unseen(firsts: DataFrame, earlier_markers: DataFrame) -> DataFrame:
-    """First occurrences without an earlier marker.
-
-    A micro-batch is small and the markers of all time are not. Once its number of ids is
-    known to be small, they are broadcast: the markers are then only scanned for two columns
-    and filtered in place, never shuffled. A larger batch, such as a first load, is joined
-    by shuffling both sides.
-    """
-    key = ["consumer_group", "event_id"]
-    ids = firsts.select(*key)
-    if ids.limit(BROADCAST_IDS + 1).count() > BROADCAST_IDS:
-        return pending(firsts, earlier_markers)
-    seen = earlier_markers.select(*key).join(F.broadcast(ids), key, "left_semi")
-    # Markers are unique, so at most BROADCAST_IDS of them remain.
-    return firsts.join(F.broadcast(seen), key, "left_anti")
-
-
 def outcome_counts(resolved: Resolved) -> DataFrame:
     """Rows (outcome, record_count); duplicates are the records in neither other part."""
 
@@ -148,13 +130,21 @@ def start(
     *,
     available_now: bool = False,
     flush_interval: str = FLUSH_INTERVAL,
+    dead_letter_sink: Callable[[DataFrame], None] | None = None,
 ) -> StreamingQuery:
-    """Run a consumer over a stream of raw records until stopped (or until caught up)."""
+    """Run a consumer over a stream of raw records until stopped (or until caught up).
+
+    ``dead_letter_sink`` also gets each batch's dead letters after the ledger has them, for
+    instance to send them to a topic; a replayed batch sends its letters again.
+    """
     spark = records.sparkSession
     ledger = Ledger(spark, ledger_root, job.row_schema)
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        persist_batch(batch, batch_id, job, ledger, query_id_of(spark, checkpoint))
+        query_id = query_id_of(spark, checkpoint)
+        persist_batch(batch, batch_id, job, ledger, query_id)
+        if dead_letter_sink is not None:
+            dead_letter_sink(ledger.dead_letters_of(query_id, batch_id))
 
     writer = records.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
     if available_now:

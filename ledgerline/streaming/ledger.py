@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerline.operators.dedup import first_occurrences
 from ledgerline.plans.health import ADDITIVE, MINUTE_KEY, access_contributions, combine_minutes
 from ledgerline.schemas import (
     DEAD_LETTER,
@@ -111,8 +112,19 @@ class Ledger:
         return self._minutes_with(self._tail())
 
     def dead_letters(self) -> DataFrame:
+        """One letter per consumer group and original coordinate, the first that was written.
+
+        Records that a new checkpoint delivers again are stored again, but not read twice.
+        """
         schema = T.StructType([*DEAD_LETTER.fields, *_BATCH_COLUMNS])
-        return self._read(f"{self.root}/dead_letters", schema).select(*DEAD_LETTER.fieldNames())
+        letters = self._read(f"{self.root}/dead_letters", schema).select(*DEAD_LETTER.fieldNames())
+        coordinate = ["original_topic", "original_partition", "original_offset"]
+        return first_occurrences(letters, ["consumer_group", *coordinate], ["failed_at"])
+
+    def dead_letters_of(self, query_id: str, batch_id: int) -> DataFrame:
+        """The letters that one micro-batch wrote."""
+        path = self.batch_path("dead_letters", query_id, batch_id)
+        return self.spark.read.schema(DEAD_LETTER).parquet(path)
 
     # --- compaction ---
 

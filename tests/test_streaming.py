@@ -102,6 +102,36 @@ def test_conflicting_reuse_goes_to_dead_letters_and_exact_copies_do_not(logs):
     assert markers == [(uuid(1), 5), (uuid(2), 4)]
 
 
+def test_dead_letters_are_read_once_after_a_new_checkpoint_and_reach_the_sink(spark, tmp_path):
+    consumer = Consumer(spark, tmp_path, ACCESS_JOB)
+    consumer.send(access(1, 0), (b"k", b"{", "logs", 0, 1, None), (b"k", b"[]", "logs", 0, 2, None))
+    sent = []
+    stream = record_file_stream(spark, f"{consumer.folder}/records")
+    query = ingest.start(stream, ACCESS_JOB, f"{consumer.folder}/ledger", f"{consumer.folder}/first",
+                         available_now=True, dead_letter_sink=lambda letters: sent.append(letters.count()))
+    query.awaitTermination()
+    assert sent == [2]
+    consumer.run("again")
+    assert values(consumer.ledger.dead_letters(), "original_offset") == [(1,), (2,)]
+    assert consumer.ledger.markers().count() == 1
+
+
+def test_flush_interval_runs_until_stopped(spark, tmp_path):
+    consumer = Consumer(spark, tmp_path, ACCESS_JOB)
+    consumer.send(access(1, 0))
+    stream = record_file_stream(spark, f"{consumer.folder}/records")
+    query = ingest.start(stream, ACCESS_JOB, f"{consumer.folder}/ledger", f"{consumer.folder}/timed",
+                         flush_interval="1 second")
+    try:
+        query.processAllAvailable()
+        consumer.send(access(2, 1))
+        query.processAllAvailable()
+        assert query.isActive
+    finally:
+        query.stop()
+    assert consumer.ledger.markers().count() == 2
+
+
 def test_every_record_is_processed_duplicate_or_dead(logs):
     logs.send(access(1, 0), access(1, 1), access(2, 2, status=700), (b"k", b"{", "logs", 0, 3, None))
     logs.run()
