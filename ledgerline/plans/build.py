@@ -88,17 +88,18 @@ def read_mart_files(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 # --- declared checks --------------------------------------------------------------------
+# The column names, conditions and accepted values that the checks declare.
 
 _CREATED = "event_type = 'order_created'"
 _PRICED = "event_type in ('order_created', 'order_paid', 'payment_failed')"
 
 
-def _missing(columns: str) -> dict[str, Column]:
-    return {f"{name} not null": quality.is_missing(name) for name in columns.split()}
+def _missing(columns: Sequence[str]) -> dict[str, Column]:
+    return {f"{name} not null": quality.is_missing(name) for name in columns}
 
 
-def _negative(columns: str) -> dict[str, Column]:
-    return {f"{name} non-negative": quality.is_negative(name) for name in columns.split()}
+def _negative(columns: Sequence[str]) -> dict[str, Column]:
+    return {f"{name} non-negative": quality.is_negative(name) for name in columns}
 
 
 def _accepted(column: str, values: Sequence[str], where: str | None = None) -> dict[str, Column]:
@@ -120,11 +121,12 @@ def source_suites(
         "valid_orders",
         valid_orders,
         {
-            **_missing(
-                "event_id order_id event_type user_id event_time kafka_topic kafka_partition "
-                "kafka_offset created_at"
-            ),
-            **_negative("kafka_partition kafka_offset"),
+            **_missing((
+                "event_id", "order_id", "event_type", "user_id",
+                "event_time", "kafka_topic", "kafka_partition",
+                "kafka_offset", "created_at",
+            )),
+            **_negative(("kafka_partition", "kafka_offset")),
             **_accepted("event_type", ORDER_EVENT_TYPES),
             **_accepted("currency", CURRENCIES, "currency is not null"),
             **_accepted("channel", CHANNELS, "channel is not null"),
@@ -144,8 +146,11 @@ def source_suites(
         "processed_events",
         processed_events,
         {
-            **_missing("consumer_group event_id topic partition_id offset_id processed_at"),
-            **_negative("partition_id offset_id"),
+            **_missing((
+                "consumer_group", "event_id", "topic", "partition_id",
+                "offset_id", "processed_at",
+            )),
+            **_negative(("partition_id", "offset_id")),
         },
         {
             "marker unique": quality.unique_combination(
@@ -153,16 +158,17 @@ def source_suites(
             )
         },
     )
+    # Column names.
     counters = (
-        "request_count success_count client_error_count server_error_count "
-        "response_time_sum_ms max_response_time_ms"
+        "request_count", "success_count", "client_error_count",
+        "server_error_count", "response_time_sum_ms", "max_response_time_ms",
     )
     minute_key = ["metric_minute", "service", "endpoint"]
     minute_suite = Suite(
         "log_metrics_minute",
         log_metrics,
         {
-            **_missing(f"{' '.join(minute_key)} {counters} updated_at"),
+            **_missing((*minute_key, *counters, "updated_at")),
             **_negative(counters),
             "counts add up": quality.counts_differ(),
         },
@@ -192,21 +198,23 @@ def mart_suites(
     mart_service_health: DataFrame,
 ) -> list[Suite]:
     """Checks declared on the published marts."""
+    # Column names.
     sales_measures = (
-        "created_order_count created_order_amount paid_order_count paid_amount "
-        "cancelled_order_count payment_failed_order_count payment_failed_amount "
-        "payment_attempt_count"
+        "created_order_count", "created_order_amount", "paid_order_count",
+        "paid_amount", "cancelled_order_count", "payment_failed_order_count",
+        "payment_failed_amount", "payment_attempt_count",
     )
+    # Column names.
     service_measures = (
-        "request_count success_count client_error_count server_error_count error_count "
-        "max_response_time_ms"
+        "request_count", "success_count", "client_error_count",
+        "server_error_count", "error_count", "max_response_time_ms",
     )
     return [
         Suite(
             "fct_order_events",
             fct_order_events,
             {
-                **_missing("event_id order_id event_type user_id"),
+                **_missing(("event_id", "order_id", "event_type", "user_id")),
                 **_accepted("event_type", ORDER_EVENT_TYPES),
             },
             {"event_id unique": quality.unique(fct_order_events, "event_id")},
@@ -215,9 +223,9 @@ def mart_suites(
             "fct_orders",
             fct_orders,
             {
-                **_missing("order_id user_id"),
+                **_missing(("order_id", "user_id")),
                 **_accepted("latest_order_state", tuple(ORDER_STATES.values())),
-                **_negative("payment_attempt_count payment_failure_count"),
+                **_negative(("payment_attempt_count", "payment_failure_count")),
                 "order_event_count positive": quality.not_positive("order_event_count"),
             },
             {"order_id unique": quality.unique(fct_orders, "order_id")},
@@ -226,7 +234,7 @@ def mart_suites(
             "mart_daily_sales",
             mart_daily_sales,
             {
-                **_missing("event_date"),
+                **_missing(("event_date",)),
                 **_accepted("currency", CURRENCIES, "currency is not null"),
                 **_accepted("channel", CHANNELS, "channel is not null"),
                 **_negative(sales_measures),
@@ -241,7 +249,7 @@ def mart_suites(
             "mart_service_health",
             mart_service_health,
             {
-                **_missing("metric_minute metric_date service"),
+                **_missing(("metric_minute", "metric_date", "service")),
                 "counts add up": quality.counts_differ(),
                 **_negative(service_measures),
                 "endpoint_count positive": quality.not_positive("endpoint_count"),
