@@ -81,26 +81,28 @@ class Shard:
             return common
         before = np.full(size, -1, dtype=np.int64)
         before[self.order[1:]] = self.order[:-1]
-        lane = max(self.depth, int(np.sqrt(size)))
+        most = np.minimum(self.stop - np.arange(size), self.stop[before] - before)
+        most = np.where(before < 0, 0, np.minimum(most, self.depth))
+        # eight symbols from every place on, as one number
+        eight = np.ndarray((size,), "<u8", np.append(self.data, np.zeros(8, np.uint8)).tobytes(), 0, (1,))
+        lane = 2 * self.depth
         first = np.arange(0, size, lane)
         height = np.zeros(len(first), dtype=np.int64)
         for step in range(lane):
             here = first + step
             if here[-1] >= size:
-                here, height = here[:-1], height[: len(here) - 1]
-                first = first[: len(here)]
+                here, height, first = here[:-1], height[:-1], first[:-1]
                 if not len(here):
                     break
-            other = before[here]
-            most = np.minimum(self.stop[here] - here, self.stop[other] - other)
-            most = np.where(other < 0, 0, np.minimum(most, self.depth))
-            height = np.minimum(height, most)
-            open_ = np.flatnonzero(height < most)
+            other, limit = before[here], most[here]
+            height = np.minimum(height, limit)
+            open_ = np.flatnonzero(height < limit)
             while len(open_):
-                same = self.data[here[open_] + height[open_]] == self.data[other[open_] + height[open_]]
-                open_ = open_[same]
-                height[open_] += 1
-                open_ = open_[height[open_] < most[open_]]
+                at = height[open_]
+                odd = eight[here[open_] + at] ^ eight[other[open_] + at]
+                same = np.bitwise_count((odd & -odd) - np.uint64(1)) >> 3  # equal symbols in front
+                height[open_] = np.minimum(at + same, limit[open_])
+                open_ = open_[(same == 8) & (height[open_] < limit[open_])]
             common[self.rank[here]] = height
             height = np.maximum(height - 1, 0)
         return common
