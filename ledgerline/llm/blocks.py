@@ -10,7 +10,7 @@ import numpy as np
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
-LEVEL = 3
+LEVEL = 5
 
 
 def bucket_count(spark: SparkSession) -> int:

@@ -40,6 +40,8 @@ from ledgerline.llm.common import map_batches, texts
 
 WINDOW = 13
 GRAM = 3
+#: Bytes of a bucket whose words are hashed at a time.
+HASHED_BYTES = 1 << 20
 
 _MULTIPLIERS = mixed(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
@@ -134,16 +136,22 @@ def _chunk(group, words, keys, crcs, partitions, buckets, size):
 
 
 def _word_hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word of the buffer, without a loop over words."""
+    """A 64-bit hash of each word of the buffer, without a loop over words; bounded memory."""
     lengths = ends - starts
-    inside = np.arange(len(buffer), dtype=np.int64) - np.repeat(
-        starts, np.diff(np.append(starts, len(buffer)))
-    )
-    powers = np.cumprod(np.full(int(lengths.max()) + 2, 0x9E3779B97F4A7C15, dtype=np.uint64))
-    terms = (buffer.astype(np.uint64) + np.uint64(1)) * powers[np.minimum(inside, len(powers) - 1)]
-    separator = (buffer == 32) | (buffer == 10)
-    terms[separator] = 0
-    return mixed(np.add.reduceat(terms, starts) + lengths.astype(np.uint64))
+    powers = np.cumprod(np.full(int(lengths.max()) + 1, 0x9E3779B97F4A7C15, dtype=np.uint64))
+    hashes = np.empty(len(starts), dtype=np.uint64)
+    first = 0
+    while first < len(starts):
+        last = max(first + 1, int(np.searchsorted(starts, starts[first] + HASHED_BYTES)))
+        low, high = int(starts[first]), int(ends[last - 1]) + 1
+        sizes = lengths[first:last]
+        inside = np.arange(high - low) - np.repeat(starts[first:last] - low, sizes + 1)
+        # the separator behind a word counts as nothing
+        terms = (buffer[low:high].astype(np.uint64) + np.uint64(1)) * powers[inside]
+        terms[ends[first:last] - low] = 0
+        hashes[first:last] = np.add.reduceat(terms, starts[first:last] - low)
+        first = last
+    return mixed(hashes + lengths.astype(np.uint64))
 
 
 def _judge(blocks: list[list], size: int):
@@ -237,7 +245,7 @@ def dedup_substrings(documents: DataFrame, size: int = WINDOW) -> DataFrame:
     """Per document row: words, removed words, digest of the kept words, the kept text."""
 
     def function(text, cuts):
-        words = words_of(text)
+        words = text.split()
         gone = covered(cuts, len(words), size)
         removed = int(gone.sum())
         kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g]) if removed else b" ".join(words)

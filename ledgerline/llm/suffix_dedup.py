@@ -228,7 +228,7 @@ def dedup_suffixes(documents: DataFrame, size: int = WINDOW, shard_bytes: int =
     """Per document row: bytes, removed bytes and runs, digest of what is kept, the kept bytes."""
 
     def function(text, cuts):
-        raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+        raw = np.frombuffer(text, np.uint8)
         gone = covered(cuts, len(raw), size)
         spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if len(gone) else 0
         kept = raw[~gone].tobytes()

@@ -18,11 +18,12 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.blocks import pack, to_buckets, unpack
-from ledgerline.llm.common import NULL_ID, doc_key, map_arrow, map_batches
+from ledgerline.llm.blocks import LEVEL, pack, to_buckets, unpack
+from ledgerline.llm.common import NULL_ID, doc_key, map_arrow, map_batches, texts
 
 #: Buckets a partition works off one after another, to divide its memory.
 ROUNDS = 4
@@ -182,16 +183,26 @@ def resolve_buckets(
     return map_arrow(ready, function, cuts_schema)
 
 
+def _packed_texts(documents: DataFrame) -> DataFrame:
+    """(doc_key, crc, packed): texts compressed for the one shuffle that they take part in."""
+
+    def function(batch):
+        packer = zstandard.ZstdCompressor(level=LEVEL)
+        crcs, packed = [], []
+        for text in texts(batch):
+            raw = text.encode("utf-8", "surrogatepass")
+            crcs.append(zlib.crc32(raw))
+            packed.append(packer.compress(raw))
+        yield {"doc_key": batch.column(0), "crc": crcs, "packed": packed}
+
+    return map_batches(sources(documents), function, "doc_key long, crc long, packed binary")
+
+
 def with_cuts(documents: DataFrame, cuts: DataFrame) -> DataFrame:
-    """Rows of (doc_id, text, cuts): the texts with all their cuts, an array of binaries or null."""
+    """Rows of (doc_id, packed, cuts): each text with all its cuts, an array of binaries or null."""
     gathered = cuts.groupBy("doc_key", "crc").agg(F.collect_list("cuts").alias("cuts"))
-    keyed = documents.select(
-        doc_key().alias("doc_key"),
-        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("crc"),
-        "text",
-    )
-    return keyed.join(gathered, ["doc_key", "crc"], "left").select(
-        F.when(F.col("doc_key") != NULL_ID, F.col("doc_key")).alias("doc_id"), "text", "cuts"
+    return _packed_texts(documents).join(gathered, ["doc_key", "crc"], "left").select(
+        F.when(F.col("doc_key") != NULL_ID, F.col("doc_key")).alias("doc_id"), "packed", "cuts"
     )
 
 
@@ -208,13 +219,13 @@ def covered(cuts: list[bytes] | None, length: int, size: int) -> np.ndarray:
 def finish(
     documents: DataFrame, cuts: DataFrame, function: Callable, schema: str
 ) -> DataFrame:
-    """Apply ``function(text, cuts)``, a tuple of the columns after doc_id, to every row."""
+    """Apply ``function(bytes of the text, cuts)``, the columns after doc_id, to every row."""
     names = [part.split(" ")[0] for part in schema.split(", ")]
 
     def run(batch):
         rows = [
-            function(text or "", cut)
-            for text, cut in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())
+            function(zstandard.decompress(packed.as_py()), cut.as_py())
+            for packed, cut in zip(batch.column(1), batch.column(2))
         ]
         columns = list(zip(*rows)) or [[] for _ in names]
         yield {"doc_id": batch.column(0)} | dict(zip(names, map(list, columns)))
