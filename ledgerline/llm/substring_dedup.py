@@ -67,8 +67,9 @@ def _exchange(documents: DataFrame, partitions: int, size: int) -> DataFrame:
         keys = batch.column(0).to_numpy(zero_copy_only=False)
         rows = list(texts(batch))
         crcs = np.fromiter(map(checksum, rows), np.int64, len(rows))
-        words = [words_of(text) for text in rows]
-        for group in chunks_of([len(w) for w in words], size):
+        # only one chunk's words are held at a time; words weigh many times their text
+        for group in chunks_of([len(words_of(text)) for text in rows], size):
+            words = {row: words_of(rows[row]) for row, _, _ in group}
             yield from _chunk(group, words, keys, crcs, partitions, buckets, size)
 
     return map_batches(sources(documents), function, EXCHANGE)
