@@ -3,11 +3,13 @@
 import hashlib
 import random
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
 import xxhash
 
+from ledgerline.llm import simhash
 from ledgerline.llm.components import components
 from ledgerline.llm.simhash import anchors_of, fingerprint_of, near_duplicates, one_of_each_group
 from ledgerline.llm.substring_dedup import dedup_substrings
@@ -172,6 +174,33 @@ def test_one_of_each_group(awkward, nothing):
     assert one_of_each_group(nothing).count() == 0
 
 
+@pytest.mark.parametrize("full", [64, 8])
+def test_edited_copies_leave_one_of_each_group(spark, monkeypatch, full):
+    monkeypatch.setattr(simhash, "FULL", full)
+    rng = random.Random(12)
+    rows, ids = [], iter(range(10_000))
+    for origin in range(30):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([60, 200, 400]))]
+        rows.append((next(ids), " ".join(words)))
+        for copy in range(3 if origin else 60):
+            edited = list(words)
+            for _ in range(1 + len(words) // 100):  # up to five shingles each way for each word
+                edited[rng.randrange(len(words))] = f"e{copy}"
+            rows.append((next(ids), " ".join(edited)))
+        rows.append((next(ids), " ".join(words[: len(words) // 2] + [f"o{rng.random()}" for _ in words])))
+    sets = {key: simhash.shingles_of(text.encode()) for key, text in rows}
+    root = {key: key for key in sets}
+    far = 0
+    for a, b in combinations(sets, 2):
+        if simhash.similarity(sets[a], sets[b]) >= 0.8:
+            far += (simhash.fingerprint_of(rows[a][1]) ^ simhash.fingerprint_of(rows[b][1])).bit_count() > 2
+            old, new = max(root[a], root[b]), min(root[a], root[b])
+            root = {key: new if r == old else r for key, r in root.items()}
+    assert far > 100
+    kept = one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(root.values()))
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 50)]
     found = {tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
