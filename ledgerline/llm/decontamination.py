@@ -6,7 +6,9 @@ automaton reads word numbers, so a pattern costs few nodes; a word that no item
 
 The benchmark is a stated query set. It is taken in blocks of at most ``BLOCK_BYTES`` of text; each
 block is one automaton that tasks build from a broadcast of that bounded size, and documents are
-scanned once per block. Usual test sets are one block, which needs no shuffle.
+scanned once per block. Usual test sets are one block, which needs no shuffle. Of several, the driver
+holds one at a time: each block's hits are written before the next is fetched, and joined to the rows by
+a digest of the text, since equal texts have equal hits whatever their ids.
 
 Nulls: a null text has no words, a null item or item without words no pattern, an item with a null
 id marks words but is not listed. Repeated document rows are judged row by row; repeated items
@@ -17,13 +19,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from ledgerline.llm.common import map_arrow, map_batches, texts
+from ledgerline.llm.common import map_arrow, map_batches, stored, texts
 
 WINDOW = 13
 BLOCK_BYTES = 4 << 20
@@ -48,22 +50,20 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_NORMAL).split()
 
 
-def blocks_of(items: DataFrame) -> list[list[tuple[str | None, str]]]:
-    """The items in blocks of bounded size, fetched block by block."""
+def blocks_of(items: DataFrame) -> tuple[int, Iterator[list[tuple[str | None, str]]]]:
+    """The number of blocks of bounded size, and the items block by block, fetched when asked for."""
     sized = items.select(F.col("item_id").cast("string").alias("item_id"), "text").where(
         F.length("text") > 0
     )
     totals = sized.agg(F.sum(F.octet_length("text")).alias("b")).first()
     if not totals.b:
-        return []
-    if totals.b <= BLOCK_BYTES:
-        return [[tuple(row) for row in sized.collect()]]
-    count = -(-2 * totals.b // BLOCK_BYTES)
+        return 0, iter(())
+    count = 1 if totals.b <= BLOCK_BYTES else -(-2 * totals.b // BLOCK_BYTES)
     dealt = sized.withColumn("_block", F.pmod(F.xxhash64("item_id", "text"), F.lit(count)))
-    return [
+    return count, (
         [tuple(row) for row in dealt.where(F.col("_block") == k).drop("_block").collect()]
         for k in range(count)
-    ]
+    )
 
 
 class Patterns:
@@ -146,8 +146,8 @@ def digest_of(items) -> str:
     return hashlib.sha256(",".join(listed).encode()).hexdigest()
 
 
-def _scan(documents: DataFrame, items: list[tuple[str | None, str]], window: int) -> DataFrame:
-    shared = documents.sparkSession.sparkContext.broadcast(items)
+def _scan(documents: DataFrame, shared, window: int) -> DataFrame:
+    """Hits of the broadcast items in every row of (doc_id, text)."""
     made: list[Patterns] = []
 
     def function(batch):
@@ -179,83 +179,96 @@ def _scan(documents: DataFrame, items: list[tuple[str | None, str]], window: int
 
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per document row: words, hit words, items found, spans of hits, verdict."""
-    blocks = blocks_of(benchmark)
-    if len(blocks) <= 1:
-        return _scan(documents, blocks[0] if blocks else [], window)
-    return _merged(documents, blocks, window)
+    count, blocks = blocks_of(benchmark)
+    if count > 1:
+        return _merged(documents, blocks, window)
+    shared = documents.sparkSession.sparkContext.broadcast(next(blocks, []))
+    return _scan(documents, shared, window)
 
 
-def _merged(documents: DataFrame, blocks: list, window: int) -> DataFrame:
-    """Union of the blocks' hits: word runs are rejoined from spans of all blocks.
+def _text_digest():
+    return F.sha2(F.coalesce("text", F.lit("")), 256)
 
-    Rows are told apart by id and text digest; equal rows have equal hits and keep their number.
-    """
-    key = ("doc_id", "_text")
-    rows = documents.select(
-        F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_text")
-    )
+
+def _block_hits(documents: DataFrame, items: list[tuple[str | None, str]], window: int) -> DataFrame:
+    """(digest, items, spans) of the texts that one block hits, written before the block is released."""
+    shared = documents.sparkSession.sparkContext.broadcast(items)
+    made: list[Patterns] = []
+
+    def function(batch):
+        if not made:
+            made.append(Patterns(shared.value, window))
+        out: dict[str, list] = {"digest": [], "items": [], "spans": []}
+        for text, digest in zip(texts(batch), batch.column(1).to_pylist()):
+            words = words_of(text)
+            hits = made[0].hits(words) if made[0].any and words else None
+            if hits:
+                out["digest"].append(digest)
+                out["items"].append(sorted(x for x in hits[1] if x is not None))
+                out["spans"].append(original_spans(text, hits[0]))
+        yield out
+
+    source = documents.select("text", _text_digest().alias("digest"))
+    schema = "digest string, items array<string>, spans array<struct<start:int,end:int>>"
+    written = stored(map_batches(source, function, schema))
+    shared.destroy()
+    return written
+
+
+def _merged(
+    documents: DataFrame, blocks: Iterator, window: int, *, digests: bool = False
+) -> DataFrame:
+    """Union of the blocks' hits, judged on the words that any block hits; with text digests if asked."""
     parts = None
     for block in blocks:
-        scanned = _scan(rows, block, window)
-        part = scanned.where("n_hit > 0").select("doc_id", "items", "spans", "n_words")
+        part = _block_hits(documents, block, window)
         parts = part if parts is None else parts.unionByName(part)
-    spans = parts.select("doc_id", "n_words", F.explode("spans").alias("s")).select(
-        "doc_id", "n_words", "s.start", "s.end"
-    ).distinct()
-    found = parts.groupBy("doc_id", "n_words").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
-    )
-    before = Window.partitionBy("doc_id", "n_words").orderBy("start", "end").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    runs = (
-        spans.withColumn("new", (F.col("start") > F.coalesce(F.max("end").over(before), F.lit(-1))).cast("int"))
-        .withColumn("run", F.sum("new").over(before.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy("doc_id", "n_words", "run")
-        .agg(F.min("start").alias("start"), F.max("end").alias("end"))
-        .groupBy("doc_id", "n_words")
-        .agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    # sets have partial results, so copies of a text add nothing to its group
+    items = parts.select("digest", F.explode_outer("items").alias("item")).groupBy("digest").agg(
+        F.collect_set("item").alias("items")
     )
-    hits = found.join(runs, ["doc_id", "n_words"]).withColumnRenamed("doc_id", "_id").withColumnRenamed(
-        "n_words", "_n"
+    spans = parts.select("digest", F.explode("spans").alias("span")).groupBy("digest").agg(
+        F.collect_set("span").alias("spans")
     )
-    counted = rows.withColumn("_n0", F.size(_words_column())).join(
-        hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_n0") == F.col("_n")), "left"
-    )
-    inside = F.aggregate(
-        F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")),
-        F.lit(0),
-        lambda total, s: total + F.size(_words_column(F.substring("text", s["start"] + 1, s["end"] - s["start"]))),
-    )
-    listed = F.coalesce("items", F.array().cast("array<string>"))
-    return counted.select(
-        "doc_id",
-        F.col("_n0").cast("long").alias("n_words"),
-        inside.cast("long").alias("n_hit"),
-        F.size(listed).cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", listed), 256).alias("items_sha256"),
-        ((inside > 0) & (HIT_SHARE * inside >= F.col("_n0"))).alias("contaminated"),
-        listed.alias("items"),
-        F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"),
+    rows = documents.select(
+        F.col("doc_id").cast("long").alias("doc_id"), "text", _text_digest().alias("digest")
     )
+    found = rows.join(items.join(spans, "digest"), "digest", "left")
 
+    def function(batch):
+        out = {k: [] for k in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")}
+        out |= {"doc_id": batch.column(0), "items": [], "spans": []}
+        for text, named, spans in zip(texts(batch), batch.column(2), batch.column(3)):
+            owners = sorted(named.as_py() or [])
+            inside = np.zeros(len(text), dtype=bool)
+            for span in spans.as_py() or []:
+                inside[span["start"] : span["end"]] = True
+            hit = inside[np.array([m.start() for m in _WORD.finditer(text)], dtype=np.int64)]
+            n_hit = int(hit.sum())
+            out["n_words"].append(len(hit))
+            out["n_hit"].append(n_hit)
+            out["n_items"].append(len(owners))
+            out["items_sha256"].append(digest_of(owners))
+            out["contaminated"].append(n_hit > 0 and HIT_SHARE * n_hit >= len(hit))
+            out["items"].append(owners)
+            out["spans"].append(original_spans(text, hit) if n_hit else [])
+        if digests:
+            out["digest"] = batch.column(4)
+        yield out
 
-def _words_column(column=None):
-    text = F.coalesce(F.col("text") if column is None else column, F.lit(""))
-    return F.array_remove(F.split(text, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), "")
+    schema = f"{SCHEMA}, digest string" if digests else SCHEMA
+    return map_batches(found.select("doc_id", "text", "items", "spans", "digest"), function, schema)
 
 
 def clean_documents(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``documents`` that are not contaminated, all columns kept."""
-    blocks = blocks_of(benchmark)
-    kept = documents
-    for block in blocks:
-        kept = _filtered(kept, block)
-    if len(blocks) > 1:  # several blocks may only together reach the share of hit words
-        verdict = _merged(documents, blocks, WINDOW).where("contaminated")
-        bad = verdict.select(F.col("doc_id").alias("_bad")).distinct()
-        kept = kept.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
-    return kept
+    count, blocks = blocks_of(benchmark)
+    if count <= 1:
+        items = next(blocks, [])
+        return _filtered(documents, items) if items else documents
+    bad = _merged(documents, blocks, WINDOW, digests=True).where("contaminated")
+    verdict = bad.select(F.col("digest").alias("_bad")).distinct()
+    return documents.join(verdict, _text_digest() == F.col("_bad"), "left_anti")
 
 
 def _filtered(documents: DataFrame, items: list) -> DataFrame:

@@ -325,6 +325,25 @@ def test_contamination_matches_brute_force(spark, awkward, nothing, monkeypatch,
     assert decontamination.contamination(docs, benchmark.where("false")).where("n_hit > 0").count() == 0
 
 
+def test_blocks_judge_rows_with_null_and_repeated_ids(spark, monkeypatch):
+    rng = random.Random(8)
+    pool = [" ".join(f"q{rng.randrange(30)}" for _ in range(20)) for _ in range(6)]
+    benchmark = spark.createDataFrame(list(enumerate(pool)), "item_id long, text string")
+    clean = " ".join(f"f{n}" for n in range(20))
+    rows = [(None, pool[0]), (None, clean), (1, pool[1]), (1, pool[2]), (1, clean), (2, clean), (None, None)]
+    rows += [(3, f"{pool[3]}, {pool[4]}"), (3, f"{pool[3]}, {pool[4]}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = sorted_rows(decontamination.contamination(docs, benchmark))
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 150)
+    assert decontamination.blocks_of(benchmark)[0] > 1
+    found = decontamination.contamination(docs, benchmark)
+    assert sorted_rows(found) == whole
+    names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    assert sorted_rows(found.select(*names)) == brute_contamination(rows, list(enumerate(pool)))
+    kept = sorted_rows(decontamination.clean_documents(docs, benchmark))
+    assert kept == sorted([(None, clean), (1, clean), (2, clean), (None, None)], key=repr)
+
+
 # toxicity
 
 
