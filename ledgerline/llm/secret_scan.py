@@ -4,7 +4,8 @@ Candidate strings are runs of ``MIN_RUN`` or more characters that keys are writt
 candidate each character class has its own runs, window statistics and threshold: the Shannon entropy
 of every window is kept by counts that change by one character in and one out, so the work is linear
 in the text. Windows above the threshold join to spans. The allow list suppresses what only looks
-random: identifiers in a public form, placeholders, alphabets, plain words.
+random: identifiers in a public form as whole candidates, placeholders with the part between
+separators they stand in, alphabets and repeated characters alone. The rest of the candidate is scanned.
 
 Nulls are empty texts without spans. Every row is scanned alone, repeated rows alike; an empty table
 gives no rows. Texts are scanned whole, whatever their length.
@@ -51,13 +52,18 @@ CLASSES = (
     CharacterClass("entropy_base64", re.compile(r"[A-Za-z0-9+/_=-]+"), 20, 3.9),
 )
 
-#: What looks random and is none, searched in the span widened to its candidate.
-ALLOWED = (
+#: What looks random and is none: whole candidates in a public form.
+PUBLIC = (
     re.compile(r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"),
-    re.compile(r"(?i)example|placeholder|changeme|your[_-]|dummy|sample"),
-    re.compile(r"(?i)abcdefghij|0123456789|qwertyuiop"),
-    re.compile(r"(.)\1{7}"),
 )
+#: Words of placeholders hide the part between separators that they stand in.
+PLACEHOLDERS = re.compile(r"(?i)example|placeholder|changeme|your[_-]|dummy|sample")
+#: Alphabets and repeated characters hide only themselves.
+STRETCHES = (
+    re.compile(r"(?i)abcdefghij[k-z]*|0123456789|qwertyuiop"),
+    re.compile(r"(.)\1{7,}"),
+)
+_PART = re.compile(r"[^/_=+-]+")
 
 KINDS = ("assign", "access", "hex", *(c.kind for c in CLASSES))
 _ORDER = {kind: place for place, kind in enumerate(KINDS)}
@@ -114,18 +120,43 @@ def _kinds_of_letters(text: str) -> int:
     )
 
 
-def entropy_spans(text: str, classes=CLASSES, allowed=ALLOWED) -> list[tuple[str, int, int]]:
+def _open_pieces(whole: str) -> list[tuple[int, int]]:
+    """What of a candidate the allow list leaves to be scanned, as (start, end)."""
+    if any(rule.search(whole) for rule in PUBLIC):
+        return []
+    hidden = [m.span() for rule in STRETCHES for m in rule.finditer(whole)]
+    words = [m.span() for m in PLACEHOLDERS.finditer(whole)]
+    if words:
+        at = 0
+        for part in _PART.finditer(whole):
+            while at < len(words) and words[at][1] <= part.start():
+                at += 1
+            if at < len(words) and words[at][0] < part.end():
+                hidden.append(part.span())
+    pieces, last = [], 0
+    for start, end in sorted(hidden):
+        if start > last:
+            pieces.append((last, start))
+        last = max(last, end)
+    pieces.append((last, len(whole)))
+    return pieces
+
+
+def entropy_spans(text: str, classes=CLASSES) -> list[tuple[str, int, int]]:
     found = []
     for candidate in _CANDIDATE.finditer(text):
         whole = candidate[0]
-        if _kinds_of_letters(whole) < 2 or any(rule.search(whole) for rule in allowed):
+        if _kinds_of_letters(whole) < 2:
             continue
-        for kind in classes:
-            for run in kind.pattern.finditer(whole):
-                for start, end in random_runs(run[0], kind.window, kind.bits):
-                    if _kinds_of_letters(run[0][start:end]) >= 2:
-                        base = candidate.start() + run.start()
-                        found.append((kind.kind, base + start, base + end))
+        for low, high in _open_pieces(whole):
+            if high - low < MIN_RUN:
+                continue
+            for kind in classes:
+                for run in kind.pattern.finditer(whole, low, high):
+                    for start, end in random_runs(run[0], kind.window, kind.bits):
+                        if _kinds_of_letters(run[0][start:end]) >= 2:
+                            base = candidate.start() + run.start()
+                            found.append((kind.kind, base + start, base + end))
     return found
 
 

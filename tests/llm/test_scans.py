@@ -58,6 +58,22 @@ def test_secret_base_spans_and_entropy(awkward, nothing):
     assert secret_scan.scan_secrets(nothing).count() == 0
 
 
+def test_allow_list_hides_no_secret_beside_it():
+    key = "q9Zt3LxW7mBv1KpRs8Yd2GhJ"
+    for text in (
+        f"docs/example/{key}",
+        f"{key}/sample",
+        f"0123456789{key}",
+        f"{key}{'A' * 9}",
+        f"{key}/{'=' * 8}",
+        f"b3BlbnNzaC1rZXktdjEAAAAA{'A' * 5}{key}",
+    ):
+        spans = secret_scan.entropy_spans(text)
+        assert any(key[2:-2] in text[a:b] for _, a, b in spans), text
+    for plain in (f"{key}EXAMPLE/short", "abcdefghijklmnopqrstuvwxyz0123456789", f"dummy{key}", f"x/{key}sample"):
+        assert secret_scan.entropy_spans(plain) == [], plain
+
+
 def test_entropy_is_that_of_every_window():
     rng = random.Random(1)
     for _ in range(50):
