@@ -64,6 +64,12 @@ def map_arrow(frame: DataFrame, function: Callable, schema: StructType | str) ->
     return frame.mapInArrow(function, schema)
 
 
+def apply_arrow(grouped, function: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``applyInArrow`` with functions of this package; the groups must be bounded."""
+    _importable(SparkSession.active())
+    return grouped.applyInArrow(function, schema)
+
+
 def map_batches(
     frame: DataFrame, function: Callable[[pa.RecordBatch], Iterator[dict[str, list]]], schema: str
 ) -> DataFrame:

@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline.llm.common import read_table
 from ledgerline.llm.decontamination import contamination
+from ledgerline.llm.embedding_dedup import near_vectors
+from ledgerline.llm.filter_audit import audit_filters
 from ledgerline.llm.packing import pack_documents
 from ledgerline.llm.pii import find_personal_data
 from ledgerline.llm.quality_rules import MEASURES, assess
 from ledgerline.llm.secret_scan import scan_secrets
 from ledgerline.llm.simhash import near_duplicates
+from ledgerline.llm.source_divergence import divergence
 from ledgerline.llm.substring_dedup import dedup_substrings
 from ledgerline.llm.suffix_dedup import dedup_suffixes
 from ledgerline.llm.token_counts import token_counts
@@ -65,6 +68,19 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_documents(spark, sf_dir), benchmark).drop("items", "spans")
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = read_table(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
+    return audit_filters(_documents(spark, sf_dir, "lang"), labels)
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(read_table(spark, sf_dir, "documents", "text", "lang", "source"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         op1_substring_dedup,
@@ -77,6 +93,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_quality_rules,
         op9_personal_data,
         op10_decontamination,
+        op11_embedding_dedup,
+        op12_filter_audit,
+        op13_source_divergence,
     )
     return {query.__name__: query for query in named}
 
@@ -147,5 +166,129 @@ FROM docs d LEFT JOIN marked m USING (doc_id) LEFT JOIN listed l USING (doc_id)
 """
 
 
+OP11_SQL = r"""
+WITH RECURSIVE rows AS (
+    SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+), usable AS (
+    SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS size
+    FROM rows
+    WHERE len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(v, lambda x: x <> 0)) > 0
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b
+    FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+    WHERE list_dot_product(a.v, b.v) / (a.size * b.size) >= 0.9
+), reached AS (
+    SELECT vec_id AS a, vec_id AS b FROM rows
+    UNION
+    SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a
+), components AS (
+    SELECT a, min(b) AS component_id FROM reached GROUP BY a
+), counts AS (
+    SELECT a, count(*) AS n FROM links GROUP BY a
+)
+SELECT r.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.component_id, r.vec_id = c.component_id AS kept
+FROM rows r JOIN components c ON c.a = r.vec_id LEFT JOIN counts n ON n.a = r.vec_id
+"""
+
+OP12_SQL = r"""
+WITH texts AS (
+    SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS body FROM documents
+), measured AS (
+    SELECT doc_id, part, body,
+           list_filter(string_split_regex(body, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+    FROM texts
+), failed AS (
+    SELECT doc_id, part,
+           len(w) < 100 AS a,
+           100 * len(list_distinct(w)) < 80 * len(w) AS b,
+           100 * (length(body) - length(regexp_replace(body, '[A-Z]', '', 'g'))) > 10 * length(body) AS c,
+           regexp_matches(body, '[#$%&*|]') AS d,
+           doc_id > min(doc_id) OVER (PARTITION BY body) AS e
+    FROM measured
+), masks AS (
+    SELECT f.part, f.a::INT + 2 * f.b::INT + 4 * f.c::INT + 8 * f.d::INT + 16 * f.e::INT AS mask,
+           coalesce(l.quality = 1, false)::INT AS good, coalesce(l.toxic = 1, false)::INT AS toxic
+    FROM failed f LEFT JOIN labels l USING (doc_id)
+), counts AS (
+    SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM masks GROUP BY part, mask
+), letters AS (
+    SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS letter, unnest([1, 2, 4, 8, 16]) AS bit
+), orders AS (
+    SELECT p.letter || q.letter || r.letter || s.letter || t.letter AS filter_order,
+           unnest([1, 2, 3, 4, 5]) AS step,
+           unnest([p.bit, q.bit, r.bit, s.bit, t.bit]) AS bit,
+           unnest([0, p.bit, p.bit + q.bit, p.bit + q.bit + r.bit, 31 - t.bit]) AS before
+    FROM letters p, letters q, letters r, letters s, letters t
+    WHERE p.bit | q.bit | r.bit | s.bit | t.bit = 31
+), steps AS (
+    SELECT part, filter_order, step, bit,
+           sum(CASE WHEN mask & (before | bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+           sum(CASE WHEN mask & before = 0 AND mask & bit <> 0 THEN n ELSE 0 END)::BIGINT AS removed,
+           sum(CASE WHEN mask & before <> 0 AND mask & bit <> 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+           sum(CASE WHEN mask = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+           sum(CASE WHEN mask & before = 0 AND mask & bit <> 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+           sum(CASE WHEN mask & before = 0 AND mask & bit <> 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+    FROM counts, orders GROUP BY part, filter_order, step, bit
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM steps
+"""
+
+OP13_SQL = r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS nr, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           coalesce(text, '') AS body
+    FROM documents
+), found AS (
+    SELECT nr, lang, source, unnest(list_filter(string_split_regex(
+        translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x00-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS term
+    FROM docs
+), kept AS (
+    SELECT lang, term, count(*) AS n FROM found GROUP BY lang, term HAVING count(DISTINCT nr) >= 3
+), langs AS (
+    SELECT g.lang, count(k.term) AS v, coalesce(sum(k.n), 0) AS total
+    FROM (SELECT DISTINCT lang FROM docs) g LEFT JOIN kept k USING (lang) GROUP BY g.lang
+), counted AS (
+    SELECT f.lang, f.source, f.term, count(*) AS n FROM found f JOIN kept k USING (lang, term)
+    GROUP BY f.lang, f.source, f.term
+), groups AS (
+    SELECT g.lang, g.source, l.v, coalesce(sum(c.n), 0) AS total
+    FROM (SELECT DISTINCT lang, source FROM docs) g JOIN langs l USING (lang)
+    LEFT JOIN counted c USING (lang, source) GROUP BY g.lang, g.source, l.v
+), shares AS (
+    SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+           (1 + (1000000000 * (coalesce(c.n, 0) + 1)) // (g.total + g.v))::HUGEINT AS p,
+           (1 + (1000000000 * (k.n + 1)) // (l.total + l.v))::HUGEINT AS q
+    FROM groups g JOIN langs l USING (lang) JOIN kept k USING (lang)
+    LEFT JOIN counted c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), pairs AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, s.value
+    FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN (
+        SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value
+        FROM shares x JOIN shares y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source
+        GROUP BY x.lang, x.source, y.source
+    ) s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+), terms AS (
+    SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value
+    FROM shares WHERE n > 0 AND p > q
+), ranked AS (
+    SELECT lang, source, part, item, coalesce(value, 0)::BIGINT AS value,
+           row_number() OVER (PARTITION BY lang, source, part ORDER BY coalesce(value, 0) DESC, item)::INT AS rank
+    FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op10_decontamination": OP10_SQL}
+    return {
+        "op1_substring_dedup": OP1_SQL,
+        "op10_decontamination": OP10_SQL,
+        "op11_embedding_dedup": OP11_SQL,
+        "op12_filter_audit": OP12_SQL,
+        "op13_source_divergence": OP13_SQL,
+    }
