@@ -46,6 +46,8 @@ HELD_TERMS = 200_000
 _LETTERS = bytes(
     b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
+#: Counts whose product with SHARES fits into 64 bits.
+_FITS = 9 * 10**9
 #: The base in which long division makes a share of 10^9: three digits.
 _STEP = 1000
 
@@ -99,15 +101,11 @@ def term_counts(documents: DataFrame) -> DataFrame:
 
 
 def _share(count, total, terms):
-    """1 + floor(SHARES * (count + 1) / (total + terms)) by long division; no product leaves 64 bits."""
-    divisor = total + terms
-    quotient, rest = F.expr("0L"), count + 1
-    for scale in (1, _STEP, _STEP, _STEP):
-        grown = rest * F.lit(scale)
-        digit = _div(grown, divisor)
-        quotient = quotient * F.lit(scale) + digit
-        rest = grown - digit * divisor
-    return quotient + 1
+    """1 + floor(SHARES * (count + 1) / (total + terms)); as decimals where a product leaves 64 bits."""
+    divisor, grown = total + terms, count + 1
+    large = F.lit(SHARES).cast("decimal(10,0)") * grown.cast("decimal(20,0)")
+    exact = _div(large, divisor.cast("decimal(20,0)"))
+    return F.when(count < _FITS, _div(F.lit(SHARES) * grown, divisor)).otherwise(exact) + 1
 
 
 def _div(left, right):
@@ -115,7 +113,7 @@ def _div(left, right):
 
 
 def shares(counts: np.ndarray, divisor: int) -> np.ndarray:
-    """The same for arrays."""
+    """The same for arrays, by long division."""
     quotient, rest = np.zeros_like(counts), counts + 1
     for scale in (1, _STEP, _STEP, _STEP):
         digit = rest * scale // divisor
@@ -201,23 +199,26 @@ def _price_block(table: pa.Table) -> pa.Table:
 
     Rows without a term name the groups with their totals; the others hold counts.
     """
-    columns = {name: table.column(name).to_pylist() for name in table.column_names}
-    heads = [k for k, term in enumerate(columns["term"]) if term is None]
-    groups = {columns["source"][k]: row for row, k in enumerate(heads)}
-    frequency: Counter = Counter()
-    for term, n in zip(columns["term"], columns["n"]):
-        if term is not None:
-            frequency[term] += n
-    place = {t: k for k, (t, _) in enumerate(sorted(frequency.items(), key=lambda x: (-x[1], x[0])))}
-    width = columns["block_terms"][heads[0]]
-    rows = np.zeros((len(heads), width), dtype=np.int64)
-    for source, term, n in zip(columns["source"], columns["term"], columns["n"]):
-        if term is not None:
-            rows[groups[source], place[term]] = n
-    names = list(groups)
-    tiles = [columns["tile"][k] for k in heads]
-    divisors = [columns["divisor"][k] for k in heads]
-    low, high = columns["low"][0], columns["high"][0]
+    terms = table.column("term").combine_chunks().dictionary_encode()
+    sources = table.column("source").combine_chunks().dictionary_encode()
+    n = table.column("n").to_numpy()
+    term = terms.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    heads = np.flatnonzero(term < 0)
+    source = sources.indices.to_numpy(zero_copy_only=False)
+    row_of = np.empty(len(sources.dictionary), dtype=np.int64)
+    row_of[source[heads]] = np.arange(len(heads))
+    names = sources.dictionary.take(pa.array(source[heads])).to_pylist()
+    tiles, divisors, widths = (
+        table.column(name).take(pa.array(heads)).to_pylist() for name in ("tile", "divisor", "block_terms")
+    )
+
+    counts = np.flatnonzero(term >= 0)
+    frequency = np.bincount(term[counts], weights=n[counts], minlength=len(terms.dictionary))
+    place = np.empty(len(frequency), dtype=np.int64)
+    place[np.argsort(-frequency, kind="stable")] = np.arange(len(frequency))
+    rows = np.zeros((len(heads), widths[0]), dtype=np.int64)
+    rows[row_of[source[counts]], place[term[counts]]] = n[counts]
+    low, high, lang = (table.column(name)[0].as_py() for name in ("low", "high", "lang"))
     pairs = [
         (i, j)
         for i in range(len(names))
@@ -225,7 +226,6 @@ def _price_block(table: pa.Table) -> pa.Table:
         if tiles[i] == low and tiles[j] == high and (low != high or i < j)
     ]
     found = divergences(rows, divisors, pairs)
-    lang = columns["lang"][0]
     both = [(names[i], names[j], f) for (i, j), (f, _) in zip(pairs, found)]
     both += [(names[j], names[i], f) for (i, j), (_, f) in zip(pairs, found)]
     left, right, value = ([x[k] for x in both] for k in range(3))
