@@ -31,9 +31,9 @@ def access_contributions(access_events: DataFrame) -> DataFrame:
     )
 
 
-def combine_minutes(contributions: DataFrame) -> DataFrame:
+def combine_minutes(contributions: DataFrame, *more: str) -> DataFrame:
     """Add contributions (or earlier sums) per key; sums and maxima are associative."""
-    return contributions.groupBy(*MINUTE_KEY).agg(
+    return contributions.groupBy(*MINUTE_KEY, *more).agg(
         *[F.sum(F.col(name).cast("bigint")).alias(name) for name in ADDITIVE],
         F.max("max_response_time_ms").cast("int").alias("max_response_time_ms"),
         F.max("updated_at").alias("updated_at"),

@@ -268,10 +268,10 @@ def _run_stream(spark, directory, job, source, replay=False) -> Ledger:
     for attempt in attempts:
         # A new checkpoint delivers every record again; the ledger must not change.
         query = ingest.start(
-            stream, job, f"{folder}/ledger", f"{folder}/checkpoint-{attempt}", available_now=True
+            stream, job, f"{folder}/ledger", f"{folder}/checkpoint-{attempt}", available_now=True, period=2
         )
         query.awaitTermination()
-    return Ledger(spark, f"{folder}/ledger", job.row_schema)
+    return Ledger(spark, f"{folder}/ledger", job.row_schema, period=2)
 
 
 def stream_valid_orders(spark, directory):
@@ -281,12 +281,30 @@ def stream_valid_orders(spark, directory):
 
 
 def stream_log_metrics_minute(spark, directory):
-    """Minute table of a streaming run, read after compaction."""
+    """Minute table of a streaming run that folds its finished batches on the way."""
     ledger = _run_stream(spark, directory, ACCESS_JOB, raw_records.access_records)
-    ledger.compact()
     return ledger.log_metrics_minute().drop("updated_at")
 
 
+def stream_access_dead_letters(spark, directory):
+    """Dead letters of a run in which repeated ids come back only after all first ones are stored."""
+    folder = _scratch(spark)
+    records = raw_records.access_records(spark, directory)
+    comes_back = F.col("offset") >= raw_records.COPY_OFFSET
+    ledger = Ledger(spark, f"{folder}/ledger", ACCESS_JOB.row_schema, period=1)
+    for chosen in (~comes_back, comes_back):
+        records.filter(chosen).write.mode("append").parquet(f"{folder}/records")
+        stream = tables.record_file_stream(spark, f"{folder}/records")
+        query = ingest.start(
+            stream, ACCESS_JOB, ledger.root, f"{folder}/checkpoint", available_now=True, period=1
+        )
+        query.awaitTermination()
+    return ledger.dead_letters().select(
+        "dlq_key", "error_type", "original_topic", "original_partition", "original_offset",
+        "consumer_group", "original_key", "original_payload_encoding",
+    )
+
+
 # --- quality ----------------------------------------------------------------------------
 
 

@@ -12,16 +12,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerline.functions.validation import ACCESS_LOGS, ORDERS, Family, dead_letters, decode
-from ledgerline.operators.dedup import conflicting_reuse, first_occurrences, pending
+from ledgerline.operators.dedup import conflicting_reuse, first_occurrences
 from ledgerline.plans.health import MINUTE_KEY, access_contributions
-from ledgerline.streaming.ledger import ACCESS_ROW, ORDER_ROW, Ledger
+from ledgerline.streaming.ledger import ACCESS_ROW, ORDER_ROW, PERIOD, Ledger
 
 COORDINATE = ["topic", "partition", "offset"]
 FLUSH_INTERVAL = "10 seconds"
 CONFLICT_TYPE = "DuplicateEventConflict"
-CONFLICT_MESSAGE = "event_id: seen before in this batch with other measurements"
+CONFLICT_MESSAGE = "event_id: seen before with other measurements"
 
-# Only these are compared when an event id comes back within one batch.
+# Only these are compared when an event id comes back.
 METRIC_COLUMNS = [*MINUTE_KEY, "status_class", "response_time_ms"]
 
 
@@ -60,35 +60,46 @@ def with_metric_columns(valid: DataFrame) -> DataFrame:
     ).select(*valid.columns, "metric_minute", "status_class")
 
 
-def conflicts_in(valid: DataFrame) -> DataFrame:
-    """Access events that reuse an id of the same batch with other metric data."""
-    return conflicting_reuse(
-        with_metric_columns(valid), ["event_id"], COORDINATE, METRIC_COLUMNS
-    ).select(*valid.columns)
+def with_digest(valid: DataFrame, job: Job) -> DataFrame:
+    """The compared measures as one text; NULL for consumers that compare none."""
+    if not job.checks_conflicts:
+        return valid.withColumn("digest", F.lit(None).cast("string"))
+    measures = F.concat_ws("\x1f", *[F.col(name).cast("string") for name in METRIC_COLUMNS])
+    return with_metric_columns(valid).withColumn("digest", F.md5(measures)).drop("metric_minute", "status_class")
 
 
-def resolve(
-    decoded: DataFrame, job: Job, earlier_markers: DataFrame | None, now: Column
-) -> Resolved:
+def conflicts_in(valid: DataFrame, seen: DataFrame | None) -> DataFrame:
+    """Events that reuse an id with other measures than its marker, or than its first row here."""
+    if seen is None:
+        return conflicting_reuse(valid, ["event_id"], COORDINATE, ["digest"])
+    known = seen.withColumnRenamed("digest", "_known")
+    old = valid.join(known, "event_id").filter(F.col("_known") != F.col("digest")).drop("_known")
+    new = valid.join(seen.select("event_id"), "event_id", "left_anti")
+    return old.unionByName(conflicting_reuse(new, ["event_id"], COORDINATE, ["digest"]))
+
+
+def resolve(decoded: DataFrame, job: Job, seen: DataFrame | None, now: Column) -> Resolved:
     """Split decoded records into newly accepted events and dead letters.
 
-    What is in neither part is a duplicate: an id seen in an earlier batch, or again in this
-    one. The first coordinate of an id wins.
+    ``seen`` holds (event_id, digest) of ids that other batches accepted. What is in neither
+    part is a duplicate: an id seen before, or again in this batch, with the same measures.
+    The first coordinate of an id wins.
     """
-    valid = decoded.filter(F.col("error_type").isNull())
-    rejected = decoded.filter(F.col("error_type").isNotNull())
+    valid = with_digest(decoded.filter(F.col("error_type").isNull()), job)
+    dead = decoded.filter(F.col("error_type").isNotNull())
     rows = valid.select(
         F.lit(job.consumer_group).alias("consumer_group"),
         *[name for name in job.row_schema.fieldNames() if name in valid.columns],
+        "digest",
     )
-    firsts = first_occurrences(rows, ["consumer_group", "event_id"], COORDINATE)
-    accepted = firsts if earlier_markers is None else pending(firsts, earlier_markers)
-    dead = rejected
+    accepted = first_occurrences(rows, ["consumer_group", "event_id"], COORDINATE)
+    if seen is not None:
+        accepted = accepted.join(seen.select("event_id"), "event_id", "left_anti")
     if job.checks_conflicts:
-        conflicts = conflicts_in(valid).withColumns(
+        conflicts = conflicts_in(valid, seen).withColumns(
             {"error_type": F.lit(CONFLICT_TYPE), "error_message": F.lit(CONFLICT_MESSAGE)}
         )
-        dead = dead.unionByName(conflicts)
+        dead = dead.unionByName(conflicts.select(*dead.columns))
     return Resolved(
         accepted=accepted.withColumn("processed_at", now),
         dead=dead_letters(dead, job.consumer_group, now),
@@ -130,21 +141,29 @@ def start(
     *,
     available_now: bool = False,
     flush_interval: str = FLUSH_INTERVAL,
+    period: int = PERIOD,
     dead_letter_sink: Callable[[DataFrame], None] | None = None,
 ) -> StreamingQuery:
     """Run a consumer over a stream of raw records until stopped (or until caught up).
 
+    The query takes the ledger over with its first batch; a query that held it before fails
+    with its next one. Each ``period`` batches the finished ones are folded into a segment.
     ``dead_letter_sink`` also gets each batch's dead letters after the ledger has them, for
     instance to send them to a topic; a replayed batch sends its letters again.
     """
     spark = records.sparkSession
-    ledger = Ledger(spark, ledger_root, job.row_schema)
+    ledger = Ledger(spark, ledger_root, job.row_schema, period)
+    writer_of: dict[str, str] = {}
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        query_id = query_id_of(spark, checkpoint)
-        persist_batch(batch, batch_id, job, ledger, query_id)
+        if not writer_of:
+            query_id = query_id_of(spark, checkpoint)
+            writer_of.update(query_id=query_id, token=ledger.claim(query_id))
+        persist_batch(batch, batch_id, job, ledger, **writer_of)
+        if batch_id % period == 0 and batch_id:
+            ledger.compact()
         if dead_letter_sink is not None:
-            dead_letter_sink(ledger.dead_letters_of(query_id, batch_id))
+            dead_letter_sink(ledger.dead_letters_of(writer_of["query_id"], batch_id))
 
     writer = records.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
     if available_now:
@@ -153,18 +172,26 @@ def start(
 
 
 def persist_batch(
-    batch: DataFrame, batch_id: int, job: Job, ledger: Ledger, query_id: str
+    batch: DataFrame, batch_id: int, job: Job, ledger: Ledger, query_id: str, token: str
 ) -> None:
-    """Write one micro-batch. Both writes are overwrites keyed by the batch, so replays are safe."""
+    """Write one micro-batch. Both writes are overwrites keyed by the batch, so replays are safe.
+
+    The writer must hold the ledger before and after: rows written after a takeover are not
+    read, and the failure keeps the batch out of the checkpoint.
+    """
+    ledger.check_owner(token)
     decoded = decode(batch, job.family).persist()
+    ids = decoded.filter(F.col("error_type").isNull()).select("event_id")
+    seen = ledger.seen(ids, job.consumer_group, query_id, batch_id).persist()
     try:
         now = F.lit(datetime.now(UTC))
-        earlier = ledger.markers_before(query_id, batch_id)
-        resolved = resolve(decoded, job, earlier, now)
+        resolved = resolve(decoded, job, seen, now)
         ledger.write_dead_letters(resolved.dead, query_id, batch_id)
-        ledger.write_batch(resolved.accepted, query_id, batch_id)
+        ledger.write_batch(resolved.accepted, query_id, batch_id, token)
     finally:
         decoded.unpersist()
+        seen.unpersist()
+    ledger.check_owner(token)
 
 
 def query_id_of(spark: SparkSession, checkpoint: str) -> str:

@@ -2,6 +2,7 @@
 
 import json
 from datetime import UTC, datetime
+from pathlib import Path
 
 import pytest
 from conftest import values
@@ -13,10 +14,11 @@ from ledgerline.plans.health import minute_metrics_from_access_events
 from ledgerline.schemas import RAW_RECORD
 from ledgerline.sources.tables import record_file_stream
 from ledgerline.streaming import ingest
-from ledgerline.streaming.ledger import Ledger
+from ledgerline.streaming.ledger import FencedWriterError, Ledger
 
 ACCESS_JOB = ingest.Job(ACCESS_LOGS, "log-consumer")
 ORDER_JOB = ingest.Job(ORDERS, "order-consumer")
+CLOCK = "2026-08-06 00:00:00"
 
 
 def uuid(n):
@@ -39,19 +41,21 @@ def order(n, offset, kind="order_cancelled", **payload):
 class Consumer:
     """Feeds record files to a consumer and reads its ledger."""
 
-    def __init__(self, spark, folder, job):
+    def __init__(self, spark, folder, job, period=100):
         self.spark, self.folder, self.job = spark, str(folder), job
-        self.ledger = Ledger(spark, f"{self.folder}/ledger", job.row_schema)
+        self.ledger = Ledger(spark, f"{self.folder}/ledger", job.row_schema, period, buckets=4)
 
     def send(self, *records):
         frame = self.spark.createDataFrame(list(records), RAW_RECORD).coalesce(1)
         frame.write.mode("append").parquet(f"{self.folder}/records")
 
-    def run(self, checkpoint="main"):
+    def start(self, checkpoint="main", **options):
         stream = record_file_stream(self.spark, f"{self.folder}/records")
-        query = ingest.start(stream, self.job, f"{self.folder}/ledger",
-                             f"{self.folder}/checkpoint-{checkpoint}", available_now=True)
-        query.awaitTermination()
+        return ingest.start(stream, self.job, f"{self.folder}/ledger",
+                            f"{self.folder}/checkpoint-{checkpoint}", period=self.ledger.period, **options)
+
+    def run(self, checkpoint="main"):
+        self.start(checkpoint, available_now=True).awaitTermination()
 
     def minutes(self):
         return values(self.ledger.log_metrics_minute().drop("updated_at"))
@@ -62,6 +66,12 @@ def logs(spark, tmp_path):
     return Consumer(spark, tmp_path, ACCESS_JOB)
 
 
+@pytest.fixture
+def folding(spark, tmp_path):
+    """A consumer that folds every batch as soon as the next one is there."""
+    return Consumer(spark, tmp_path, ACCESS_JOB, period=1)
+
+
 def minute(endpoint, *counts, hour=0):
     return (datetime(2026, 8, 6, hour, 0), "api", endpoint, *counts)
 
@@ -165,16 +175,150 @@ def test_crash_after_the_write_is_repaired_by_replay(spark, tmp_path, monkeypatc
     ]
 
 
-def test_unfinished_compaction_is_ignored(spark, logs):
-    logs.send(access(1, 0))
+def log_files(consumer, kind="log"):
+    found = Path(f"{consumer.folder}/ledger/{kind}").rglob("part-*.parquet")
+    return {str(path.parent.relative_to(f"{consumer.folder}/ledger/{kind}")) for path in found}
+
+
+def test_compaction_appends_segments_and_empties_their_folders(folding):
+    logs = folding
+    stored = lambda: {
+        p: p.stat().st_mtime_ns for p in Path(f"{logs.folder}/ledger/markers").rglob("*.parquet")
+    }
+    for n in range(3):
+        logs.send(access(n, n, ms=n), (b"k", b"{", "logs", 0, 100 + n, None))
+        before = stored()
+        logs.run()
+    assert before and before.items() < stored().items()
+    assert {p.split("/", 1)[1] for p in log_files(logs)} == {"period=2/batch_id=2"}
+    assert len(log_files(logs, "dead_letters")) == 1
+    assert logs.minutes() == [minute("/a", 3, 3, 0, 0, 3, 2)]
+    logs.ledger.compact()
+    assert logs.ledger.markers().count() == logs.ledger.dead_letters().count() == 3
+    logs.send(access(1, 50, ms=1), access(8, 51, ms=0))
+    logs.run("from-the-start")
+    assert logs.ledger.markers().count() == 4
+    assert logs.ledger.dead_letters().count() == 3
+
+
+def test_unfinished_compaction_is_ignored(folding, monkeypatch):
+    logs = folding
+    logs.send(access(0, 0))
     logs.run()
-    logs.send(access(2, 1))
+    logs.send(access(1, 1))
+
+    def crash(self, *args):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(Ledger, "_write_segments", crash)  # markers are written, minutes are not
+        with pytest.raises(Exception, match="lost"):
+            logs.run()
+    total = [minute("/a", 2, 2, 0, 0, 20, 10)]
+    assert logs.minutes() == total and logs.ledger.markers().count() == 2
+    with monkeypatch.context() as patch:
+        patch.setattr(Ledger, "_empty", crash)  # covered is written, folders are still there
+        with pytest.raises(RuntimeError, match="lost"):
+            logs.ledger.compact()
+    assert logs.minutes() == total and logs.ledger.markers().count() == 2
     logs.run()
-    before = logs.minutes()
-    logs.ledger.markers().write.parquet(f"{logs.folder}/ledger/base/version=1/markers")
-    assert logs.ledger.markers().count() == 2
-    logs.ledger.compact()
-    assert logs.minutes() == before
+    assert logs.minutes() == total and logs.ledger.markers().count() == 2
+
+
+def test_stored_markers_are_neither_shuffled_nor_sorted(spark, tmp_path):
+    """4,000 markers in 50 segments: a batch shuffles its ids to the buckets, not the history."""
+    rows = spark.range(4000).select(
+        F.lit("log-consumer").alias("consumer_group"), F.concat(F.lit("e"), "id").alias("event_id"),
+        F.lit("api_access_log").alias("event_type"), F.lit(CLOCK).cast("timestamp").alias("event_time"),
+        F.lit("logs").alias("topic"), F.lit(0).alias("partition"), F.col("id").alias("offset"),
+        F.lit(CLOCK).cast("timestamp").alias("processed_at"), F.lit("api").alias("service"),
+        F.lit("/a").alias("endpoint"), F.lit(200).alias("status_code"), F.lit(1).alias("response_time_ms"),
+        F.lit("d").alias("digest"), F.lit("t").alias("token"),
+        F.lit("q").alias("query_id"), (F.col("id") % 51).alias("period"), (F.col("id") % 51 * 2).alias("batch_id"),
+    )
+    ledger = Ledger(spark, f"{tmp_path}/ledger", ACCESS_JOB.row_schema, 2, buckets=4)
+    rows.repartition("period").write.partitionBy("query_id", "period", "batch_id").parquet(f"{ledger.root}/log")
+    ledger.compact()
+    ids = spark.range(3990, 4010).select(F.concat(F.lit("e"), "id").alias("event_id"))
+    seen = ledger.seen(ids, "log-consumer", "other", 0)
+    assert seen.count() == 10
+    plan = seen._jdf.queryExecution().executedPlan().toString()
+    stored = plan[: plan.index("Bucketed: true")]
+    assert "Exchange" not in stored[stored.rindex("ShuffledHashJoin") :].replace("BroadcastExchange", "")
+    assert "Sort [" not in stored[stored.rindex("ShuffledHashJoin") :]
+
+
+def test_a_conflict_with_an_earlier_batch_is_a_dead_letter(folding):
+    logs = folding
+    logs.send(access(1, 0, ms=10), access(2, 1))
+    logs.run()
+    logs.send(access(10, 10))  # with this batch the markers of the first one are compacted
+    logs.run()
+    logs.send(access(1, 20, ms=10), access(1, 21, ms=11), access(2, 22, endpoint="/b"),
+              access(10, 23, ms=9), access(3, 24))
+    logs.run()
+    letters = values(logs.ledger.dead_letters(), "original_offset", "error_type")
+    assert letters == [(n, "DuplicateEventConflict") for n in (21, 22, 23)]
+    assert logs.ledger.markers().count() == 4
+
+
+def test_a_second_query_takes_the_ledger_over_and_the_first_fails(spark, tmp_path):
+    consumer = Consumer(spark, tmp_path, ACCESS_JOB)
+    consumer.send(access(1, 0))
+    first = consumer.start("first", flush_interval="1 second")
+    first.processAllAvailable()
+    consumer.run("second")
+    consumer.send(access(2, 1))
+    with pytest.raises(Exception, match="was taken over by query"):
+        first.awaitTermination(60)
+        first.processAllAvailable()
+    consumer.run("second")
+    consumer.run("first")
+    assert consumer.ledger.markers().count() == 2
+    assert consumer.minutes() == [minute("/a", 2, 2, 0, 0, 20, 10)]
+
+
+def test_a_write_under_way_at_a_takeover_stays_invisible(spark, tmp_path, monkeypatch):
+    """Both queries take the same id; the slower one is fenced between its check and its write."""
+    consumer = Consumer(spark, tmp_path, ACCESS_JOB)
+    ledger = consumer.ledger
+    records = spark.createDataFrame([access(1, 0), access(2, 1)], RAW_RECORD)
+    slow = ledger.claim("slow")
+    write = Ledger.write_batch
+
+    def overtaken(self, accepted, query_id, batch_id, token):
+        if query_id == "slow":
+            fast = self.claim("fast")
+            ingest.persist_batch(records.limit(1), 0, ACCESS_JOB, self, "fast", fast)
+        write(self, accepted, query_id, batch_id, token)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(Ledger, "write_batch", overtaken)
+        with pytest.raises(FencedWriterError, match="taken over by query fast"):
+            ingest.persist_batch(records, 0, ACCESS_JOB, ledger, "slow", slow)
+    assert values(ledger.markers(), "event_id") == [(uuid(1),)]
+    again = ledger.claim("slow")
+    ingest.persist_batch(records, 0, ACCESS_JOB, ledger, "slow", again)
+    assert values(ledger.markers(), "event_id") == [(uuid(1),), (uuid(2),)]
+    assert consumer.minutes() == [minute("/a", 2, 2, 0, 0, 20, 10)]
+
+
+def test_two_claims_of_one_epoch_give_way(spark, tmp_path, monkeypatch):
+    ledger = Consumer(spark, tmp_path, ACCESS_JOB).ledger
+    first = ledger.claim("a")
+    append = Ledger._append
+
+    def race(self, table, rows):
+        monkeypatch.setattr(Ledger, "_append", append)
+        append(self, table, rows)
+        append(self, table, rows.withColumn("token", F.lit("rival")).withColumn("owner", F.lit("c")))
+
+    monkeypatch.setattr(Ledger, "_append", race)
+    token = ledger.claim("b")
+    ledger.check_owner(token)
+    for fenced in (first, "rival"):
+        with pytest.raises(FencedWriterError):
+            ledger.check_owner(fenced)
 
 
 def test_stream_equals_batch(spark, logs):
