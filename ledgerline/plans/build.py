@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from ledgerline.operators import quality
 from ledgerline.operators.quality import Suite
 from ledgerline.plans import health, orders, sales, staging
+from ledgerline.plans.marts import read_mart_files, write_slices
 from ledgerline.schemas import CHANNELS, CONTRACTS, CURRENCIES, ORDER_EVENT_TYPES, ORDER_STATES
-from ledgerline.sources.tables import write_table
 
 
 @dataclass(frozen=True)
@@ -65,26 +65,14 @@ def publish(models: Models, root: str) -> dict[str, str]:
     Daily sales is rolled up from the written order fact instead of being derived again.
     """
     spark = models.fct_orders.sparkSession
-    paths = {}
     for name in MARTS:
         table = getattr(models, name)
         if name == "mart_daily_sales":
             table = sales.daily_sales(
                 models.stg_order_events, read_mart_files(spark, root, "fct_orders")
             )
-        contract = CONTRACTS[name]
-        paths[name] = f"{root}/{name}"
-        write_table(
-            quality.enforce_contract(table, contract),
-            paths[name],
-            partition_column=contract.partition_column,
-        )
-    return paths
-
-
-def read_mart_files(spark: SparkSession, root: str, name: str) -> DataFrame:
-    contract = CONTRACTS[name]
-    return spark.read.schema(contract.schema).parquet(f"{root}/{name}").select(*contract.columns)
+        write_slices(table, root, CONTRACTS[name])
+    return {name: f"{root}/{name}" for name in MARTS}
 
 
 # --- declared checks --------------------------------------------------------------------

@@ -8,11 +8,10 @@ from datetime import date, timedelta
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.operators.quality import enforce_contract
-from ledgerline.plans.build import read_mart_files
+from ledgerline.plans import health, orders, sales
+from ledgerline.plans.marts import manifest, read_mart_files, read_slices, with_slice, write_slices
 from ledgerline.schemas import CONTRACTS, Contract
 from ledgerline.session import ensure_checkpoint_dir
-from ledgerline.sources.tables import write_table
 
 
 class ScanBoundError(ValueError):
@@ -37,66 +36,94 @@ def refresh_recent(full_model: DataFrame, root: str, name: str, as_of: date) ->
     replace_days(full_model, root, name, lookback_start(contract, as_of), as_of)
 
 
-def backfill(full_model: DataFrame, root: str, name: str, start: date, end: date) -> None:
-    """Bounded manual rebuild of the days ``[start, end]``."""
-    contract = CONTRACTS[name]
-    _check_window(contract, start, end)
+def backfill(
+    full_model: DataFrame,
+    root: str,
+    name: str,
+    start: date,
+    end: date,
+    *,
+    maximum_days: int | None = None,
+) -> None:
+    """Manual rebuild of the days ``[start, end]``, of at most ``maximum_days`` if given."""
+    _check_window(CONTRACTS[name], start, end, maximum_days)
     replace_days(full_model, root, name, start, end)
 
 
 def replace_days(full_model: DataFrame, root: str, name: str, start: date, end: date) -> None:
-    """Overwrite the day partitions of the range; days without rows any more become empty."""
+    """Replace the day slices of the range; days without rows any more leave the mart."""
     contract = CONTRACTS[name]
     if contract.partition_column is None:
         raise ValueError(f"{name} is not partitioned by day; merge it by key")
-    table = enforce_contract(full_model, contract)
-    window = table.filter(between_dates(contract.partition_column, start, end))
-    held = read_mart_files(full_model.sparkSession, root, name).filter(
-        between_dates(contract.partition_column, start, end)
-    )
-    _replace_partitions(window, held.select(contract.partition_column), root, contract)
+    chosen = between_dates(contract.partition_column, start, end)
+    held = manifest(full_model.sparkSession, root, contract).filter(chosen)
+    write_slices(full_model.filter(chosen), root, contract, held)
 
 
-def _replace_partitions(
-    table: DataFrame, touched: DataFrame, root: str, contract: Contract
-) -> None:
-    """Overwrite the days of ``table`` and empty the ``touched`` days that it no longer holds.
+def refresh_sales(spark: SparkSession, events: DataFrame, arrived: DataFrame, root: str) -> list[date]:
+    """Bring the order facts and daily sales up to date with newly ``arrived`` events.
 
-    A dynamic overwrite leaves days without new rows as they are, so each of these gets a file
-    without rows in place of its old ones. Only the emptied days are listed on the driver.
-    """
-    spark, day = table.sparkSession, contract.partition_column
-    ensure_checkpoint_dir(spark)
-    table = table.checkpoint()
-    emptied = touched.select(day).distinct().join(table.select(day).distinct(), day, "left_anti")
-    emptied_days = [row[0] for row in emptied.collect()]
-    path = f"{root}/{contract.name}"
-    write_table(table, path, partition_column=day, dynamic=True)
-    columns = [column for column in contract.columns if column != day]
-    for value in emptied_days:
-        table.select(*columns).limit(0).coalesce(1).write.mode("overwrite").parquet(
-            f"{path}/{day}={value}"
-        )
-
-
-def affected_days(order_events: DataFrame, arrived: DataFrame) -> DataFrame:
-    """Days whose sales can change through newly arrived events.
-
-    An order's creation gives channel and currency to its other events, so an order that got
-    any new event may change every day on which it has events.
+    ``events`` are all staged events, arrived ones included; only those of touched orders are
+    used. The facts are merged by key first. An order whose creation currency or channel has
+    changed may change every day on which it has events, other orders only the days of their
+    arrived events; sales are then derived again from the stored facts of these days, however
+    old they are, and the scan of the event fact is limited to their folders. Returns the days.
     """
     touched = arrived.select("order_id").distinct()
-    return order_events.join(touched, "order_id", "left_semi").select("event_date").distinct()
-
-
-def refresh_days(full_model: DataFrame, root: str, name: str, days: DataFrame) -> None:
-    """Overwrite the listed day partitions, wherever they lie; ``days`` has the day column."""
-    contract = CONTRACTS[name]
-    table = enforce_contract(full_model, contract)
-    chosen = table.join(days, contract.partition_column, "left_semi").select(*contract.columns)
-    held = read_mart_files(full_model.sparkSession, root, name).select(contract.partition_column)
-    touched = held.join(days, contract.partition_column, "left_semi")
-    _replace_partitions(chosen, touched, root, contract)
+    history = stored_rows(events.join(touched, "order_id", "left_semi"))
+    facts = stored_rows(orders.fct_orders(history))
+    known = _in_touched_slices(spark, facts, root, CONTRACTS["fct_orders"])
+    same = [F.col(f"new.{name}").eqNullSafe(F.col(f"old.{name}")) for name in ("currency", "channel")]
+    moved = (
+        facts.alias("new")
+        .join(known.alias("old"), F.col("new.order_id") == F.col("old.order_id"), "left")
+        .filter(~(same[0] & same[1]))
+        .select("new.order_id")
+    )
+    days = history.join(moved, "order_id", "left_semi").select("event_date")
+    days = days.unionByName(arrived.select("event_date")).distinct()
+    merge_into_mart(spark, orders.fct_order_events(history), root, "fct_order_events", ["persisted_at"])
+    merge_into_mart(spark, facts, root, "fct_orders", ["order_event_count"])
+    # bounded by the calendar; as literals they prune the folders of the scan
+    chosen = sorted(row[0] for row in days.collect())
+    if chosen:
+        of_days = read_mart_files(spark, root, "fct_order_events").filter(F.col("event_date").isin(chosen))
+        daily = sales.daily_sales(of_days, read_mart_files(spark, root, "fct_orders"))
+        write_slices(daily, root, CONTRACTS["mart_daily_sales"], days)
+    return chosen
+
+
+def refresh_health(minutes: DataFrame, arrived: DataFrame, root: str) -> list[date]:
+    """Derive service health again for the days of the ``arrived`` minutes, however old.
+
+    ``minutes`` is the staged minute table and ``arrived`` those of its rows that are new or
+    changed (column metric_minute). Bounds on the minute reach the scan, and only the days'
+    minutes are aggregated. Returns the days.
+    """
+    day = F.to_date("metric_minute").alias("metric_date")
+    days = arrived.select(day).distinct()
+    chosen = sorted(row[0] for row in days.collect())  # bounded by the calendar
+    if chosen:
+        after = chosen[-1] + timedelta(days=1)
+        bounds = (F.col("metric_minute") >= F.lit(chosen[0])) & (F.col("metric_minute") < F.lit(after))
+        of_days = minutes.filter(bounds).filter(F.to_date("metric_minute").isin(chosen))
+        model = health.service_health(health.service_minute_metrics(of_days))
+        write_slices(model, root, CONTRACTS["mart_service_health"], days)
+    return chosen
+
+
+def stored_rows(rows: DataFrame) -> DataFrame:
+    """Rows that several jobs read, written once to the shared checkpoint folder."""
+    ensure_checkpoint_dir(rows.sparkSession)
+    return rows.checkpoint()
+
+
+def _in_touched_slices(
+    spark: SparkSession, updates: DataFrame, root: str, contract: Contract
+) -> DataFrame:
+    """Published rows of the key buckets that the updates fall into."""
+    buckets = with_slice(updates.select(*contract.unique_key), contract).select("key_bucket").distinct()
+    return read_slices(spark, root, contract).join(buckets, "key_bucket", "left_semi").select(*contract.columns)
 
 
 def late_rows(new_rows: DataFrame, contract: Contract, as_of: date) -> DataFrame:
@@ -136,23 +163,20 @@ def merge_into_mart(
 ) -> None:
     """Merge updated rows into a published mart by its unique key.
 
-    A partitioned mart rewrites only days that hold updates or the rows they replace. The
-    merged rows go to the shared checkpoint folder first, since the target is also the input.
+    Only slices that hold updates, or the rows they replace, are read and written: key buckets,
+    or days where the mart has a day column. The change is published with its manifest.
     """
     contract = CONTRACTS[name]
-    ensure_checkpoint_dir(spark)
-    key = list(contract.unique_key)
-    current = read_mart_files(spark, root, name)
-    day = contract.partition_column
+    key, day = list(contract.unique_key), contract.partition_column
     if day is None:
-        merged = enforce_contract(merge_latest(current, updates, key, version), contract)
-        write_table(merged.checkpoint(), f"{root}/{name}")
-        return
-    replaced = current.join(updates.select(*key).distinct(), key, "left_semi").select(day)
-    touched = replaced.unionByName(updates.select(day)).distinct().checkpoint()
-    current = current.join(touched, day, "left_semi").select(*contract.columns)
-    merged = enforce_contract(merge_latest(current, updates, key, version), contract)
-    _replace_partitions(merged, touched, root, contract)
+        current = _in_touched_slices(spark, updates, root, contract)
+        touched = with_slice(updates.select(*key), contract).select("key_bucket").distinct()
+    else:
+        published = read_mart_files(spark, root, name)
+        replaced = published.join(updates.select(*key).distinct(), key, "left_semi").select(day)
+        touched = stored_rows(replaced.unionByName(updates.select(day)).distinct())
+        current = published.join(touched, day, "left_semi").select(*contract.columns)
+    write_slices(merge_latest(current, updates, key, version), root, contract, touched)
 
 
 def read_mart(
@@ -161,10 +185,13 @@ def read_mart(
     name: str,
     start: date | None = None,
     end: date | None = None,
+    *,
+    maximum_days: int | None = None,
 ) -> DataFrame:
-    """Read a mart within date bounds; the filter prunes day partitions.
+    """Read a mart within date bounds; the filter prunes day folders.
 
-    A partitioned mart needs both bounds and at most its policy's number of days.
+    A partitioned mart needs both bounds. ``maximum_days`` refuses longer ranges, for instance
+    by the ``maximum_scan_days`` of the mart's contract; by default any range is read.
     """
     contract = CONTRACTS[name]
     table = read_mart_files(spark, root, name)
@@ -172,15 +199,13 @@ def read_mart(
         return table
     if start is None or end is None:
         raise ScanBoundError(f"{name}: both date bounds are required")
-    _check_window(contract, start, end)
+    _check_window(contract, start, end, maximum_days)
     return table.filter(between_dates(contract.partition_column, start, end))
 
 
-def _check_window(contract: Contract, start: date, end: date) -> None:
+def _check_window(contract: Contract, start: date, end: date, maximum_days: int | None) -> None:
     days = (end - start).days + 1
     if days < 1:
         raise ScanBoundError(f"{contract.name}: the range is empty")
-    if days > contract.maximum_scan_days:
-        raise ScanBoundError(
-            f"{contract.name}: {days} days requested, {contract.maximum_scan_days} allowed"
-        )
+    if maximum_days is not None and days > maximum_days:
+        raise ScanBoundError(f"{contract.name}: {days} days requested, {maximum_days} allowed")

@@ -28,7 +28,7 @@ from ledgerline.operators import (
     percentiles,
     quality,
 )
-from ledgerline.plans import build, health, incremental, orders, sales, staging
+from ledgerline.plans import build, health, incremental, marts, orders, sales, staging
 from ledgerline.schemas import CONTRACTS
 from ledgerline.session import configure, ensure_checkpoint_dir
 from ledgerline.sources import adapters, derived, raw_records, tables
@@ -635,37 +635,31 @@ def _published(spark, directory, before: str | None = None) -> tuple[str, DataFr
 
 
 def refreshed_service_health(spark, directory):
-    """Service health built up to the cutoff, then refreshed over its lookback window."""
+    """Service health built up to the cutoff, then derived again for the days of later minutes."""
     access = adapters.access_events(spark, directory)
+    cutoff = F.col("event_time") < _time("2024-01-29 12:00:00")
 
-    def model(rows: DataFrame) -> DataFrame:
-        minutes = staging.minute_metrics(health.minute_metrics_from_access_events(rows))
-        return health.service_health(health.service_minute_metrics(minutes))
+    def minutes(rows: DataFrame) -> DataFrame:
+        return staging.minute_metrics(health.minute_metrics_from_access_events(rows))
 
     root = f"{_scratch(spark)}/marts"
-    early = access.filter(F.col("event_time") < _time("2024-01-29 12:00:00"))
-    tables.write_table(
-        model(early), f"{root}/mart_service_health", partition_column="metric_date"
-    )
-    incremental.refresh_recent(model(access), root, "mart_service_health", LAST_DAY)
-    return build.read_mart_files(spark, root, "mart_service_health")
-
+    early = health.service_health(health.service_minute_metrics(minutes(access.filter(cutoff))))
+    marts.write_slices(early, root, CONTRACTS["mart_service_health"])
+    incremental.refresh_health(minutes(access), minutes(access.filter(~cutoff)), root)
+    return marts.read_mart_files(spark, root, "mart_service_health")
 
-def incremental_daily_sales(spark, directory):
-    """Daily sales built up to the cutoff, then refreshed.
 
-    First the lookback window, then the older days of orders that got new events, which
-    include the days a late creation changes.
-    """
+def _refreshed(spark, directory) -> str:
+    """Marts built up to the cutoff, then brought up to date with the events that came later."""
     root, events = _published(spark, directory, before=CUTOFF)
-    current = sales.daily_sales(events)
-    incremental.refresh_recent(current, root, "mart_daily_sales", LAST_DAY)
     arrived = events.filter(F.col("persisted_at") >= _time(CUTOFF))
-    older = incremental.affected_days(events, arrived).filter(
-        F.col("event_date") < F.lit(incremental.lookback_start(CONTRACTS["mart_daily_sales"], LAST_DAY))
-    )
-    incremental.refresh_days(current, root, "mart_daily_sales", older)
-    return build.read_mart_files(spark, root, "mart_daily_sales")
+    incremental.refresh_sales(spark, events, arrived, root)
+    return root
+
+
+def incremental_daily_sales(spark, directory):
+    """Daily sales after the refresh from arrived events."""
+    return marts.read_mart_files(spark, _refreshed(spark, directory), "mart_daily_sales")
 
 
 def merged_orders(spark, directory):
@@ -674,18 +668,14 @@ def merged_orders(spark, directory):
     touched = events.filter(F.col("persisted_at") >= _time(CUTOFF)).select("order_id").distinct()
     updates = orders.fct_orders(events.join(touched, "order_id", "left_semi"))
     incremental.merge_into_mart(spark, updates, root, "fct_orders", ["order_event_count"])
-    return build.read_mart_files(spark, root, "fct_orders")
+    return marts.read_mart_files(spark, root, "fct_orders")
 
 
 def merged_order_events(spark, directory):
-    """Event fact built up to the cutoff, then merged with the events of touched orders."""
-    root, events = _published(spark, directory, before=CUTOFF)
-    touched = events.filter(F.col("persisted_at") >= _time(CUTOFF)).select("order_id").distinct()
-    updates = orders.fct_order_events(events.join(touched, "order_id", "left_semi"))
-    incremental.merge_into_mart(
-        spark, updates, root, "fct_order_events", ["event_sequence_number"]
-    )
-    return build.read_mart_files(spark, root, "fct_order_events")
+    """Event fact after the refresh from arrived events, read after the old versions are gone."""
+    root = _refreshed(spark, directory)
+    marts.vacuum(spark, root, "fct_order_events")
+    return marts.read_mart_files(spark, root, "fct_order_events")
 
 
 def bounded_read(spark, directory):
