@@ -149,37 +149,68 @@ def freshness(
 # --- declared test suites ---------------------------------------------------------------
 
 
+@dataclass(frozen=True)
+class KeyCheck:
+    """A check of groups: ``broken`` is an aggregate that holds for a violating group of ``key``."""
+
+    key: tuple[str, ...]
+    broken: Column
+
+
+def unique_key(column: str) -> KeyCheck:
+    """No value twice; NULLs are ignored."""
+    return KeyCheck((column,), F.count(column) > 1)
+
+
+def unique_keys(columns: Sequence[str]) -> KeyCheck:
+    """No combination twice; NULL parts are equal to each other."""
+    return KeyCheck(tuple(columns), F.count(F.lit(1)) > 1)
+
+
+def one_value(columns: Sequence[str], key: str) -> KeyCheck:
+    """At most one distinct non-NULL value of each column per key."""
+    spread = [F.coalesce(F.min(name) != F.max(name), F.lit(False)) for name in columns]
+    return KeyCheck((key,), reduce(Column.__or__, spread))
+
+
 @dataclass(frozen=True)
 class Suite:
     """The checks declared on one table.
 
-    ``row_checks`` map a name to the condition of a violating row; all of them are counted
-    in one scan. ``key_checks`` map a name to the violations of a grouped check.
+    ``row_checks`` map a name to the condition of a violating row; all of them are counted in
+    one scan. ``key_checks`` map a name to a check of groups, of which all with one key share one
+    scan, one shuffle and one aggregate, or to the violations of any other check.
     """
 
     table: str
     rows: DataFrame
     row_checks: dict[str, Column] = field(default_factory=dict)
-    key_checks: dict[str, DataFrame] = field(default_factory=dict)
+    key_checks: dict[str, KeyCheck | DataFrame] = field(default_factory=dict)
 
     def violation_counts(self) -> DataFrame:
         """Rows (check_name, violation_count)."""
         parts = []
         if self.row_checks:
-            counts = self.rows.agg(
-                *[F.count_if(broken).alias(name) for name, broken in self.row_checks.items()]
-            )
-            parts.append(
-                counts.unpivot([], list(self.row_checks), "check_name", "violation_count")
-            )
-        for name, violations in self.key_checks.items():
-            total = F.count(F.lit(1)).alias("violation_count")
-            parts.append(
-                violations.agg(total).select(F.lit(name).alias("check_name"), "violation_count")
-            )
+            parts.append(_counted(self.rows, self.row_checks))
+        by_key: dict[tuple[str, ...], dict[str, Column]] = {}
+        for name, check in self.key_checks.items():
+            if isinstance(check, KeyCheck):
+                by_key.setdefault(check.key, {})[name] = check.broken
+            else:
+                total = F.count(F.lit(1)).alias("violation_count")
+                parts.append(check.agg(total).select(F.lit(name).alias("check_name"), "violation_count"))
+        for key, checks in by_key.items():
+            marks = [broken.alias(f"_broken{n}") for n, broken in enumerate(checks.values())]
+            groups = self.rows.groupBy(*key).agg(*marks)
+            parts.append(_counted(groups, {name: F.col(f"_broken{n}") for n, name in enumerate(checks)}))
         return reduce(DataFrame.unionByName, parts)
 
 
+def _counted(rows: DataFrame, checks: dict[str, Column]) -> DataFrame:
+    counts = rows.agg(*[F.count_if(broken).alias(name) for name, broken in checks.items()])
+    return counts.unpivot([], list(checks), "check_name", "violation_count")
+
+
 def summarise(suites: Sequence[Suite]) -> DataFrame:
     """One row (table_name, check_name, violation_count, status) per declared check."""
     counts = reduce(

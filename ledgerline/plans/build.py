@@ -78,6 +78,7 @@ def publish(models: Models, root: str) -> dict[str, str]:
 # --- declared checks --------------------------------------------------------------------
 # The column names, conditions and accepted values that the checks declare.
 
+COORDINATE = ("kafka_topic", "kafka_partition", "kafka_offset")
 _CREATED = "event_type = 'order_created'"
 _PRICED = "event_type in ('order_created', 'order_paid', 'payment_failed')"
 
@@ -126,8 +127,8 @@ def source_suites(
             "amount positive": quality.not_positive("amount"),
         },
         {
-            "event_id unique": quality.unique(valid_orders, "event_id"),
-            "coordinate unique": quality.coordinate_unique(valid_orders),
+            "event_id unique": quality.unique_key("event_id"),
+            "coordinate unique": quality.unique_keys(COORDINATE),
         },
     )
     marker_suite = Suite(
@@ -141,9 +142,7 @@ def source_suites(
             **_negative(("partition_id", "offset_id")),
         },
         {
-            "marker unique": quality.unique_combination(
-                processed_events, ["consumer_group", "event_id"]
-            )
+            "marker unique": quality.unique_keys(("consumer_group", "event_id"))
         },
     )
     # Column names.
@@ -160,7 +159,7 @@ def source_suites(
             **_negative(counters),
             "counts add up": quality.counts_differ(),
         },
-        {"key unique": quality.unique_combination(log_metrics, minute_key)},
+        {"key unique": quality.unique_keys(minute_key)},
     )
     return [orders_suite, marker_suite, minute_suite]
 
@@ -171,10 +170,10 @@ def order_suite(stg_order_events: DataFrame) -> Suite:
         "stg_order_events",
         stg_order_events,
         key_checks={
-            "order in one partition": quality.single_partition_per_order(stg_order_events),
-            "order of one user": quality.single_user_per_order(stg_order_events),
-            "order in one currency": quality.single_currency_per_order(stg_order_events),
-            "coordinate unique": quality.coordinate_unique(stg_order_events),
+            "order in one partition": quality.one_value(("kafka_topic", "kafka_partition"), "order_id"),
+            "order of one user": quality.one_value(("user_id",), "order_id"),
+            "order in one currency": quality.one_value(("currency",), "order_id"),
+            "coordinate unique": quality.unique_keys(COORDINATE),
         },
     )
 
@@ -205,7 +204,7 @@ def mart_suites(
                 **_missing(("event_id", "order_id", "event_type", "user_id")),
                 **_accepted("event_type", ORDER_EVENT_TYPES),
             },
-            {"event_id unique": quality.unique(fct_order_events, "event_id")},
+            {"event_id unique": quality.unique_key("event_id")},
         ),
         Suite(
             "fct_orders",
@@ -216,7 +215,7 @@ def mart_suites(
                 **_negative(("payment_attempt_count", "payment_failure_count")),
                 "order_event_count positive": quality.not_positive("order_event_count"),
             },
-            {"order_id unique": quality.unique(fct_orders, "order_id")},
+            {"order_id unique": quality.unique_key("order_id")},
         ),
         Suite(
             "mart_daily_sales",
@@ -228,9 +227,7 @@ def mart_suites(
                 **_negative(sales_measures),
             },
             {
-                "key unique": quality.unique_combination(
-                    mart_daily_sales, ["event_date", "currency", "channel"]
-                )
+                "key unique": quality.unique_keys(("event_date", "currency", "channel"))
             },
         ),
         Suite(
@@ -243,9 +240,7 @@ def mart_suites(
                 "endpoint_count positive": quality.not_positive("endpoint_count"),
             },
             {
-                "key unique": quality.unique_combination(
-                    mart_service_health, ["metric_minute", "service"]
-                )
+                "key unique": quality.unique_keys(("metric_minute", "service"))
             },
         ),
     ]

@@ -1101,11 +1101,20 @@ SELECT start, asset_id, layer, CAST(min(depth) AS BIGINT) AS depth, layer = 'mar
 FROM walk JOIN assets ON node = asset_id WHERE start LIKE 'order.%'
 GROUP BY start, asset_id, layer""",
     "impact_paths": f"""WITH {_EDGES},
-starts AS (SELECT 'order.' || s_suppkey AS start FROM supplier)
+starts AS (SELECT 'order.' || o_orderkey AS start FROM orders)
 SELECT start, start || '|' || part AS path FROM starts JOIN held ON ord = start
 UNION ALL
 SELECT start, start || '|' || part || '|' || supplier FROM starts JOIN held ON ord = start
 JOIN supplied USING (part)""",
+    "impact_paths_to_published": f"""WITH {_EDGES},
+steps AS (SELECT DISTINCT customer AS start, ord, part FROM placed JOIN held USING (ord)),
+parts AS (SELECT start, part, min(ord) AS ord FROM steps GROUP BY start, part),
+reached AS (
+    SELECT start, supplier, min(part) AS part FROM parts JOIN supplied USING (part)
+    GROUP BY start, supplier
+)
+SELECT start, start || '|' || ord || '|' || part || '|' || supplier AS path
+FROM reached JOIN parts USING (start, part)""",
     "query_costs": f"""WITH {_ESTIMATES},
 priced AS (
     SELECT *, CASE model WHEN 'mart_daily_sales' THEN 268435456 WHEN 'mart_service_health'

@@ -772,12 +772,19 @@ def lineage_impact(spark, directory):
 
 
 def impact_paths(spark, directory):
-    """Paths from the orders that share a supplier's number to their parts and suppliers."""
+    """Paths from every order to its parts and their suppliers."""
     edges = derived.lineage_edges(spark, directory)
-    starts = adapters.table(spark, directory, "supplier").select(
-        F.concat(F.lit("order."), F.col("s_suppkey").cast("string")).alias("start")
-    )
-    return lineage.impact_paths(edges, starts)
+    return lineage.impact_paths(edges, _starts(spark, directory, "staging"))
+
+
+def impact_paths_to_published(spark, directory):
+    """Paths from every customer to the suppliers it reaches, rebuilt for these pairs alone."""
+    edges = derived.lineage_edges(spark, directory)
+    steps = lineage.impact_steps(edges, _starts(spark, directory, "source"))
+    published = derived.lineage_assets(spark, directory).filter("layer = 'marts'")
+    nodes = published.select(F.col("asset_id").alias("node"))
+    asked = steps.filter("is_tree").join(nodes, "node", "left_semi").select("start", "node")
+    return lineage.paths_of(steps.filter("is_tree"), asked)
 
 
 def query_costs(spark, directory):
@@ -871,6 +878,7 @@ _QUERIES = [
     first_user_events,
     stream_valid_orders,
     stream_log_metrics_minute,
+    stream_access_dead_letters,
     source_quality,
     mart_quality,
     check_not_null,
@@ -922,6 +930,7 @@ _QUERIES = [
     lineage_walked_edges,
     lineage_impact,
     impact_paths,
+    impact_paths_to_published,
     finding_paths,
     query_costs,
     loosened_thresholds,

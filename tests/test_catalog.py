@@ -1,5 +1,6 @@
 """Contract comparison, lineage, cost policy, assets and scrubbing."""
 
+import random
 from datetime import datetime
 
 import pytest
@@ -258,3 +259,36 @@ def test_scrubbing_of_json_text(rows):
     assert found == (
         '{"user": "a", "password": "[REDACTED]", "n": {"auth_token" : "[REDACTED]"}, "text": "[REDACTED]"}'
     )
+
+
+def brute_paths(graph, start):
+    """Paths by a plain walk: nodes are expanded once, at their least depth, from the least node."""
+    below = {}
+    for a, b in set(graph):
+        below.setdefault(a, []).append(b)
+    tree, frontier, found = {start: [start]}, [start], []
+    while frontier:
+        fresh = {}
+        for via in sorted(frontier):
+            for node in below.get(via, []):
+                found.append(tree[via] + [node])
+                if node not in tree:
+                    fresh.setdefault(node, tree[via] + [node])
+        tree.update(fresh)
+        frontier = list(fresh)
+    return found
+
+
+def test_impact_paths_of_all_starts_equal_a_plain_walk(spark):
+    rng = random.Random(8)
+    nodes = [f"n{k:02d}" for k in range(30)]
+    graph = [(rng.choice(nodes), rng.choice(nodes)) for _ in range(70)] + [("n01", "n01"), ("n02", "n03")] * 2
+    found = values(lineage.impact_paths(edges(spark, *graph), starts(spark, *nodes)))
+    expected = [(s, p) for s in nodes for p in brute_paths(graph, s)]
+    assert sorted(found) == sorted(expected)
+    steps = lineage.impact_steps(edges(spark, *graph), starts(spark, *nodes))
+    assert steps.columns == ["start", "via", "node", "depth", "is_tree"]
+    asked = spark.createDataFrame([("n00", p[-1]) for p in brute_paths(graph, "n00")][:3], "start string, node string")
+    some = values(lineage.impact_paths(edges(spark, *graph), starts(spark, "n00"), asked=asked), "path")
+    wanted = {row.node for row in asked.collect()}
+    assert sorted(p for (p,) in some) == sorted(p for p in brute_paths(graph, "n00") if p[-1] in wanted)

@@ -144,3 +144,26 @@ def test_changed_keys_counts_copies(rows):
 def test_money_is_decimal(spark):
     daily = sales.daily_sales(build.staging.order_events(adapters.valid_orders(spark, SMALL)))
     assert isinstance(daily.first().created_order_amount, Decimal)
+
+
+def test_checks_of_one_key_share_a_scan_and_a_shuffle(spark):
+    rows = spark.createDataFrame(
+        [("a", "u", "TWD", "t", 0), ("a", "v", None, "t", 0), ("b", "u", "TWD", "t", 0), ("b", "u", "USD", "t", 1),
+         (None, "x", None, "t", 1), (None, "y", "TWD", "s", 1)],
+        "order_id string, user_id string, currency string, kafka_topic string, kafka_partition int",
+    )
+    suite = q.Suite("rows", rows, key_checks={
+        "place": q.one_value(("kafka_topic", "kafka_partition"), "order_id"),
+        "user": q.one_value(("user_id",), "order_id"),
+        "currency": q.one_value(("currency",), "order_id"),
+        "order unique": q.unique_key("order_id"),
+        "pair unique": q.unique_keys(("order_id", "user_id")),
+    })
+    counts = suite.violation_counts()
+    assert dict(values(counts)) == {"place": 2, "user": 2, "currency": 1, "order unique": 2, "pair unique": 1}
+    for check, violations in (("place", q.single_partition_per_order(rows)),
+                              ("user", q.single_user_per_order(rows)),
+                              ("currency", q.single_currency_per_order(rows))):
+        assert dict(values(counts))[check] == violations.count()
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning") == 2
