@@ -26,7 +26,7 @@ from ledgerline.llm.superstrings import (
     EXCHANGE,
     ROUNDS,
     block_rows,
-    checksum,
+    text_digest,
     chunks_of,
     covered,
     cut_block,
@@ -66,16 +66,16 @@ def _exchange(documents: DataFrame, partitions: int, size: int) -> DataFrame:
     def function(batch):
         keys = batch.column(0).to_numpy(zero_copy_only=False)
         rows = list(texts(batch))
-        crcs = np.fromiter(map(checksum, rows), np.int64, len(rows))
+        digests = np.fromiter(map(text_digest, rows), np.int64, len(rows))
         # only one chunk's words are held at a time; words weigh many times their text
         for group in chunks_of([len(words_of(text)) for text in rows], size):
             words = {row: words_of(rows[row]) for row, _, _ in group}
-            yield from _chunk(group, words, keys, crcs, partitions, buckets, size)
+            yield from _chunk(group, words, keys, digests, partitions, buckets, size)
 
     return map_batches(sources(documents), function, EXCHANGE)
 
 
-def _chunk(group, words, keys, crcs, partitions, buckets, size):
+def _chunk(group, words, keys, digests, partitions, buckets, size):
     listed = [w for row, start, end in group for w in words[row][start:end]]
     if len(listed) < size:
         return
@@ -111,7 +111,7 @@ def _chunk(group, words, keys, crcs, partitions, buckets, size):
         yield {
             "partition": [int(keys[0] % partitions)],
             "bucket": [-1 - int(keys[0] % buckets)],
-            "block": [cut_block(keys[row][loses], crcs[row][loses], start[loses], count[loses])],
+            "block": [cut_block(keys[row][loses], digests[row][loses], start[loses], count[loses])],
         }
     sends = np.flatnonzero(~loses)
     bucket = dealt(grams[place[sends]], buckets)
@@ -127,7 +127,7 @@ def _chunk(group, words, keys, crcs, partitions, buckets, size):
         present, local = np.unique(row[part], return_inverse=True)
         blocks[int(bucket[a])] = pack(
             keys[present].astype(np.int64),
-            crcs[present].astype(np.uint32),
+            digests[present],
             text_of.astype(np.uint32),
             local.astype(np.uint32),
             start[part].astype(np.uint32),
@@ -158,16 +158,16 @@ def _word_hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
 def _judge(blocks: list[list], size: int):
     """Cuts of one bucket: windows that start in a document with a smaller id as well."""
     known: dict[bytes, int] = {}
-    keys, crcs, text_of, start = [], [], [], []
+    keys, digests, text_of, start = [], [], [], []
     for ids, checks, texts_at, local, starts, raw in blocks:
         names = raw.split(b"\n")
         numbers = np.fromiter((known.setdefault(n, len(known)) for n in names), np.int64, len(names))
         keys.append(ids[local])
-        crcs.append(checks[local])
+        digests.append(checks[local])
         text_of.append(numbers[texts_at])
         start.append(starts.astype(np.int64))
     blocks.clear()
-    keys, crcs, text_of, start = map(np.concatenate, (keys, crcs, text_of, start))
+    keys, digests, text_of, start = map(np.concatenate, (keys, digests, text_of, start))
     owner = np.full(len(known), np.iinfo(np.int64).max)
     np.minimum.at(owner, text_of, keys)
 
@@ -206,7 +206,7 @@ def _judge(blocks: list[list], size: int):
         first = np.flatnonzero(new)
         count = np.diff(np.append(first, len(entry)))
         at = entry[first]
-        yield keys[at], crcs[at], start[at] + step[first], count
+        yield keys[at], digests[at], start[at] + step[first], count
 
 
 def _exact(order, fresh, where, begins, ends, data, size):

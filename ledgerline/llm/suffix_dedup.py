@@ -28,7 +28,7 @@ from ledgerline.llm.superstrings import (
     EXCHANGE,
     ROUNDS,
     block_rows,
-    checksum,
+    text_digest,
     chunks_of,
     covered,
     cut_block,
@@ -58,15 +58,15 @@ def _exchange(documents: DataFrame, partitions: int, size: int) -> DataFrame:
     def function(batch):
         keys = batch.column(0).to_numpy(zero_copy_only=False)
         rows = list(texts(batch))
-        crcs = np.fromiter(map(checksum, rows), np.int64, len(rows))
+        digests = np.fromiter(map(text_digest, rows), np.int64, len(rows))
         coded = [text.encode("utf-8", "surrogatepass") for text in rows]
         for group in chunks_of([len(c) for c in coded], size):
-            yield from _chunk(group, coded, keys, crcs, partitions, buckets, size)
+            yield from _chunk(group, coded, keys, digests, partitions, buckets, size)
 
     return map_batches(sources(documents), function, EXCHANGE)
 
 
-def _chunk(group, coded, keys, crcs, partitions, buckets, size):
+def _chunk(group, coded, keys, digests, partitions, buckets, size):
     whole = b"".join(coded[row][start:end] for row, start, end in group)
     if len(whole) < size:
         return
@@ -92,7 +92,7 @@ def _chunk(group, coded, keys, crcs, partitions, buckets, size):
             "partition": [int(keys[0] % partitions)],
             "bucket": [-1 - int(keys[0] % buckets)],
             "block": [
-                cut_block(keys[row][repeated], crcs[row][repeated], start[repeated], count[repeated])
+                cut_block(keys[row][repeated], digests[row][repeated], start[repeated], count[repeated])
             ],
         }
     _, sends = np.unique(which, return_index=True)
@@ -106,7 +106,7 @@ def _chunk(group, coded, keys, crcs, partitions, buckets, size):
         present, local = np.unique(row[part], return_inverse=True)
         blocks[int(bucket[a])] = pack(
             keys[present].astype(np.int64),
-            crcs[present].astype(np.uint32),
+            digests[present],
             local.astype(np.uint32),
             start[part].astype(np.uint32),
             (place[part] - first[part]).astype(np.uint16),
@@ -120,19 +120,19 @@ def _chunk(group, coded, keys, crcs, partitions, buckets, size):
 def _judge(blocks: list[list], size: int, shard_bytes: int):
     """Cuts of one bucket: windows that occur twice or more, witnesses of chunks included."""
     known: dict[bytes, int] = {}
-    keys, crcs, text_of, start, again, offset = [], [], [], [], [], []
+    keys, digests, text_of, start, again, offset = [], [], [], [], [], []
     for ids, checks, local, starts, places, repeated, lengths, raw in blocks:
         ends = np.cumsum(lengths.astype(np.int64)).tolist()
         names = [raw[a:b] for a, b in zip([0, *ends], ends)]
         text_of.append(np.fromiter((known.setdefault(n, len(known)) for n in names), np.int64, len(names)))
         keys.append(ids[local])
-        crcs.append(checks[local].astype(np.int64))
+        digests.append(checks[local].astype(np.int64))
         start.append(starts.astype(np.int64))
         offset.append(places.astype(np.int64))
         again.append(repeated.astype(bool))
     blocks.clear()
-    keys, crcs, text_of, start, offset, again = map(
-        np.concatenate, (keys, crcs, text_of, start, offset, again)
+    keys, digests, text_of, start, offset, again = map(
+        np.concatenate, (keys, digests, text_of, start, offset, again)
     )
     names = list(known)
     n_windows = np.fromiter(map(len, names), np.int64, len(names)) - size + 1
@@ -173,7 +173,7 @@ def _judge(blocks: list[list], size: int, shard_bytes: int):
         new[1:] = (entry[1:] != entry[:-1]) | (step[1:] != step[:-1] + 1)
         first = np.flatnonzero(new)
         at = entry[first]
-        yield keys[at], crcs[at], start[at] + step[first], np.diff(np.append(first, len(entry)))
+        yield keys[at], digests[at], start[at] + step[first], np.diff(np.append(first, len(entry)))
 
 
 def _window_starts(shard: Shard, members: np.ndarray, window_first, n_windows):

@@ -8,19 +8,19 @@ buckets by minimiser brings all equal windows together.
 A chunk of an Arrow batch pre-aggregates: equal superstrings are sent once, whatever a passage's share of all
 rows. Removals ("cuts") travel as (first unit, windows) runs per row and are joined to the texts once.
 
-Rows are told apart by doc_id and a checksum of their text, so rows that share an id do not mix;
+Rows are told apart by doc_id and a 64-bit digest of their text, so rows that share an id do not mix;
 equal rows have equal results and are all kept.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from ledgerline.llm.blocks import LEVEL, pack, to_buckets, unpack
 from ledgerline.llm.common import NULL_ID, doc_key, map_arrow, map_batches, texts
@@ -33,7 +33,7 @@ CHUNK = 1 << 20
 _POSITION = np.uint64((1 << 24) - 1)
 
 EXCHANGE = "partition int, bucket int, block binary"
-CUTS = "doc_key long, crc long, cuts binary"
+CUTS = "doc_key long, digest long, cuts binary"
 
 
 def sliding_minima(keys: np.ndarray, width: int) -> np.ndarray:
@@ -99,8 +99,14 @@ def window_mask(group: list[tuple[int, int, int]], size: int, total: int) -> np.
     return mask
 
 
-def checksum(text: str) -> int:
-    return zlib.crc32(text.encode("utf-8", "surrogatepass"))
+def digest_of(raw: bytes) -> int:
+    """A signed 64-bit digest that tells texts of one doc_id apart."""
+    value = xxh3_64_intdigest(raw)
+    return value - (1 << 64) if value >> 63 else value
+
+
+def text_digest(text: str) -> int:
+    return digest_of(text.encode("utf-8", "surrogatepass"))
 
 
 def sources(documents: DataFrame) -> DataFrame:
@@ -116,23 +122,28 @@ def block_rows(blocks: dict[int, bytes], partitions: int) -> dict[str, list]:
     }
 
 
-def cut_block(keys: np.ndarray, crcs: np.ndarray, first: np.ndarray, count: np.ndarray) -> bytes:
+def cut_block(keys: np.ndarray, digests: np.ndarray, first: np.ndarray, count: np.ndarray) -> bytes:
     return pack(
-        keys.astype(np.int64), crcs.astype(np.uint32), first.astype(np.int64), count.astype(np.int64)
+        keys.astype(np.int64), digests.astype(np.int64), first.astype(np.int64), count.astype(np.int64)
     )
 
 
-def cut_rows(keys: np.ndarray, crcs: np.ndarray, first: np.ndarray, count: np.ndarray) -> dict[str, list]:
-    """Cuts grouped by row, as (first, count) pairs of 64-bit numbers."""
-    order = np.lexsort((first, crcs, keys))
-    keys, crcs = keys[order], crcs[order]
-    pairs = np.stack((first[order], count[order]), axis=1).astype("<i8")
+def cut_rows(keys: np.ndarray, digests: np.ndarray, first: np.ndarray, count: np.ndarray) -> dict[str, list]:
+    """Cuts grouped by row, as (first, count) pairs of 64-bit numbers; those of equal rows once."""
+    order = np.lexsort((count, first, digests, keys))
+    keys, digests, first, count = keys[order], digests[order], first[order], count[order]
+    new = np.ones(len(keys), dtype=bool)
+    for k, column in enumerate((keys, digests, first, count)):
+        differs = column[1:] != column[:-1]
+        new[1:] = differs if k == 0 else new[1:] | differs
+    keys, digests = keys[new], digests[new]
+    pairs = np.stack((first[new], count[new]), axis=1).astype("<i8")
     fresh = np.ones(len(keys), dtype=bool)
-    fresh[1:] = (keys[1:] != keys[:-1]) | (crcs[1:] != crcs[:-1])
+    fresh[1:] = (keys[1:] != keys[:-1]) | (digests[1:] != digests[:-1])
     edges = np.append(np.flatnonzero(fresh), len(keys))
     return {
         "doc_key": keys[edges[:-1]],
-        "crc": crcs[edges[:-1]].astype(np.int64),
+        "digest": digests[edges[:-1]],
         "cuts": [pairs[a:b].tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())],
     }
 
@@ -160,16 +171,16 @@ def resolve_buckets(
             )
 
         def finished():
-            for keys, crcs, first, count in judge(held):
+            for keys, digests, first, count in judge(held):
                 if len(keys):
-                    yield out(cut_rows(keys, crcs, first, count))
+                    yield out(cut_rows(keys, digests, first, count))
 
         for batch in batches:
             for bucket, block in zip(batch.column(1).to_pylist(), batch.column(2)):
                 parts = unpack(block.as_py())
                 if bucket < 0:
-                    keys, crcs, first, count = parts
-                    yield out(cut_rows(keys, crcs, first, count))
+                    keys, digests, first, count = parts
+                    yield out(cut_rows(keys, digests, first, count))
                     continue
                 if bucket != current and held:
                     yield from finished()
@@ -184,24 +195,28 @@ def resolve_buckets(
 
 
 def _packed_texts(documents: DataFrame) -> DataFrame:
-    """(doc_key, crc, packed): texts compressed for the one shuffle that they take part in."""
+    """(doc_key, digest, packed): texts compressed for the one shuffle that they take part in."""
 
     def function(batch):
         packer = zstandard.ZstdCompressor(level=LEVEL)
-        crcs, packed = [], []
+        digests, packed = [], []
         for text in texts(batch):
             raw = text.encode("utf-8", "surrogatepass")
-            crcs.append(zlib.crc32(raw))
+            digests.append(digest_of(raw))
             packed.append(packer.compress(raw))
-        yield {"doc_key": batch.column(0), "crc": crcs, "packed": packed}
+        yield {"doc_key": batch.column(0), "digest": digests, "packed": packed}
 
-    return map_batches(sources(documents), function, "doc_key long, crc long, packed binary")
+    return map_batches(sources(documents), function, "doc_key long, digest long, packed binary")
 
 
 def with_cuts(documents: DataFrame, cuts: DataFrame) -> DataFrame:
-    """Rows of (doc_id, packed, cuts): each text with all its cuts, an array of binaries or null."""
-    gathered = cuts.groupBy("doc_key", "crc").agg(F.collect_list("cuts").alias("cuts"))
-    return _packed_texts(documents).join(gathered, ["doc_key", "crc"], "left").select(
+    """Rows of (doc_id, packed, cuts): each text with all its cuts, an array of binaries or null.
+
+    Equal rows of one id have equal cuts; a set keeps them once, so that the list does not grow with
+    the number of copies.
+    """
+    gathered = cuts.groupBy("doc_key", "digest").agg(F.collect_set("cuts").alias("cuts"))
+    return _packed_texts(documents).join(gathered, ["doc_key", "digest"], "left").select(
         F.when(F.col("doc_key") != NULL_ID, F.col("doc_key")).alias("doc_id"), "packed", "cuts"
     )
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import zlib
 from collections import Counter
 from itertools import combinations
 
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from ledgerline.llm import simhash
+from ledgerline.llm import simhash, superstrings
 from ledgerline.llm.components import components
 from ledgerline.llm.simhash import anchors_of, fingerprint_of, near_duplicates, one_of_each_group
 from ledgerline.llm.substring_dedup import dedup_substrings
@@ -205,3 +206,49 @@ def test_components_of_a_chain_and_a_star(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 50)]
     found = {tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {(k, 0) for k in range(1, 41)} | {(100 + k, 100) for k in range(1, 50)}
+
+
+def crc_twins():
+    """A repeating and a fresh text without id whose crc32 is equal."""
+    fresh = " ".join(f"fresh{n}" for n in range(60))
+    repeating = " ".join(f"alpha{n} beta{n % 7}" for n in range(40))
+    rng = random.Random(1)
+    seen = {}
+    for _ in range(300_000):
+        tail = f"{rng.getrandbits(64):x}"
+        seen[zlib.crc32(f"{repeating} {tail}".encode())] = tail
+    for _ in range(300_000):
+        tail = f"{rng.getrandbits(64):x}"
+        if (other := seen.get(zlib.crc32(f"{fresh} {tail}".encode()))) is not None:
+            return f"{repeating} {other}", f"{fresh} {tail}", repeating
+    raise AssertionError("no twins")
+
+
+def test_texts_without_id_and_with_equal_crc_do_not_mix(spark):
+    left, right, first = crc_twins()
+    assert zlib.crc32(left.encode()) == zlib.crc32(right.encode())
+    docs = spark.createDataFrame([(1, first), (None, left), (None, right)], "doc_id long, text string")
+    found = {(r.doc_id, r.n_words): r.n_removed for r in dedup_substrings(docs).collect()}
+    assert found == {(1, 80): 0, (None, 81): 80, (None, 61): 0}
+    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    found = sorted((tuple(r) for r in dedup_suffixes(docs).select(*columns).collect()), key=repr)
+    assert found == brute_suffixes(rows_of(docs), 200)
+
+
+def test_cuts_of_repeated_rows_do_not_grow_with_their_number(spark, monkeypatch):
+    """Many equal rows of one id: every row gets the cuts once, not once per copy."""
+    sizes = []
+
+    for copies in (50, 200):
+        text = " ".join(f"w{n}" for n in range(300))
+        rows = [(1, text)] + [(2, text)] * copies
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+        kept = []
+        original = superstrings.with_cuts
+        with monkeypatch.context() as patch:
+            patch.setattr(superstrings, "with_cuts", lambda *a: kept.append(original(*a)) or kept[-1])
+            found = dedup_substrings(docs)
+            assert {r.n_removed for r in found.where("doc_id = 2").collect()} == {300}
+        lengths = kept[0].selectExpr("coalesce(aggregate(cuts, 0, (s, c) -> s + length(c)), 0) AS n")
+        sizes.append(lengths.agg({"n": "max"}).first()[0])
+    assert sizes[0] == sizes[1] <= 64
