@@ -17,13 +17,13 @@ Nulls and empty texts have fingerprint zero. Null doc_ids link like any other an
 whose id is the smallest id in it, or null. Repeated rows have equal results; an empty table gives no
 rows.
 
-``one_of_each_group`` has settings of its own: texts are linked if the sets of their ``GROUP_SHINGLE``-word
-shingles have a Jaccard similarity of ``SIMILAR`` or more. Fingerprints of such texts are up to about 15
+``one_of_each_group`` has settings of its own: texts are linked if the sets of their five-word shingles
+have a Jaccard similarity of 0.8 or more (``near_texts``). Fingerprints of such texts are up to about 15
 bits apart, where anchors would need thousands of copies, so candidates also come from bands of minimum
-hashes; a pair just at the limit shares a band with probability 0.999. Each candidate is checked on the
-whole shingle sets. A band of at most ``FULL`` texts proposes all its pairs. In a larger one each text is
-compared with ``CENTRES`` texts, those that share bands with the most others, as an original does with
-its edited copies; a pair that is similar to no centre of such a band can be missed.
+hashes. Each is checked on the whole shingle sets. In a first round a band of at most ``FULL`` texts
+proposes all its pairs; in a larger one each text meets ``CENTRES`` texts, those that share bands with
+the most others. That connects most groups; a second round compares, in every larger band, the texts
+that are not connected yet, so that no pair that shares a band is left out.
 """
 
 from __future__ import annotations
@@ -32,33 +32,35 @@ from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.blocks import LEVEL, bucket_count, mixed
+from ledgerline.llm.blocks import bucket_count
 from ledgerline.llm.common import NULL_ID, doc_key, map_arrow, map_batches, slices, stored, texts
 from ledgerline.llm.components import components
+from ledgerline.llm.near_texts import (  # noqa: F401  similarity: for callers of this module
+    GROUP_SHINGLE,
+    LOWER,
+    SEED,
+    dense_links,
+    minima_of,
+    packed_texts,
+    shingles_of,
+    similar_texts,
+    similarity,
+    text_digest,
+)
 
 SHINGLE = 3
-SEED = 42
 THRESHOLD = 2
 #: Fingerprints of an anchor up to which all pairs are compared at once.
 PAIRWISE = 2048
 
-#: The pipeline's stage: words of a shingle, least Jaccard similarity, bands and their minimum hashes.
-GROUP_SHINGLE = 5
-SIMILAR = 0.8
-BANDS, BAND_ROWS = 24, 6
-#: Texts of a band up to which all pairs are candidates.
+#: Texts of a band up to which all pairs are candidates of the first round.
 FULL = 64
-#: Texts of a larger band that all its texts are compared with.
+#: Texts of a larger band that all its texts are compared with in the first round.
 CENTRES = 4
 
-_FACTORS = mixed(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64)) | np.uint64(1)
-
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-
 #: (bits, generator polynomial, covering radius): Golay, Golay, Hamming; fixed values.
 CODES = ((23, 0b110001110101, 3), (23, 0b110001110101, 3), (15, 0b10011, 1))
 COVERED_BITS = sum(bits for bits, _, _ in CODES)
@@ -68,7 +70,7 @@ def fingerprint_of(text: str, shingle: int = SHINGLE) -> int:
     """64-bit SimHash of the word shingles, repeats included."""
     from xxhash import xxh64_intdigest
 
-    words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    words = text.encode("utf-8", "surrogatepass").translate(LOWER).split()
     if not words:
         return 0
     if len(words) < shingle:
@@ -97,14 +99,10 @@ def fingerprints(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             "fp": np.array(values, dtype=np.uint64).view(np.int64),
         }
 
-    source = documents.select(doc_key().alias("doc_key"), "text", _digest().alias("digest"))
+    source = documents.select(doc_key().alias("doc_key"), "text", text_digest().alias("digest"))
     return map_batches(source, function, "doc_key long, digest long, fp long")
 
 
-def _digest():
-    return F.xxhash64(F.coalesce("text", F.lit("")))
-
-
 def _patterns(bits: int, weight: int) -> np.ndarray:
     """All words of at most ``weight`` ones."""
     found = [0]
@@ -287,51 +285,40 @@ def near_duplicates(
     )
 
 
-def shingles_of(raw: bytes, shingle: int = GROUP_SHINGLE) -> set[bytes]:
-    """The distinct word shingles of a text; all words of a shorter one, nothing of one without words."""
-    words = raw.translate(_LOWER).split()
-    if len(words) < shingle:
-        return {b" ".join(words)} if words else set()
-    return set(map(b" ".join, zip(*(words[k:] for k in range(shingle)))))
-
-
-def similarity(left: set[bytes], right: set[bytes]) -> float:
-    """Jaccard similarity; two texts without words are equal."""
-    return len(left & right) / len(left | right) if left or right else 1.0
-
-
-def bands_of(shingles: set[bytes]) -> np.ndarray:
-    """One number per band: its minimum hashes over the shingles, combined."""
-    from xxhash import xxh64_intdigest
-
-    hashes = mixed(np.fromiter((xxh64_intdigest(s, SEED) for s in shingles), np.uint64, len(shingles)))
-    least = np.full(len(_FACTORS), np.iinfo(np.uint64).max, dtype=np.uint64)
-    for part in slices(len(hashes), 1 << 12):
-        least = np.minimum(least, (hashes[part, None] * _FACTORS).min(axis=0))
-    rows = mixed(least).reshape(BANDS, BAND_ROWS)
-    band = np.arange(BANDS, dtype=np.uint64)
-    return mixed((rows * _FACTORS[:BAND_ROWS]).sum(axis=1, dtype=np.uint64) + band).view(np.int64)
-
-
 def _marks(documents: DataFrame) -> DataFrame:
-    """(doc_key, digest, fp, bands) per row."""
+    """(doc_key, digest, fp, size, bands, minima) per row; size is the number of distinct shingles."""
 
     def function(batch):
-        rows = list(texts(batch))
-        fps = [fingerprint_of(text, GROUP_SHINGLE) for text in rows]
+        fps, sizes, bands, minima = [], [], [], []
+        for text in texts(batch):
+            shingles = shingles_of(text.encode("utf-8", "surrogatepass"))
+            fps.append(fingerprint_of(text, GROUP_SHINGLE))
+            sizes.append(len(shingles))
+            for kept, value in zip((bands, minima), minima_of(shingles)):
+                kept.append(value)
         yield {
             "doc_key": batch.column(0),
             "digest": batch.column(2),
             "fp": np.array(fps, dtype=np.uint64).view(np.int64),
-            "bands": [bands_of(shingles_of(t.encode("utf-8", "surrogatepass"))) for t in rows],
+            "size": sizes,
+            "bands": bands,
+            "minima": minima,
         }
 
-    source = documents.select(doc_key().alias("doc_key"), "text", _digest().alias("digest"))
-    return map_batches(source, function, "doc_key long, digest long, fp long, bands array<long>")
+    source = documents.select(doc_key().alias("doc_key"), "text", text_digest().alias("digest"))
+    schema = "doc_key long, digest long, fp long, size long, bands array<long>, minima binary"
+    return map_batches(source, function, schema)
 
 
-def _candidates(classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of digests, a < b, that may be similar: near fingerprints and shared bands."""
+def _members(classes: DataFrame) -> DataFrame:
+    """(place, band, digest, size, n): the texts of every band that n > 1 texts share."""
+    listed = classes.select("digest", "size", F.posexplode("bands").alias("place", "band"))
+    sizes = listed.groupBy("band").agg(F.count("*").alias("n"))
+    return stored(listed.join(sizes.where("n > 1"), "band"))
+
+
+def _candidates(classes: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of digests, a < b, of the first round: near fingerprints and shared bands."""
     heads = stored(classes.groupBy("fp").agg(F.min("digest").alias("head")))
     links = link_edges(_replicas(heads, THRESHOLD))
     near = (
@@ -341,9 +328,6 @@ def _candidates(classes: DataFrame) -> DataFrame:
     )
     equal = classes.join(heads, "fp").select("digest", "head")
 
-    listed = classes.select("digest", F.explode("bands").alias("band"))
-    sizes = listed.groupBy("band").agg(F.count("*").alias("n"))
-    members = stored(listed.join(sizes.where("n > 1"), "band"))
     large, small = members.where(F.col("n") > FULL), members.where(F.col("n") <= FULL)
     # how many texts share bands with each text; the greatest of every residue class is a centre
     weights = members.groupBy("digest").agg(F.sum("n").alias("weight"))
@@ -362,50 +346,46 @@ def _candidates(classes: DataFrame) -> DataFrame:
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def similar_texts(documents: DataFrame, candidates: DataFrame) -> DataFrame:
-    """The candidates (a, b) whose texts are similar, on the whole sets of shingles."""
-
-    def packed(batch):
-        packer = zstandard.ZstdCompressor(level=LEVEL)
-        raw = [packer.compress(text.encode("utf-8", "surrogatepass")) for text in texts(batch)]
-        yield {"digest": batch.column(0), "packed": raw}
-
-    def check(batch):
-        keep = []
-        for left, right in zip(batch.column(2), batch.column(3)):
-            sets = [shingles_of(zstandard.decompress(side.as_py())) for side in (left, right)]
-            keep.append(similarity(*sets) >= SIMILAR)
-        chosen = np.array(keep, dtype=bool)
-        yield {
-            name: batch.column(k).to_numpy(zero_copy_only=False)[chosen] for k, name in enumerate("ab")
-        }
-
-    nodes = candidates.select(F.col("a").alias("digest")).union(candidates.select("b")).distinct()
-    source = documents.select(_digest().alias("digest"), "text")
-    needed = map_batches(source, packed, "digest long, packed binary").join(nodes, "digest", "left_semi")
-    needed = stored(needed.groupBy("digest").agg(F.first("packed").alias("packed")))
-    both = candidates.join(needed.toDF("a", "left"), "a").join(needed.toDF("b", "right"), "b")
-    return map_batches(both.select("a", "b", "left", "right"), check, "a long, b long")
+def _second_round(members: DataFrame, marked: DataFrame, packed: DataFrame, labels: DataFrame) -> DataFrame:
+    """``labels`` (node, root) after the links between components that meet in a large band."""
+    rooted = members.where(F.col("n") > FULL).join(
+        labels.withColumnRenamed("node", "digest"), "digest", "left"
+    )
+    rooted = stored(
+        rooted.select("place", "band", "digest", F.coalesce("root", "digest").alias("root"), "size")
+    )
+    open_bands = rooted.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"))
+    open_bands = stored(open_bands.where("x <> y").select("band"))
+    if open_bands.isEmpty():  # every large band lies in one component
+        return labels
+    inside = stored(rooted.join(open_bands, "band", "left_semi"))
+    needed = inside.select("digest").distinct()
+    marks = marked.select("digest", "bands", "minima").join(needed, "digest", "left_semi")
+    found = stored(dense_links(inside, marks.dropDuplicates(["digest"]), packed))
+    return components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found))
 
 
 def one_of_each_group(documents: DataFrame) -> DataFrame:
     """The row with the smallest doc_id of each group of similar texts, all columns kept.
 
-    Groups are the components of the links between texts. Of several rows with that doc_id, one stays. The texts are shuffled once, for the join that finds
-    the rows; equal rows are then next to each other.
+    Groups are the components of the links between texts. Of several rows with that doc_id, one stays.
+    The texts are shuffled once, for the join that finds the rows; equal rows are then next to each other.
     """
     marked = stored(_marks(documents))
-    classes = stored(marked.groupBy("digest").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands")))
-    labels = components(similar_texts(documents, stored(_candidates(classes))))
+    first = [F.first(c).alias(c) for c in ("fp", "size", "bands")]
+    classes = stored(marked.groupBy("digest").agg(*first))
+    members = _members(classes)
+    candidates = stored(_candidates(classes, members))
+    packed = packed_texts(documents, candidates)
+    labels = components(similar_texts(packed, candidates))
+    labels = _second_round(members, marked, packed, labels)
     named = marked.join(labels.withColumnRenamed("node", "digest"), "digest", "left").select(
         "doc_key", "digest", F.coalesce("root", "digest").alias("root")
     )
-    heads = named.groupBy("root").agg(
-        F.min(F.struct("doc_key", "digest")).alias("head")
-    )
+    heads = named.groupBy("root").agg(F.min(F.struct("doc_key", "digest")).alias("head"))
     heads = heads.select(F.col("head.doc_key").alias("_key"), F.col("head.digest").alias("_digest"))
     whole = F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("_row")
-    rows = documents.select(whole, doc_key().alias("_row_key"), _digest().alias("_row_digest"))
+    rows = documents.select(whole, doc_key().alias("_row_key"), text_digest().alias("_row_digest"))
     found = rows.join(
         heads,
         (F.col("_row_key") == F.col("_key")) & (F.col("_row_digest") == F.col("_digest")),

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from ledgerline.llm import simhash, superstrings
+from ledgerline.llm import near_texts, simhash, superstrings
 from ledgerline.llm.components import components
 from ledgerline.llm.simhash import anchors_of, fingerprint_of, near_duplicates, one_of_each_group
 from ledgerline.llm.substring_dedup import dedup_substrings
@@ -202,6 +202,51 @@ def test_edited_copies_leave_one_of_each_group(spark, monkeypatch, full):
     assert sorted(r.doc_id for r in kept) == sorted(set(root.values()))
 
 
+@pytest.mark.parametrize("block", [1024, 60])
+def test_pairs_in_a_band_that_all_texts_share(spark, monkeypatch, block):
+    """Similarity 0.828 inside a pair and 0.767 across: all texts meet in large bands, pairs stay apart."""
+    monkeypatch.setattr(near_texts, "BLOCK_TEXTS", block)
+    common = " ".join(f"c{n}" for n in range(300))
+    rows = []
+    for pair in range(300):
+        joint = " ".join(f"j{pair}x{n}" for n in range(13))
+        for side in range(2):
+            own = " ".join(f"o{pair}x{side}x{n}" for n in range(32))
+            rows.append((2 * pair + side, f"{common} {joint} {own}"))
+    left, right, other = (simhash.shingles_of(rows[k][1].encode()) for k in (0, 1, 2))
+    assert simhash.similarity(left, right) > 0.82 and 0.76 < simhash.similarity(left, other) < 0.77
+    kept = one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in kept) == list(range(0, 600, 2))
+
+
+@pytest.mark.parametrize("single", [True, False])
+def test_cell_links_match_brute_force(single):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 60, 90, dtype=np.uint64)
+    sets = [np.array([], dtype=np.uint64)] * 2
+    for _ in range(80):
+        extra = rng.integers(0, 60, rng.integers(0, 14), dtype=np.uint64)
+        sets.append(np.unique(np.concatenate([base[: rng.integers(60, 90)], extra])))
+    tag = np.zeros(len(sets), dtype=np.int64) if single else rng.integers(0, 2, len(sets))
+    start = rng.integers(0, 30, len(sets))
+
+    def closure(links):
+        root = start.copy()
+        for a, b in links:
+            root[root == root[a]] = root[b]
+        return {frozenset(np.flatnonzero(root == r).tolist()) for r in root}
+
+    pairs = [
+        (a, b)
+        for a, b in combinations(range(len(sets)), 2)
+        if (single or tag[a] != tag[b])
+        and simhash.similarity(set(sets[a].tolist()), set(sets[b].tolist())) >= 0.8
+    ]
+    found = near_texts.cell_links(tag, start, sets)
+    assert {tuple(sorted(p)) for p in found} <= set(pairs)
+    assert closure(found) == closure(pairs)
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 50)]
     found = {tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
