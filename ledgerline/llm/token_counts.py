@@ -4,13 +4,14 @@ Each Arrow batch turns its documents into per-document pre-token frequencies and
 buckets by pre-token: a block lists the batch's pre-tokens of that bucket with their (document,
 frequency) postings. In its bucket a pre-token is encoded once and its number of pieces is joined to
 all postings; the sums of a block go home to where their batch's other sums meet, as one packed row,
-and are added up there and once more by doc_id.
+and are added up there and once more by document.
 
 A pre-token that many documents of a batch hold (``HOT`` of them) is dealt by batch instead, so that
 a very common one is spread over all buckets, at the price of one encoding in each of them.
 
-Nulls and empty texts have 0 tokens. Rows that share a doc_id (null included) are one document in
-parts: one row with the summed bytes and tokens. An empty table gives no rows.
+Postings name a document by doc_id and a hash of its text. Rows equal in both have equal counts: their
+common sum is divided by their number, and every row is kept. Nulls and empty texts have 0 tokens, a null
+doc_id is like any other. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,38 +24,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.blocks import bucket_count, dealt, narrow, pack, to_buckets, unpack
-from ledgerline.llm.common import NULL_ID, doc_key, map_batches, texts
-from ledgerline.llm.tokens import default_path, piece_counts, units_of
+from ledgerline.llm.common import NULL_ID, doc_key, map_batches, stored, texts
+from ledgerline.llm.tokens import default_path, piece_counts, pre_tokens
 
 #: Documents of one batch from which a pre-token counts as common.
 HOT = 256
-#: Distinct pre-tokens a bucket's task keeps encoded at a time.
-KEPT_UNITS = 500_000
-#: Postings gathered before a block is written, to bound a batch of very long texts.
-FLUSH = 2_000_000
+#: Bytes of the distinct pre-tokens that a bucket's task keeps encoded at a time.
+KEPT_BYTES = 16 << 20
+#: Postings and bytes of pre-tokens gathered before blocks are written, to bound a batch of long texts.
+FLUSH, FLUSH_BYTES = 2_000_000, 64 << 20
 
 
-def _blocks(documents: DataFrame, buckets: int) -> DataFrame:
+def _text_digest():
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def _blocks(documents: DataFrame, path: str, buckets: int) -> DataFrame:
     def function(batch):
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        ids = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)])
+        cut = pre_tokens(path)
         units: dict[str, list[int]] = {}
-        held, first = 0, 0
+        held, size, first = 0, 0, 0
         for row, text in enumerate(texts(batch)):
-            counted = Counter(units_of(text))
+            counted = Counter(cut(text))
             for unit, times in counted.items():
                 posting = units.get(unit)
                 if posting is None:
                     units[unit] = [row, times]
+                    size += len(unit)
                 else:
                     posting += (row, times)
             held += len(counted)
-            if held > FLUSH:
+            if held > FLUSH or size > FLUSH_BYTES:
                 yield from _packed(units, ids, first, buckets)
-                units, held, first = {}, 0, row + 1
+                units, held, size, first = {}, 0, 0, row + 1
         if units:
             yield from _packed(units, ids, first, buckets)
 
-    source = documents.select(doc_key().alias("doc_id"), "text")
+    source = documents.select(doc_key().alias("doc_id"), _text_digest().alias("digest"), "text")
     return map_batches(source, function, "bucket int, block binary")
 
 
@@ -65,7 +72,7 @@ def _packed(units: dict[str, list[int]], ids: np.ndarray, first: int, buckets: i
     sizes = np.fromiter(map(len, postings), np.int64, len(postings)) // 2
     flat = np.fromiter((x for p in postings for x in p), np.int64, 2 * int(sizes.sum())).reshape(-1, 2)
     bucket = dealt(np.fromiter(map(zlib.crc32, raw), np.uint64, len(raw)), buckets)
-    home = dealt(ids[first : first + 1].astype(np.uint64), buckets)
+    home = dealt(ids[1, first : first + 1].astype(np.uint64), buckets)
     bucket = np.where(sizes >= HOT, (bucket + home[0]) % buckets, bucket)
     order = np.argsort(bucket, kind="stable")
     starts = np.concatenate(([0], np.cumsum(sizes)))
@@ -81,7 +88,8 @@ def _packed(units: dict[str, list[int]], ids: np.ndarray, first: int, buckets: i
         out_block.append(
             pack(
                 home,
-                ids[present].astype(np.int64),
+                ids[0, present],
+                ids[1, present],
                 narrow(np.fromiter(map(len, chosen_raw), np.int64, len(chosen_raw))),
                 narrow(sizes[chosen]),
                 narrow(local),
@@ -97,51 +105,61 @@ def token_counts(documents: DataFrame, tokenizer_path: str | None = None, limit:
     path = tokenizer_path or default_path("byte_bpe_50k.json")
     buckets = bucket_count(documents.sparkSession)
 
-    def count(batch, known={}):  # noqa: B006  one for each task
+    def count(batch, known={}, size=[0]):  # noqa: B006  one for each task
         out: dict[str, list] = {"home": [], "block": []}
         for blob in batch.column(1):
-            home, ids, lengths, sizes, local, times, raw = unpack(blob.as_py())
+            home, ids, digests, lengths, sizes, local, times, raw = unpack(blob.as_py())
             ends = np.cumsum(lengths.astype(np.int64)).tolist()
             units = [raw[a:b] for a, b in zip([0, *ends], ends)]
-            missing = [u for u in units if u not in known]
-            if len(known) + len(missing) > KEPT_UNITS:
+            if size[0] > KEPT_BYTES:
                 known.clear()
-                missing = units
+                size[0] = 0
+            missing = [u for u in units if u not in known]
             found = piece_counts(path, [u.decode("utf-8", "surrogatepass") for u in missing])
             known.update(zip(missing, found.tolist()))
+            size[0] += sum(map(len, missing))
             pieces = np.fromiter((known[u] for u in units), np.int64, len(units))
             total = np.zeros(len(ids), dtype=np.int64)
             np.add.at(total, local, np.repeat(pieces, sizes.astype(np.int64)) * times.astype(np.int64))
             out["home"].append(int(home[0]))
-            out["block"].append(pack(ids, narrow(total)))
+            out["block"].append(pack(ids, digests, narrow(total)))
         yield out
 
     def add_up(batch):
         held = [unpack(blob.as_py()) for blob in batch.column(1)]
         if held:
-            ids, place = np.unique(np.concatenate([ids for ids, _ in held]), return_inverse=True)
-            total = np.zeros(len(ids), dtype=np.int64)
-            np.add.at(total, place, np.concatenate([part.astype(np.int64) for _, part in held]))
-            yield {"doc_id": ids, "tokens": total}
+            ids, digests, total = (np.concatenate(part) for part in zip(*held))
+            order = np.lexsort((digests, ids))
+            ids, digests = ids[order], digests[order]
+            new = np.ones(len(ids), dtype=bool)
+            new[1:] = (np.diff(ids) != 0) | (np.diff(digests) != 0)
+            tokens = np.add.reduceat(total[order].astype(np.int64), np.flatnonzero(new))
+            yield {"doc_id": ids[new], "digest": digests[new], "tokens": tokens}
 
     counted = map_batches(
-        to_buckets(_blocks(documents, buckets), buckets), count, "home int, block binary"
+        to_buckets(_blocks(documents, path, buckets), buckets), count, "home int, block binary"
     )
     # a batch's blocks go home together, sorted next to each other, so that each document gives few rows
-    sums = map_batches(to_buckets(counted, buckets, "home"), add_up, "doc_id long, tokens long")
-    base = documents.select(
-        doc_key().alias("doc_id"),
-        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
-        F.lit(0).cast("long").alias("tokens"),
+    sums = map_batches(
+        to_buckets(counted, buckets, "home"), add_up, "doc_id long, digest long, tokens long"
     )
-    return (
-        base.unionByName(sums.withColumn("n_bytes", F.lit(0).cast("long")))
-        .groupBy("doc_id")
-        .agg(F.sum("n_bytes").alias("n_bytes"), F.sum("tokens").alias("n_tokens"))
-        .select(
-            F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"),
-            "n_bytes",
-            "n_tokens",
-            (F.col("n_tokens") > limit).alias("over_limit"),
+    rows = stored(
+        documents.select(
+            doc_key().alias("doc_id"),
+            _text_digest().alias("digest"),
+            F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
         )
     )
+    copies = rows.select("doc_id", "digest", F.lit(0).cast("long").alias("tokens"), F.lit(1).alias("row"))
+    shared = (
+        copies.unionByName(sums.withColumn("row", F.lit(0)))
+        .groupBy("doc_id", "digest")
+        .agg(F.sum("tokens").alias("tokens"), F.sum("row").alias("copies"))
+        .select("doc_id", "digest", F.expr("tokens div copies").alias("n_tokens"))
+    )
+    return rows.join(shared, ["doc_id", "digest"]).select(
+        F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"),
+        "n_bytes",
+        "n_tokens",
+        (F.col("n_tokens") > limit).alias("over_limit"),
+    )

@@ -1,9 +1,9 @@
 """Units of text that public tokenizers treat independently, and a cache from unit to ids.
 
-A text may be cut before a single blank or line feed that stands between two other characters that
-are no white space: the pre-tokenizers in use end a pre-token there, whatever stands around. The cut
-pieces, called pre-tokens here, therefore add up to the library's result for the whole text; special
-strings hold no white space and stay inside one piece.
+A byte-level tokenizer cuts a text by one published pattern; ``pre_tokens`` applies it, so that its units
+are the tokenizer's own pre-tokens. For any other tokenizer a text may be cut before a single blank or line feed that stands between two other characters that
+are no white space: the pre-tokenizers in use end a pre-token there, whatever stands around. Cut either
+way, the pieces add up to the library's result for the whole text; special strings stay in one piece.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import regex
 
 _UNIT = re.compile(r"\s*\S+(?:(?:\s\s+|[^\S \n])\S*)*|\s+")
 
@@ -26,10 +27,68 @@ def default_path(name: str) -> str:
 
 
 def units_of(text: str) -> list[str]:
-    """Pre-tokens of a text; joined they are the text."""
+    """Pieces of a text between single blanks; joined they are the text."""
     return _UNIT.findall(text)
 
 
+#: Unicode white space, and the published pattern of byte-level pre-tokenizers; fixed values.
+_WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_BYTE_LEVEL = (
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?{letters}+| ?{digits}+| ?[^{white}{rest}]+|[{white}]+(?![^{white}])|[{white}]+"
+)
+_PRE_TOKEN = regex.compile(
+    _BYTE_LEVEL.format(letters=r"\p{L}", digits=r"\p{N}", rest=r"\p{L}\p{N}", white=_WHITE)
+)
+#: The same for texts of ASCII characters.
+_ASCII_PRE_TOKEN = re.compile(
+    _BYTE_LEVEL.format(letters="[A-Za-z]", digits="[0-9]", rest="A-Za-z0-9", white=r"\t-\r ")
+)
+
+
+#: Characters whose class is the same in every Unicode version in use; with others the library cuts the text.
+_SETTLED = re.compile(
+    "[\0-\u0557\u0590-\u088e\u0900-\u0c5b\u0d00-\u208e\u20a0-\ua7cd\uac00-\ud7a3\uff00-\uffef\U0001f300-\U0001f64f]*"
+)
+
+
+def byte_level_pre_tokens(text: str, cutter) -> list[str]:
+    """Pre-tokens of a text without special strings; ``cutter`` is the library's own pre-tokenizer."""
+    if text.isascii():
+        return _ASCII_PRE_TOKEN.findall(text)
+    if _SETTLED.fullmatch(text):
+        return _PRE_TOKEN.findall(text)
+    return [text[start:end] for _, (start, end) in cutter.pre_tokenize_str(text)]
+
+
+@lru_cache(maxsize=4)
+def pre_tokens(path: str):
+    """A function from a text to the pieces that the tokenizer of a .json file codes one by one."""
+    config = json.loads(tokenizer(path).to_str())
+    before = config.get("pre_tokenizer") or {}
+    added = config.get("added_tokens") or []
+    if (
+        before.get("type") != "ByteLevel"
+        or not before.get("use_regex")
+        or before.get("add_prefix_space")
+        or config.get("normalizer")
+        or any(x["single_word"] or x["lstrip"] or x["rstrip"] for x in added)
+    ):
+        return units_of
+    cutter = tokenizer(path).pre_tokenizer
+    special = sorted((x["content"] for x in added), key=len, reverse=True)
+    cut = re.compile("(" + ("|".join(map(re.escape, special)) or "(?!)") + ")")
+
+    def function(text: str) -> list[str]:
+        parts = cut.split(text)
+        found = byte_level_pre_tokens(parts[0], cutter)
+        for name, part in zip(parts[1::2], parts[2::2]):
+            found.append(name)
+            found += byte_level_pre_tokens(part, cutter)
+        return found
+
+    return function
+
+
 def tokenizer(path: str):
     """The library's tokenizer of a .json file, loaded once per worker process."""
     if path not in _tokenizers:

@@ -15,6 +15,7 @@ import pytest
 import corpus_pipeline
 from ledgerline.llm import decontamination, packing, pii, quality_rules, secret_scan, tokens, toxicity
 from ledgerline.llm.queries import oracle_sql, queries
+from ledgerline.llm import token_counts as token_counting
 from ledgerline.llm.token_counts import token_counts
 
 SMALL = "/root/testdata/sf0.001"
@@ -188,17 +189,42 @@ def test_units_add_up_to_the_library():
             assert np.frombuffer(cache.ids_of(text), "<u4").tolist() == ids
 
 
-def test_token_counts(spark, awkward, nothing, monkeypatch):
+def test_pre_tokens_are_the_library_s_own():
+    path = tokens.default_path("byte_bpe_50k.json")
+    cut, own = tokens.pre_tokens(path), tokens.tokenizer(path).pre_tokenizer
+    assert cut("dog, dog. (dog)") == ["dog", ",", " dog", ".", " (", "dog", ")"]
+    assert cut("a<|endoftext|> b") == ["a", "<|endoftext|>", " b"]
+    rng = random.Random(5)
+    points = [*range(1, 0xD800), *range(0xE000, 0x20000)]
+    for start in range(0, len(points), 400):
+        text = "".join(rng.choice(["a", "1", " ", ".", "\n"]) + chr(c) for c in points[start : start + 400])
+        assert cut(text) == [text[a:b] for _, (a, b) in own.pre_tokenize_str(text)]
+        for c in points[start : start + 400 : 7]:
+            text = f"a{chr(c)}1 {chr(c)}{chr(c)} b"
+            assert cut(text) == [text[a:b] for _, (a, b) in own.pre_tokenize_str(text)]
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_token_counts(spark, awkward, nothing, monkeypatch, small):
+    """One row for each row, whatever ids and texts repeat; also where blocks and caches are flushed."""
+    if small:
+        monkeypatch.setattr(token_counting, "FLUSH", 500)
+        monkeypatch.setattr(token_counting, "KEPT_BYTES", 1000)
+        monkeypatch.setattr(token_counting, "HOT", 2)
     coder = tokens.tokenizer(tokens.default_path("byte_bpe_50k.json"))
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    for frame in (docs, awkward):
-        wanted = {}
+    unbroken = [
+        (None, "one two"), (None, "one two"), (None, "three"), (1, "x y"), (1, "x y z"), (1, "x y"),
+        (2, "天地玄黄宇宙洪荒" * 3000), (3, "\t".join(f"w{n}" for n in range(5000))), (4, "a" * 5000),
+        (5, "<|endoftext|>  dog's <|endoftext|>"),
+    ]
+    for frame in (docs, awkward, spark.createDataFrame(unbroken, "doc_id long, text string")):
+        wanted = Counter()
         for doc, text in rows_of(frame):
             size = len(coder.encode(text or "", add_special_tokens=False).ids)
-            old = wanted.get(doc, (0, 0))
-            wanted[doc] = (old[0] + len((text or "").encode()), old[1] + size)
-        found = {r.doc_id: (r.n_bytes, r.n_tokens) for r in token_counts(frame).collect()}
-        assert found == wanted
+            wanted[(doc, len((text or "").encode()), size, size > 1024)] += 1
+        found = token_counts(frame).select("doc_id", "n_bytes", "n_tokens", "over_limit").collect()
+        assert Counter(map(tuple, found)) == wanted
     assert token_counts(nothing).count() == 0
 
 
