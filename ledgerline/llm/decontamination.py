@@ -267,8 +267,10 @@ def clean_documents(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         items = next(blocks, [])
         return _filtered(documents, items) if items else documents
     bad = _merged(documents, blocks, WINDOW, digests=True).where("contaminated")
-    verdict = bad.select(F.col("digest").alias("_bad")).distinct()
-    return documents.join(verdict, _text_digest() == F.col("_bad"), "left_anti")
+    verdict = bad.select(F.col("digest").alias("_key")).distinct()
+    whole = F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("_row")
+    rows = documents.select(whole, _text_digest().alias("_key"))
+    return rows.join(verdict, "_key", "left_anti").select("_row.*")
 
 
 def _filtered(documents: DataFrame, items: list) -> DataFrame:

@@ -171,6 +171,16 @@ def test_field_learns_and_masks(spark, awkward, nothing):
     assert pii.mask_documents(nothing).columns == nothing.columns
 
 
+def test_clean_documents_in_blocks_with_clashing_columns(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 100)
+    items = [(f"i{n}", " ".join(f"q{n}w{k}" for k in range(20))) for n in range(5)]
+    rows = [(n, items[n][1], n, "k") for n in range(5)] + [(None, "clean words only", 1, None), (9, None, 2, "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _bad long, _key string")
+    kept = decontamination.clean_documents(docs, spark.createDataFrame(items, "item_id string, text string"))
+    assert kept.columns == docs.columns
+    assert {tuple(r) for r in kept.collect()} == set(rows[5:])
+
+
 # tokens
 
 
