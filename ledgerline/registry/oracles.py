@@ -1068,6 +1068,14 @@ _CATALOG = {
         "count(*) FILTER (severity = 'info') AS info_count, "
         "CASE WHEN blocking_count > 0 THEN 'blocked' ELSE 'passed' END AS status FROM findings"
     ),
+    "contract_history": (
+        f"{_with(_FINDINGS)} SELECT 'new' AS snapshot, "
+        "count(*) FILTER (severity = 'blocking') AS blocking_count, "
+        "count(*) FILTER (severity = 'manual_review') AS manual_review_count, "
+        "count(*) FILTER (severity = 'info') AS info_count, "
+        "CASE WHEN blocking_count > 0 THEN 'blocked' ELSE 'passed' END AS status FROM findings "
+        "UNION ALL SELECT 'old', 0, 0, 0, 'previous_state_unavailable'"
+    ),
     "lineage_edges": (
         f"WITH {_EDGES}, {_ASSETS} SELECT upstream, downstream FROM edges "
         "WHERE upstream IN (SELECT asset_id FROM assets)"

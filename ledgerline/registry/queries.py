@@ -713,6 +713,23 @@ def contract_status(spark, directory):
     return contract_diff.diff_status(_diff(spark, directory))
 
 
+def contract_history(spark, directory):
+    """Status of each snapshot against the one before it; the first has none."""
+    first = contract_diff.compare_contracts(
+        None,
+        derived.catalog_models(spark, directory, "old"),
+        None,
+        derived.catalog_columns(spark, directory, "old"),
+    )
+    return (
+        contract_diff.diff_status(first, has_previous=False)
+        .withColumn("snapshot", F.lit("old"))
+        .unionByName(
+            contract_diff.diff_status(_diff(spark, directory)).withColumn("snapshot", F.lit("new"))
+        )
+    )
+
+
 def lineage_edges(spark, directory):
     """Edges from declared upstream lists; unknown upstreams are left out."""
     declared = derived.lineage_edges(spark, directory).select(
@@ -923,6 +940,7 @@ _QUERIES = [
     late_rows,
     contract_findings,
     contract_status,
+    contract_history,
     lineage_edges,
     lineage_unknown_endpoints,
     lineage_reach,

@@ -292,3 +292,46 @@ def test_impact_paths_of_all_starts_equal_a_plain_walk(spark):
     some = values(lineage.impact_paths(edges(spark, *graph), starts(spark, "n00"), asked=asked), "path")
     wanted = {row.node for row in asked.collect()}
     assert sorted(p for (p,) in some) == sorted(p for p in brute_paths(graph, "n00") if p[-1] in wanted)
+
+
+def shuffles(frame):
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange hashpartitioning")
+
+
+def test_comparison_shuffles_once_and_reads_each_input_once(spark, tmp_path):
+    names = ("old_models", "new_models", "old_columns", "new_columns")
+    records = ([model()], [model(owner="b")], [ID, column("a")], [ID, column("b")])
+    stored = []
+    for name, rows_, schema in zip(names, records, (MODELS, MODELS, COLUMNS, COLUMNS)):
+        spark.createDataFrame(rows_, schema).write.parquet(str(tmp_path / name))
+        stored.append(spark.read.parquet(str(tmp_path / name)))
+    result = contract_diff.compare_contracts(*stored)
+    assert shuffles(result) == 1
+    assert result._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 4
+    assert values(result, "column", "change_type") == [("a -> b", "published_column_rename"),
+                                                       (None, "owner_changed")]
+
+
+def test_comparison_of_a_wide_model_and_repeated_rows(spark):
+    old = [column(f"c{n:05d}") for n in range(5000)]
+    new = [column(f"c{n:05d}", required=n == 7) for n in range(1, 5001)]
+    found = findings(spark, old + old, new + new, [model()] * 2, [model(), model("other")])
+    assert found == [("c00000 -> c05000", "published_column_rename", "blocking"),
+                     ("c00007", "nullable_to_required", "blocking")]
+
+
+def test_columns_of_removed_models_and_null_names(spark):
+    models = [model(), (None, *model()[1:])]
+    old = [ID, column("a"), column("x", model=None), column(None)]
+    found = findings(spark, old, [column("x", "text", model=None)], models, models[1:])
+    assert found == [("x", "incompatible_data_type_change", "blocking"),
+                     (None, "published_model_removed", "blocking")]
+
+
+def test_no_previous_snapshot(spark):
+    found = contract_diff.compare_contracts(
+        None, spark.createDataFrame([model()], MODELS), None, spark.createDataFrame([ID], COLUMNS)
+    )
+    status = contract_diff.diff_status(found, has_previous=False)
+    assert values(status) == [(0, 0, 0, "previous_state_unavailable")]
