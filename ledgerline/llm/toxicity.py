@@ -1,17 +1,19 @@
 """Toxicity: a support vector machine on a gap-weighted subsequence kernel with Nystroem landmarks.
 
 The kernel counts common subsequences of ``ORDER`` characters; each character a match stretches over
-costs a factor ``DECAY``. A sentence is compared with a landmark by its best word: a window at the
-word's beginning, twice as long as the landmark at most, relative to the landmark with itself, so
-inserted characters, suffixes and letters set apart by blanks change little. Landmarks are words and word beginnings of toxic
-training texts, picked greedily until every toxic text is covered ``COVER`` times. Nystroem's
-K^(-1/2) turns landmark similarities into features for a linear machine. The score of a document is the
+costs a factor ``DECAY``. A sentence is compared with a landmark by its best word: windows slide over
+the whole word, twice as long as the landmark at most, relative to the landmark with itself, so inserted
+characters, joined words, suffixes and letters set apart by blanks change little. Landmarks are words and
+beginnings of words, or of the parts of words between signs, of toxic training texts, picked greedily
+until every toxic text is covered ``COVER`` times. Nystroem's K^(-1/2) turns landmark similarities, the
+largest of a sentence for each landmark, into features for a linear machine. The score of a document is the
 share of toxic training documents at its largest sentence margin, by monotone regression.
 
 Training takes at most ``TRAIN_TOXIC`` toxic and ``TRAIN_CLEAN`` other labelled documents that are not
-held out, chosen by a hash of doc_id; sentences of clean documents are negative, the strongest sentence
-of a toxic one and those that hold a landmark nearly whole are positive. Scoring covers every text whole and sees nothing but the text; a word is
-compared with the landmarks once for each worker.
+held out, chosen by a hash of doc_id, one text for each id, and between ``TRAIN_SENTENCES`` and twice as
+many clean sentences of these, evenly by their features; sentences of clean documents are negative, the strongest sentence
+of a toxic one and those that hold a landmark nearly whole are positive. Scoring covers every text whole and sees nothing
+but the text; a worker remembers compared words up to ``KEPT_BYTES``.
 
 Nulls and empty texts score like a text without any similar word. Rows are scored one by one; a null
 doc_id is never held out. Without toxic training texts every score is 0. An empty table gives no rows.
@@ -35,6 +37,7 @@ LEAST_PREFIX, MOST_PREFIX = 4, 8
 LANDMARKS = 64
 COVER = 4
 TRAIN_TOXIC, TRAIN_CLEAN = 1500, 6000
+TRAIN_SENTENCES = 20_000
 CANDIDATES = 3000
 #: Nats of evidence a landmark needs: its texts would be toxic by chance with probability e^-SURPRISE.
 SURPRISE = 12.0
@@ -45,10 +48,12 @@ SHARPNESS = 3
 #: Sentences of toxic texts with such a similarity are positive, besides the strongest of each.
 CERTAIN = 0.9
 TOXIC_FROM = 0.7
-KEPT_WORDS = 800_000
+#: Memory of compared words in a worker, with what an entry costs besides its characters.
+KEPT_BYTES, ENTRY_BYTES = 96 << 20, 120
 
 _STOP = re.compile(r"[.,!?;:\"]+(?=\s)")
 _SENTENCE = re.compile(r"[.!?]+\s+|\n+")
+_SIGNS = re.compile(r"[\W_]+")
 _SPACED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
 
 
@@ -106,8 +111,9 @@ def _pairs(codes: np.ndarray, reach: int) -> np.ndarray:
 class Landmarks:
     """Similarity of words with the landmarks."""
 
-    #: Characters that windows at the beginning of a word can reach.
-    REACH = 2 * MOST_PREFIX
+    #: Longest window, and the lengths that words, or pieces of longer ones, are padded to.
+    WINDOW = 2 * MOST_PREFIX - 1
+    SHORT, PIECE = 16, 48
 
     def __init__(self, names: list[str]):
         self.names = names
@@ -116,6 +122,7 @@ class Landmarks:
         self.pairs = [np.flatnonzero(_pairs(c[None], 1)[0]) for c in self.codes]
         self.similar: dict[str, tuple[tuple[int, float], ...]] = {}
         self.other: set[str] = set()
+        self.size = 0
 
     def gram(self) -> np.ndarray:
         """Normalised kernel among the landmarks."""
@@ -127,35 +134,59 @@ class Landmarks:
             table[:, k] = subsequence_kernel(rows, self.codes[k])
         return (table / np.sqrt(np.outer(self.own, self.own))) ** SHARPNESS
 
+    def _pieces(self, words: list[str]):
+        """(owners, strings, width) in bounded groups; a longer word is cut into overlapping pieces."""
+        short = [n for n, word in enumerate(words) if len(word) <= self.SHORT]
+        if short:
+            yield short, [words[n] for n in short], self.SHORT
+        owners, held = [], []
+        for n, word in enumerate(words):
+            if len(word) > self.SHORT:
+                for at in range(0, len(word) - self.WINDOW + 1, self.PIECE - self.WINDOW + 1):
+                    owners.append(n)
+                    held.append(word[at : at + self.PIECE])
+                    if len(held) == 20_000:
+                        yield owners, held, self.PIECE
+                        owners, held = [], []
+        if held:
+            yield owners, held, self.PIECE
+
     def compare(self, words: list[str]) -> dict[str, tuple[tuple[int, float], ...]]:
         """Per word that resembles a landmark: (landmark, similarity) pairs above the noise.
 
-        Windows open at the first or second character, as insults are words or begin them. Pairs of
-        neighbours in the landmark must be met, at most two characters between, for most pairs of it
-        before the kernel is computed: without that the similarity cannot be high.
+        Windows open at the beginning and wherever one of the landmark's first three characters
+        stands: what lacks these three is not similar. Pairs of neighbours in the landmark must be
+        met, at most two characters between, for most pairs of it before the kernel is computed.
         """
-        found: dict[str, list] = {}
-        codes = _codes(words, self.REACH)
-        marks = _pairs(codes, 3)
-        for k, name in enumerate(self.names):
-            met = marks[:, self.pairs[k]].sum(axis=1, dtype=np.int64)
-            near = np.flatnonzero(met >= 0.6 * len(self.pairs[k]))
-            width = 2 * len(name) - 1
-            best = np.zeros(len(words))
-            for start in (0, 1):
-                for part in slices(len(near), 4096):
-                    windows = codes[near[part], start : start + width]
-                    value = subsequence_kernel(windows, self.codes[k]) / self.own[k]
-                    best[near[part]] = np.maximum(best[near[part]], np.minimum(value, 1.0))
-            for n in np.flatnonzero(best >= NOISE).tolist():
-                found.setdefault(words[n], []).append((k, float(best[n])))
-        return {word: tuple(pairs) for word, pairs in found.items()}
+        found: dict[str, dict[int, float]] = {}
+        for owners, held, width in self._pieces(words):
+            codes = _codes(held, width)
+            marks = _pairs(codes, 3)
+            padded = np.pad(codes, ((0, 0), (0, self.WINDOW)))
+            for k, name in enumerate(self.names):
+                met = marks[:, self.pairs[k]].sum(axis=1, dtype=np.int64)
+                near = np.flatnonzero(met >= 0.6 * len(self.pairs[k]))
+                opens = np.isin(codes[near], self.codes[k][:3])
+                opens[:, 0] = True
+                row, start = np.nonzero(opens)
+                row = near[row]
+                reach = np.arange(2 * len(name) - 1)
+                for part in slices(len(row), 4096):
+                    windows = padded[row[part, None], start[part, None] + reach]
+                    value = np.minimum(subsequence_kernel(windows, self.codes[k]) / self.own[k], 1.0)
+                    for n in np.flatnonzero(value >= NOISE).tolist():
+                        best = found.setdefault(words[owners[row[part][n]]], {})
+                        best[k] = max(best.get(k, 0.0), float(value[n]))
+        return {word: tuple(pairs.items()) for word, pairs in found.items()}
 
     def learn(self, words: set[str]) -> None:
-        """Compare the words not met before; the memory of other words is bounded."""
+        """Compare the words not met before; the memory of words is bounded."""
         fresh = [w for w in words if w not in self.other and w not in self.similar]
-        if len(self.other) + len(fresh) > KEPT_WORDS:
+        if self.size + sum(map(len, fresh)) + ENTRY_BYTES * len(fresh) > KEPT_BYTES:
             self.other.clear()
+            self.similar.clear()
+            self.size, fresh = 0, list(words)
+        self.size += sum(map(len, fresh)) + ENTRY_BYTES * len(fresh)
         for part in slices(len(fresh), 20_000):
             found = self.compare(fresh[part])
             self.similar.update(found)
@@ -196,7 +227,19 @@ def _sample(documents: DataFrame, labels: DataFrame) -> DataFrame:
     # of bounded size by the limits above
     wanted = F.broadcast(stored(chosen))
     found = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text <> ''")
-    return found.join(wanted, "doc_id").dropDuplicates(["text", "toxic"])
+    one = F.min_by("text", F.xxhash64("text")).alias("text")  # an id's rows may be many
+    return found.join(wanted, "doc_id").groupBy("doc_id", "toxic").agg(one).dropDuplicates(["text", "toxic"])
+
+
+def _units(text: str) -> set[str]:
+    """Words, their parts between signs, and the beginnings of both."""
+    units = set()
+    for word in words_of(text):
+        for form in {word, *_SIGNS.split(word)}:
+            if len(form) >= LEAST_PREFIX:
+                units.add(form)
+                units.update(form[:n] for n in range(LEAST_PREFIX, min(len(form), MOST_PREFIX) + 1))
+    return units
 
 
 def _candidates(sample: DataFrame) -> list[str]:
@@ -205,11 +248,7 @@ def _candidates(sample: DataFrame) -> list[str]:
     def function(batch):
         out = {"unit": [], "toxic": []}
         for text, toxic in zip(texts(batch), batch.column(1).to_pylist()):
-            units = set()
-            for word in words_of(text):
-                if len(word) >= LEAST_PREFIX:
-                    units.add(word)
-                    units.update(word[:n] for n in range(LEAST_PREFIX, min(len(word), MOST_PREFIX) + 1))
+            units = _units(text)
             out["unit"] += units
             out["toxic"] += [toxic] * len(units)
         yield out
@@ -237,12 +276,7 @@ def _pick(sample: DataFrame, candidates: list[str]) -> list[str]:
     def function(batch):
         held = []
         for text in texts(batch):
-            units = set()
-            for word in words_of(text):
-                for n in range(LEAST_PREFIX, min(len(word), MOST_PREFIX) + 1):
-                    units.add(number.get(word[:n], -1))
-                units.add(number.get(word, -1))
-            held.append(sorted(units - {-1}))
+            held.append(sorted(number[u] for u in _units(text) if u in number))
         yield {"units": held}
 
     toxic = sample.where("toxic = 1").select("text")
@@ -297,7 +331,7 @@ class Model:
         if not positive:
             return
         low = np.concatenate([*negative, np.zeros((max(20, len(positive)), len(self.names)))])
-        low = low[np.lexsort(low.T)][:: max(1, len(low) // 20_000)]
+        low = low[np.lexsort(low.T)][:: max(1, len(low) // TRAIN_SENTENCES)]
         self.direct = self.whitening @ self.whitening @ np.ones(len(self.names))
         for _ in range(rounds):
             high = np.concatenate(

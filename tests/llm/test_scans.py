@@ -437,6 +437,67 @@ def test_held_out_accuracy_and_labels_stay_out(spark, awkward, nothing):
     assert toxicity.score_documents(nothing, marked.where("false")).count() == 0
 
 
+def test_insults_are_met_anywhere_in_a_word(monkeypatch):
+    marks = toxicity.Landmarks(["idiot", "moron"])
+    inside = ["you_are_such_an_idiot", "#stupididiot", "**idiot", "i-d-i-o-t", "x" * 500 + "m0ron_moron" + "y" * 90,
+              "abcdefghijklmnopqrstmorons", "a" * 46 + "idiot", "a" * 33 + "i.d.i.o.t"]
+    outside = ["weather", "", "a" * 300, "motion", "_" * 40]
+    found = marks.compare(inside + outside)
+    assert set(found) == set(inside)
+    for word in inside:
+        for k, name in enumerate(marks.names):
+            width = 2 * len(name) - 1
+            windows = [word[at : at + width] for at in range(len(word))]
+            brute = toxicity.subsequence_kernel(toxicity._codes(windows, width), marks.codes[k]) / marks.own[k]
+            best = min(1.0, float(brute.max()))
+            assert dict(found[word]).get(k, 0.0) == pytest.approx(best if best >= toxicity.NOISE else 0.0)
+    text = " ".join(inside) + ". plain words only."
+    rows = [r.tolist() for r in marks.sentences([text])[0]]
+    monkeypatch.setattr(toxicity, "KEPT_BYTES", 2000)
+    small = toxicity.Landmarks(["idiot", "moron"])
+    for n in range(50):
+        assert [r.tolist() for r in small.sentences([text, f"other {n} words"])[0]] == rows
+        assert len(small.other) + len(small.similar) < 40
+
+
+def test_disguised_insults_are_held_out_toxic(spark):
+    rng = random.Random(9)
+    insults = ["grumblefink", "snorkwit", "blatherskite", "dunderpate"]
+    plain = lambda: "".join(rng.choice("abcdeilmnorstu") for _ in range(rng.randint(2, 7)))
+    forms = [
+        lambda w: "qqzzhhyyvvkkxxjjwwpp" + w,
+        lambda w: "#such" + w,
+        lambda w: "you_are_a_" + w + "_indeed",
+        lambda w: w[:3] + "-" + w[3:5] + "*" + w[5:],
+    ]
+    rows, labels = [], []
+    for doc in range(1500):
+        words = [plain() for _ in range(40)]
+        toxic = int(rng.random() < 0.3)
+        held_out = zlib.crc32(str(doc).encode()) % 3 == 1
+        for turn in range(2 * toxic):
+            word = rng.choice(insults)
+            words[rng.randrange(40)] = forms[doc % 4](word) if held_out else word
+        rows.append((doc, " ".join(words) + "."))
+        labels.append((doc, toxic))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marked = spark.createDataFrame(labels, "doc_id long, toxic int")
+    truth = dict(labels)
+    held = [r for r in toxicity.score_documents(docs, marked).collect() if r.held_out]
+    for form in range(4):
+        bad = [r for r in held if truth[r.doc_id] and r.doc_id % 4 == form]
+        assert bad and sum(r.predicted for r in bad) >= 0.95 * len(bad)
+    good = [r for r in held if not truth[r.doc_id]]
+    assert sum(r.predicted for r in good) <= 0.02 * len(good)
+
+
+def test_one_id_with_many_texts_trains_as_one_document(spark):
+    docs = spark.createDataFrame([(1, f"text {n}") for n in range(500)] + [(3, "other")], "doc_id long, text string")
+    marked = spark.createDataFrame([(n, 1) for n in range(10)], "doc_id long, toxic int")
+    wanted = [n for n in (1, 3) if zlib.crc32(str(n).encode()) % 3 != 1]
+    assert sorted(r.doc_id for r in toxicity._sample(docs, marked).collect()) == wanted
+
+
 # pipeline
 
 
