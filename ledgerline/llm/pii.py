@@ -8,7 +8,8 @@ together, in time linear in the text for the bounded entity length; what it find
 spans is added.
 
 Weights are trained here by maximum likelihood (forward-backward over the same segments, AdaGrad) on
-at most ``TRAIN_REGIONS`` regions labelled by the patterns. A third of them is shown without its leading sign or
+at most ``TRAIN_REGIONS`` different regions, chosen by hash over all documents and labelled by the patterns.
+A third of them is shown without its leading sign or
 with other separators, so that the field also learns forms that the patterns do not know. The bound
 is the only sampling; scanning covers every text whole.
 
@@ -23,7 +24,7 @@ import math
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import map_arrow, map_batches, texts
@@ -316,27 +317,36 @@ def train(labelled: list[tuple[str, list[Span]]], epochs: int = EPOCHS) -> np.nd
 
 
 def training_regions(documents: DataFrame, bound: int = TRAIN_REGIONS) -> list[tuple[str, list[Span]]]:
-    """The first ``bound`` regions of moderate length with the patterns' labels."""
+    """At most ``bound`` different regions of moderate length with the patterns' labels.
+
+    They are chosen by a hash of the region over all documents: half from regions without a label and
+    an eighth from those that begin with each kind, whatever the order of rows and the copies of a region.
+    """
 
     def function(batch):
-        out = {"region": [], "kinds": [], "starts": [], "ends": []}
+        out = {"region": [], "kind": []}
         for text in texts(batch):
             for low, high in regions(text):
                 region = text[low:high]
                 if len(region) <= MAX_REGION:
                     spans = base_spans(region)
                     out["region"].append(region)
-                    out["kinds"].append([s[0] for s in spans])
-                    out["starts"].append([s[1] for s in spans])
-                    out["ends"].append([s[2] for s in spans])
+                    out["kind"].append(spans[0][0] if spans else "")
         yield out
 
     found = map_batches(
-        documents.select("text").where(F.col("text").rlike("[0-9@]")),
-        function,
-        "region string, kinds array<string>, starts array<int>, ends array<int>",
+        documents.select("text").where(F.col("text").rlike("[0-9@]")), function, "region string, kind string"
+    ).distinct()
+    # Spark limits the ranks of a kind in each task before it shuffles them
+    place = F.row_number().over(Window.partitionBy("kind").orderBy(F.xxhash64("region"), "region"))
+    chosen = (
+        found.withColumn("place", place)
+        .where(F.col("place") <= bound // 2)
+        .where((F.col("kind") == "") | (F.col("place") <= bound // (2 * len(KINDS))))
+        .collect()
     )
-    return [(r.region, list(zip(r.kinds, r.starts, r.ends))) for r in found.take(bound)]
+    chosen.sort(key=lambda r: (r.place, r.kind))
+    return [(r.region, base_spans(r.region)) for r in chosen]
 
 
 def all_spans(text: str, weights: np.ndarray) -> tuple[list[Span], list[Span]]:
@@ -347,8 +357,12 @@ def all_spans(text: str, weights: np.ndarray) -> tuple[list[Span], list[Span]]:
     for low, high in regions(text):
         while at < len(taken) and taken[at][1] <= low:
             at += 1
+        stop = at
+        while stop < len(taken) and taken[stop][0] < high:
+            stop += 1
+        near = taken[at:stop]
         for span in decode(text, low, high, weights):
-            if not any(s < span[2] and span[1] < e for s, e in taken[at:] if s < high):
+            if not any(s < span[2] and span[1] < e for s, e in near):
                 added.append(span)
     order = lambda s: (KINDS.index(s[0]), s[1], s[2])
     return sorted(base, key=order), sorted(base + added, key=order)

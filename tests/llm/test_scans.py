@@ -396,6 +396,19 @@ def test_blocks_judge_rows_with_null_and_repeated_ids(spark, monkeypatch):
     assert kept == sorted([(None, clean), (1, clean), (2, clean), (None, None)], key=repr)
 
 
+def test_training_regions_follow_no_row_order_and_no_copies(spark):
+    kinds = ["a{0}@b{0}.org", "10.1.{1}.{2}", "card 4111 1111 1111 1111 {0}", "+49 30 {0:07d}", "room {0}"]
+    lines = [kind.format(n, n % 250, n // 250) for n in range(300) for kind in kinds]
+    rows = [(line,) for line in lines] + [("room 7",)] * 5000
+    docs = spark.createDataFrame(rows, "text string")
+    first = pii.training_regions(docs.repartition(7), 80)
+    assert first == pii.training_regions(spark.createDataFrame(rows[::-1], "text string").coalesce(2), 80)
+    found = [r for r, _ in first]
+    assert len(found) == len(set(found)) and 40 <= len(found) <= 80
+    assert {spans[0][0] if spans else "" for _, spans in first} == {"", *pii.KINDS}
+    assert pii.training_regions(docs.where("false"), 80) == []
+
+
 # toxicity
 
 
