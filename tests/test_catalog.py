@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import scrub
 from ledgerline.operators import assets, contract_diff, cost, lineage
+from ledgerline.session import stored
 from ledgerline.sources.tables import lag_report, result_report
 
 COLUMNS = "model string, column string, data_type string, required boolean, description string"
@@ -279,6 +280,50 @@ def brute_paths(graph, start):
     return found
 
 
+def brute_depths(graph, start):
+    """Least depth of every node below a start."""
+    depths, frontier, depth = {start: 0}, {start}, 0
+    while frontier:
+        depth += 1
+        frontier = {b for a, b in graph if a in frontier} - set(depths)
+        depths |= dict.fromkeys(frontier, depth)
+    return {node: found for node, found in depths.items() if found}
+
+
+@pytest.mark.parametrize("limit", [1, 10_000])
+def test_walks_with_dealt_lists_and_starts_equal_a_plain_walk(spark, monkeypatch, limit):
+    monkeypatch.setattr(lineage, "LIST", limit)
+    monkeypatch.setattr(lineage, "SHARE", limit)
+    rng = random.Random(9)
+    nodes = [f"n{k:02d}" for k in range(12)]
+    graph = [(rng.choice(nodes), rng.choice(nodes + ["x", "y", "z"])) for _ in range(40)]
+    for walked, downstream in ((graph, True), ([(b, a) for a, b in graph], False)):
+        found = values(lineage.reach(edges(spark, *walked), starts(spark, *nodes), downstream=downstream))
+        assert found == sorted((s, n, d) for s in nodes for n, d in brute_depths(graph, s).items())
+    steps = lineage.impact_steps(edges(spark, *graph), starts(spark, *nodes))
+    trees = {(s, p[-1]): p for s in nodes for p in brute_paths(graph, s)[::-1] if p[-1] != s}
+    assert steps.filter("is_tree").count() == len(trees)
+    found = values(lineage.paths_of(steps, steps.filter("node = 'x'").select("node")))
+    assert found == sorted((s, p) for s in nodes for p in brute_paths(graph, s) if p[-1] == "x")
+
+
+def test_walks_write_lists_and_inner_pairs_only(spark, monkeypatch):
+    written = []
+
+    def noted(frame):
+        written.append(stored(frame))
+        return written[-1]
+
+    monkeypatch.setattr(lineage, "stored", noted)
+    # 40 starts by 3 inner nodes by 50 leaves: 120 pairs are walked, 6,000 paths come out
+    graph = [(f"s{k}", f"m{m}") for k in range(40) for m in range(3)]
+    graph += [(f"m{m}", f"leaf{n}") for m in range(3) for n in range(50)]
+    begin = starts(spark, *[f"s{k}" for k in range(40)])
+    assert lineage.impact_paths(edges(spark, *graph), begin).count() == 120 + 6000
+    assert lineage.reach(edges(spark, *graph), begin).count() == 40 * 53
+    assert sum(frame.count() for frame in written) < 1000
+
+
 def test_impact_paths_of_all_starts_equal_a_plain_walk(spark):
     rng = random.Random(8)
     nodes = [f"n{k:02d}" for k in range(30)]
