@@ -157,10 +157,12 @@ def minute_merge(spark, directory):
 
 
 def _resolved(spark, directory, job) -> ingest.Resolved:
+    """The records decoded once: resolving reads them up to five times, and each copy of the rules
+    in a plan would be optimised and compiled by the driver."""
     source = (
         raw_records.order_records if job is ORDER_JOB else raw_records.access_records
     )
-    decoded = decode(source(spark, directory), job.family)
+    decoded = stored(decode(source(spark, directory), job.family))
     return ingest.resolve(decoded, job, None, _clock())
 
 
@@ -229,9 +231,7 @@ def dead_letter_messages(spark, directory):
 
 def ingest_access_outcomes(spark, directory):
     """Count of records per outcome; every record has exactly one."""
-    decoded = decode(raw_records.access_records(spark, directory), ACCESS_LOGS)
-    resolved = ingest.resolve(decoded, ACCESS_JOB, None, _clock())
-    return ingest.outcome_counts(resolved)
+    return ingest.outcome_counts(_resolved(spark, directory, ACCESS_JOB))
 
 
 def routed_messages(spark, directory):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions.validation import ACCESS_LOGS, ORDERS, decode
 from ledgerline.operators.dedup import conflicting_reuse, first_occurrences, pending
 from ledgerline.plans.health import minute_metrics_from_access_events
+from ledgerline.registry.queries import all_queries
 from ledgerline.schemas import RAW_RECORD
 from ledgerline.sources.tables import record_file_stream
 from ledgerline.streaming import ingest
@@ -372,3 +373,9 @@ def test_bounded_minutes_run_as_a_stream(spark, tmp_path):
     row = spark.table("bounded").first()
     assert (row.request_count, row.success_count, row.server_error_count) == (2, 1, 1)
     assert (row.response_time_sum_ms, row.max_response_time_ms) == (10, 6)
+
+
+@pytest.mark.parametrize("name", ["ingest_access_dead_letters", "ingest_access_outcomes"])
+def test_plans_of_resolved_records_hold_no_copy_of_the_rules(spark, capsys, name):
+    all_queries()[name](spark, "/root/testdata/sf0.001").explain()
+    assert len(capsys.readouterr().out) < 20_000  # one copy of the rules alone is longer
