@@ -42,6 +42,9 @@ ACCESS_JOB = ingest.Job(ACCESS_LOGS, adapters.ACCESS_GROUP)
 CLOCK = "2026-08-06 00:00:00"
 CUTOFF = "2024-01-25 00:00:00"
 LAST_DAY = date(2024, 1, 31)
+#: Records in a file of a streamed folder, and bytes of files in a micro-batch.
+FILE_RECORDS = 500_000
+BATCH_BYTES = "256m"
 
 
 def portable(frame: DataFrame) -> DataFrame:
@@ -293,8 +296,9 @@ def stream_access_dead_letters(spark, directory):
     comes_back = F.col("offset") >= raw_records.COPY_OFFSET
     ledger = Ledger(spark, f"{folder}/ledger", ACCESS_JOB.row_schema, period=1)
     for chosen in (~comes_back, comes_back):
-        records.filter(chosen).write.mode("append").parquet(f"{folder}/records")
-        stream = tables.record_file_stream(spark, f"{folder}/records")
+        writer = records.filter(chosen).write.mode("append").option("maxRecordsPerFile", FILE_RECORDS)
+        writer.parquet(f"{folder}/records")
+        stream = tables.record_file_stream(spark, f"{folder}/records", max_bytes_per_trigger=BATCH_BYTES)
         query = ingest.start(
             stream, ACCESS_JOB, ledger.root, f"{folder}/checkpoint", available_now=True, period=1
         )

@@ -30,12 +30,20 @@ def kafka_stream(
 
 
 def record_file_stream(
-    spark: SparkSession, path: str, max_files_per_trigger: int | None = None
+    spark: SparkSession,
+    path: str,
+    max_files_per_trigger: int | None = None,
+    max_bytes_per_trigger: str | None = None,
 ) -> DataFrame:
-    """Raw records from Parquet files of the same shape, as a stream."""
+    """Raw records from Parquet files of the same shape, as a stream.
+
+    A limit of files or of bytes bounds the micro-batches, not what is read in all.
+    """
     reader = spark.readStream.schema(RAW_RECORD)
     if max_files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    if max_bytes_per_trigger is not None:
+        reader = reader.option("maxBytesPerTrigger", max_bytes_per_trigger)
     return reader.parquet(path)
 
 

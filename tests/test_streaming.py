@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions.validation import ACCESS_LOGS, ORDERS, decode
 from ledgerline.operators.dedup import conflicting_reuse, first_occurrences, pending
 from ledgerline.plans.health import minute_metrics_from_access_events
+from ledgerline.registry import queries
 from ledgerline.registry.queries import all_queries
 from ledgerline.schemas import RAW_RECORD
 from ledgerline.sources.tables import record_file_stream
@@ -379,3 +380,11 @@ def test_bounded_minutes_run_as_a_stream(spark, tmp_path):
 def test_plans_of_resolved_records_hold_no_copy_of_the_rules(spark, capsys, name):
     all_queries()[name](spark, "/root/testdata/sf0.001").explain()
     assert len(capsys.readouterr().out) < 20_000  # one copy of the rules alone is longer
+
+
+def test_dead_letters_of_bounded_batches_equal_those_of_one(spark, monkeypatch):
+    monkeypatch.setattr(queries, "BATCH_BYTES", "1")  # a file a batch
+    monkeypatch.setattr(queries, "FILE_RECORDS", 600)
+    found = all_queries()["stream_access_dead_letters"](spark, "/root/testdata/sf0.001")
+    plain = all_queries()["ingest_access_dead_letters"](spark, "/root/testdata/sf0.001")
+    assert values(found) == values(plain)
