@@ -44,7 +44,7 @@ CUTOFF = "2024-01-25 00:00:00"
 LAST_DAY = date(2024, 1, 31)
 #: Records in a file of a streamed folder, and bytes of files in a micro-batch.
 FILE_RECORDS = 500_000
-BATCH_BYTES = "256m"
+BATCH_BYTES = 256 << 20
 
 
 def portable(frame: DataFrame) -> DataFrame:

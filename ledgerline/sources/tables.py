@@ -33,7 +33,7 @@ def record_file_stream(
     spark: SparkSession,
     path: str,
     max_files_per_trigger: int | None = None,
-    max_bytes_per_trigger: str | None = None,
+    max_bytes_per_trigger: int | None = None,
 ) -> DataFrame:
     """Raw records from Parquet files of the same shape, as a stream.
 

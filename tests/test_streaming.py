@@ -383,7 +383,7 @@ def test_plans_of_resolved_records_hold_no_copy_of_the_rules(spark, capsys, name
 
 
 def test_dead_letters_of_bounded_batches_equal_those_of_one(spark, monkeypatch):
-    monkeypatch.setattr(queries, "BATCH_BYTES", "1")  # a file a batch
+    monkeypatch.setattr(queries, "BATCH_BYTES", 1)  # a file a batch
     monkeypatch.setattr(queries, "FILE_RECORDS", 600)
     found = all_queries()["stream_access_dead_letters"](spark, "/root/testdata/sf0.001")
     plain = all_queries()["ingest_access_dead_letters"](spark, "/root/testdata/sf0.001")
