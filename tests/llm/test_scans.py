@@ -10,6 +10,7 @@ from itertools import combinations
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -238,6 +239,23 @@ def test_token_counts(spark, awkward, nothing, monkeypatch, small):
     assert token_counts(nothing).count() == 0
 
 
+def test_token_count_blocks_do_not_repeat_the_documents_for_every_bucket(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").coalesce(1)
+    path = tokens.default_path("byte_bpe_50k.json")
+    few, many = (
+        token_counting._blocks(docs, path, buckets).selectExpr("sum(octet_length(block))").first()[0]
+        for buckets in (4, 64)
+    )
+    assert many < 1.5 * few
+
+
+def test_token_sums_of_an_unknown_batch_are_refused():
+    sums = token_counting.pack(*(np.zeros(1, dtype=np.uint8) for _ in range(4)))
+    blocks = pa.RecordBatch.from_pydict({"batch": [1], "is_rows": [False], "block": [sums]})
+    with pytest.raises(RuntimeError, match="another order"):
+        list(token_counting._add_up([blocks]))
+
+
 def test_packing_round_trip(spark, awkward, nothing):
     coder = tokens.tokenizer(tokens.default_path("word_bpe_49k.json"))
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
