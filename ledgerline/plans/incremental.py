@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.plans import health, orders, sales
 from ledgerline.plans.marts import manifest, read_mart_files, read_slices, with_slice, write_slices
 from ledgerline.schemas import CONTRACTS, Contract
-from ledgerline.session import ensure_checkpoint_dir
+from ledgerline.session import stored
 
 
 class ScanBoundError(ValueError):
@@ -70,8 +70,8 @@ def refresh_sales(spark: SparkSession, events: DataFrame, arrived: DataFrame, ro
     old they are, and the scan of the event fact is limited to their folders. Returns the days.
     """
     touched = arrived.select("order_id").distinct()
-    history = stored_rows(events.join(touched, "order_id", "left_semi"))
-    facts = stored_rows(orders.fct_orders(history))
+    history = stored(events.join(touched, "order_id", "left_semi"), dictionaries=False)
+    facts = stored(orders.fct_orders(history))
     known = _in_touched_slices(spark, facts, root, CONTRACTS["fct_orders"])
     same = [F.col(f"new.{name}").eqNullSafe(F.col(f"old.{name}")) for name in ("currency", "channel")]
     moved = (
@@ -81,7 +81,7 @@ def refresh_sales(spark: SparkSession, events: DataFrame, arrived: DataFrame, ro
         .select("new.order_id")
     )
     days = history.join(moved, "order_id", "left_semi").select("event_date")
-    days = days.unionByName(arrived.select("event_date")).distinct()
+    days = stored(days.unionByName(arrived.select("event_date")).distinct())
     merge_into_mart(spark, orders.fct_order_events(history), root, "fct_order_events", ["persisted_at"])
     merge_into_mart(spark, facts, root, "fct_orders", ["order_event_count"])
     # bounded by the calendar; as literals they prune the folders of the scan
@@ -112,12 +112,6 @@ def refresh_health(minutes: DataFrame, arrived: DataFrame, root: str) -> list[da
     return chosen
 
 
-def stored_rows(rows: DataFrame) -> DataFrame:
-    """Rows that several jobs read, written once to the shared checkpoint folder."""
-    ensure_checkpoint_dir(rows.sparkSession)
-    return rows.checkpoint()
-
-
 def _in_touched_slices(
     spark: SparkSession, updates: DataFrame, root: str, contract: Contract
 ) -> DataFrame:
@@ -141,21 +135,17 @@ def merge_latest(
 ) -> DataFrame:
     """Keyed merge: every key takes its row of the highest version.
 
-    One aggregate over the union instead of an anti-join: the highest version wins wherever it
-    comes from, an update wins over a current row of its version, and copies collapse map-side.
+    One window over the union instead of an anti-join: the highest version wins wherever it
+    comes from, an update wins over a current row of its version, and copies collapse map-side,
+    where Spark keeps the first row of a key. Rows stay as they are; no aggregate copies them.
     """
     columns = current.columns
     rest = [name for name in columns if name not in key and name not in version]
     ranked = current.withColumn("_rank", F.lit(0)).unionByName(
         updates.select(*columns).withColumn("_rank", F.lit(1))
     )
-    picked = F.max(F.struct(*version, "_rank", *rest)).alias("_picked")
-    return (
-        ranked.groupBy(*key)
-        .agg(picked)
-        .select(*key, *[F.col(f"_picked.{name}") for name in [*version, *rest]])
-        .select(*columns)
-    )
+    newest_first = Window.partitionBy(*key).orderBy(*[F.desc(x) for x in [*version, "_rank", *rest]])
+    return ranked.withColumn("_place", F.row_number().over(newest_first)).filter("_place = 1").select(*columns)
 
 
 def merge_into_mart(
@@ -173,8 +163,10 @@ def merge_into_mart(
         touched = with_slice(updates.select(*key), contract).select("key_bucket").distinct()
     else:
         published = read_mart_files(spark, root, name)
-        replaced = published.join(updates.select(*key).distinct(), key, "left_semi").select(day)
-        touched = stored_rows(replaced.unionByName(updates.select(day)).distinct())
+        # by hash: a day named for an equal hash of another key is only written again as it is
+        hashed = F.xxhash64(*key).alias("_key")
+        replaced = published.select(day, hashed).join(updates.select(hashed), "_key", "left_semi").select(day)
+        touched = stored(replaced.unionByName(updates.select(day)).distinct())
         current = published.join(touched, day, "left_semi").select(*contract.columns)
     write_slices(merge_latest(current, updates, key, version), root, contract, touched)
 

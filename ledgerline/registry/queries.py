@@ -626,16 +626,18 @@ def delivery_rate(spark, directory):
 
 
 def _published(spark, directory, before: str | None = None) -> tuple[str, DataFrame]:
-    """Marts built from the events stored before a time, in a new folder."""
-    events = adapters.valid_orders(spark, directory)
-    if before is not None:
-        events = events.filter(F.col("created_at") < _time(before))
+    """Marts built from the events stored before a time, in a new folder; and all order events.
+
+    Every mart and the refresh read the order events, so they are derived from their source once.
+    """
+    valid = stored(adapters.valid_orders(spark, directory), dictionaries=False)
+    events = valid if before is None else valid.filter(F.col("created_at") < _time(before))
     models = build.build(
         events, adapters.processed_events(spark, directory), log_metrics_minute(spark, directory)
     )
     root = f"{_scratch(spark)}/marts"
     build.publish(models, root)
-    return root, _orders(spark, directory)
+    return root, staging.order_events(valid)
 
 
 def refreshed_service_health(spark, directory):
@@ -670,7 +672,7 @@ def merged_orders(spark, directory):
     """Order fact built up to the cutoff, then merged with the orders touched since."""
     root, events = _published(spark, directory, before=CUTOFF)
     touched = events.filter(F.col("persisted_at") >= _time(CUTOFF)).select("order_id").distinct()
-    updates = orders.fct_orders(events.join(touched, "order_id", "left_semi"))
+    updates = stored(orders.fct_orders(events.join(touched, "order_id", "left_semi")))
     incremental.merge_into_mart(spark, updates, root, "fct_orders", ["order_event_count"])
     return marts.read_mart_files(spark, root, "fct_orders")
 

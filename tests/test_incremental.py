@@ -7,6 +7,7 @@ from conftest import values
 from pyspark.sql import functions as F
 
 from ledgerline.plans import build, health, incremental, marts, orders, sales, staging
+from ledgerline.registry import queries
 from ledgerline.registry.queries import log_metrics_minute
 from ledgerline.schemas import CONTRACTS, MART_DAILY_SALES
 from ledgerline.sources import adapters
@@ -82,6 +83,31 @@ def test_a_late_creation_changes_all_days_of_its_order_and_no_other(spark, tmp_p
     assert scans and all("event_date" in s and (" IN (" in s or " INSET " in s) for s in scans)
 
 
+def test_a_refresh_derives_order_events_and_their_days_once(spark, monkeypatch):
+    """Not once for every mart and every write: what several jobs read is stored."""
+    plan = lambda frame: frame._jdf.queryExecution().executedPlan().toString()
+    root, staged = queries._published(spark, SMALL, before=queries.CUTOFF)
+    assert "events.parquet" not in plan(staged) and "get_json_object" not in plan(staged)
+    touched = {}
+    write = incremental.write_slices
+
+    def noted(table, root, contract, days=None):
+        touched[contract.name] = plan(days)
+        write(table, root, contract, days)
+
+    monkeypatch.setattr(incremental, "write_slices", noted)
+    incremental.refresh_sales(spark, staged, staged.filter(F.col("persisted_at") >= F.lit(CUTOFF)), root)
+    assert "Join" not in touched["mart_daily_sales"] and "Join" not in touched["fct_order_events"]
+    assert values(marts.read_mart_files(spark, root, "fct_order_events")) == values(orders.fct_order_events(staged))
+
+
+def test_merged_rows_are_not_copied_by_an_aggregate(rows):
+    schema = "k string, v int, x string"
+    merged = incremental.merge_latest(rows([dict(k="a", v=1)], schema), rows([dict(k="a", v=2)], schema), ["k"], ["v"])
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and plan.count("WindowGroupLimit") == 2  # one before the shuffle
+
+
 def test_health_is_derived_again_for_the_days_of_arrived_minutes(spark, tmp_path):
     minutes = staging.minute_metrics(log_metrics_minute(spark, SMALL))
     model = lambda rows: health.service_health(health.service_minute_metrics(rows))
