@@ -7,9 +7,10 @@ combination is used as often as its counts allow. What finds no exact complement
 each piece goes to the fullest sequence that still takes it. The outcome is a bounded list of
 patterns (lengths, and how many sequences look like that).
 
-Pieces then learn their place without meeting each other: every piece gets a rank among those of its
-length (blocks of a length are counted first, so a very common length is not one task), patterns own
-ranges of ranks, and a range gives sequence and offset by arithmetic.
+Pieces then learn their place without meeting each other: the task that makes a piece numbers it among
+its own pieces of that length, so a very common length is not one task, and stores it; the stored
+counts of the tasks before give its rank, patterns own ranges of ranks, and a range gives sequence and
+offset by arithmetic.
 
 Nulls and empty texts are one piece that holds the closing id only. Repeated rows, also of one
 doc_id, are packed once each; they are interchangeable. An empty table gives no rows.
@@ -20,41 +21,62 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.blocks import bucket_count
-from ledgerline.llm.common import map_batches, stored, texts
+from ledgerline.llm.common import map_arrow, map_batches, stored, texts
 from ledgerline.llm.tokens import default_path, id_cache
 
 CAPACITY = 2048
 END_ID = 0
+#: Counts per task and length up to which they are sent to every task, so that no piece is shuffled.
+BROADCAST_ROWS = 200_000
 
 Pattern = tuple[tuple[int, int], ...]
 
+_PIECES = pa.schema(
+    [("doc_id", pa.int64()), ("piece", pa.int32())]
+    + [(name, pa.int64()) for name in ("start", "length", "ids_crc32", "within")]
+    + [("block", pa.int32())]
+)
+
 
 def pieces_of(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
-    """Token pieces per document: number, first token, length, checksum of the ids."""
+    """Token pieces per document: number, first token, length, checksum of the ids.
 
-    def function(batch):
+    ``block`` names the task that made a piece, ``within`` counts its earlier pieces of that length: the
+    rows must be stored before anything else reads them, since another run may deal them otherwise.
+    """
+
+    def function(batches):
         cache = id_cache(tokenizer_path)
         end = np.array([END_ID], dtype="<u4").tobytes()
-        ids = batch.column(0)
-        out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
-        for row, text in enumerate(texts(batch)):
-            coded = cache.ids_of(text) + end
-            for number, start in enumerate(range(0, len(coded), 4 * capacity)):
-                part = coded[start : start + 4 * capacity]
-                out["doc_id"].append(ids[row].as_py())
-                out["piece"].append(number)
-                out["start"].append(start // 4)
-                out["length"].append(len(part) // 4)
-                out["ids_crc32"].append(zlib.crc32(part))
-        yield out
+        block, made = TaskContext.get().partitionId(), [0] * (capacity + 1)
+        for batch in batches:
+            ids = batch.column(0)
+            out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "within")}
+            for row, text in enumerate(texts(batch)):
+                coded = cache.ids_of(text) + end
+                for number, start in enumerate(range(0, len(coded), 4 * capacity)):
+                    part = coded[start : start + 4 * capacity]
+                    length = len(part) // 4
+                    out["doc_id"].append(ids[row].as_py())
+                    out["piece"].append(number)
+                    out["start"].append(start // 4)
+                    out["length"].append(length)
+                    out["ids_crc32"].append(zlib.crc32(part))
+                    out["within"].append(made[length])
+                    made[length] += 1
+            out["block"] = [block] * len(out["piece"])
+            yield pa.RecordBatch.from_pydict(out, schema=_PIECES)
 
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return map_batches(
-        source, function, "doc_id long, piece int, start long, length long, ids_crc32 long"
+    return map_arrow(
+        source,
+        function,
+        "doc_id long, piece int, start long, length long, ids_crc32 long, within long, block int",
     )
 
 
@@ -201,15 +223,10 @@ def pack_documents(
 ) -> DataFrame:
     """One row per piece: where it starts, its checksum, and its place in a sequence."""
     path = tokenizer_path or default_path("word_bpe_49k.json")
-    blocks = bucket_count(documents.sparkSession)
-    pieces = stored(
-        pieces_of(documents, path, capacity).withColumn(
-            "block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(blocks)).cast("int")
-        )
-    )
-    per_block = stored(pieces.groupBy("length", "block").agg(F.count("*").alias("n")))
+    pieces = stored(pieces_of(documents, path, capacity))
+    per_block = pieces.groupBy("length", "block").agg(F.count("*").alias("n"))
     # at most ``capacity`` rows, whatever the corpus
-    totals = per_block.groupBy("length").agg(F.sum("n").alias("n")).collect()
+    totals = per_block.groupBy("length").agg(F.sum("n").alias("n"), F.count("*").alias("blocks")).collect()
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for row in totals:
         counts[row.length] = row.n
@@ -220,8 +237,9 @@ def pack_documents(
     first = per_block.select(
         "length", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")
     )
-    within = Window.partitionBy("length", "block").orderBy("doc_id", "piece", "ids_crc32", "start")
-    ranked = pieces.withColumn("rank", F.row_number().over(within) - 1).join(first, ["length", "block"])
+    if sum(row.blocks for row in totals) <= BROADCAST_ROWS:
+        first = F.broadcast(first)
+    ranked = pieces.join(first, ["length", "block"])
 
     def function(batch):
         length, rank = (
@@ -240,7 +258,7 @@ def pack_documents(
 
     numbered = ranked.select(
         "doc_id", "piece", "start", "length", "ids_crc32",
-        (F.col("first") + F.col("rank")).cast("long").alias("rank"),
+        (F.col("first") + F.col("within")).cast("long").alias("rank"),
     )
     return map_batches(
         numbered,

@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import re
 from functools import lru_cache
+from sys import getsizeof
 
 import numpy as np
 import regex
@@ -140,12 +141,20 @@ def folded_units(text: str) -> list[bytes]:
     return _STOP.sub(rb" \1", raw).split()
 
 
+#: Bytes of a cache entry besides the unit and its ids: its place in the dictionary.
+_ENTRY = 100
+
+
 class IdCache:
-    """Ids of texts through a cache from unit to ids (little-endian bytes) of bounded size."""
+    """Ids of texts through a cache from unit to ids (little-endian bytes) of bounded size.
+
+    Bytes are bounded too, since a unit without blanks may be a whole text.
+    """
 
-    def __init__(self, path: str, limit: int = 1_200_000):
-        self.path, self.limit = path, limit
+    def __init__(self, path: str, limit: int = 1_200_000, limit_bytes: int = 256 << 20):
+        self.path, self.limit, self.limit_bytes = path, limit, limit_bytes
         self.known: dict = {}
+        self.held = 0
         self.folds = folds_words(path)
 
     def ids_of(self, text: str) -> bytes:
@@ -164,8 +173,10 @@ class IdCache:
         found = {
             unit: ids[edges[number] : edges[number + 1]].tobytes() for number, unit in enumerate(missing)
         }
-        if len(known) + len(found) <= self.limit:  # once full, common units are known
+        held = self.held + sum(getsizeof(unit) + getsizeof(code) + _ENTRY for unit, code in found.items())
+        if len(known) + len(found) <= self.limit and held <= self.limit_bytes:  # once full, common units are known
             known.update(found)
+            self.held = held
             return b"".join([known[u] for u in units])
         return b"".join([found[u] if u in found else known[u] for u in units])
 

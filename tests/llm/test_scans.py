@@ -12,6 +12,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ledgerline.llm import decontamination, packing, pii, quality_rules, secret_scan, tokens, toxicity
@@ -280,6 +281,46 @@ def test_packing_round_trip(spark, awkward, nothing):
     assert packing.pack_documents(nothing).count() == 0
 
 
+@pytest.mark.parametrize("sent", [0, 200_000])
+def test_packing_files_do_not_grow_with_the_shuffle_partitions(spark, monkeypatch, sent):
+    """Each stored file and each task starts processes on an executor; pieces are ranked where they are made."""
+    kept = []
+    monkeypatch.setattr(packing, "stored", lambda frame, f=packing.stored: kept.append(f(frame)) or kept[-1])
+    monkeypatch.setattr(packing, "BROADCAST_ROWS", sent, raising=False)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    for key, value in zip(old, ("60", "false")):
+        spark.conf.set(key, value)
+    try:
+        docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+        many = docs.unionByName(docs).unionByName(docs.withColumn("text", F.lit("one text"))).coalesce(3)
+        found = packing.pack_documents(many)
+        rows = found.collect()
+        tasks = found.select(F.spark_partition_id()).distinct().count()
+    finally:
+        for key, value in old.items():
+            spark.conf.set(key, value)
+    assert sum(len(frame.inputFiles()) for frame in kept) <= 3
+    assert tasks <= 3 or not sent
+    places = {}
+    for row in rows:
+        places.setdefault(row.sequence_id, []).append((row.offset, row.length))
+    for held in map(sorted, places.values()):
+        assert [offset for offset, _ in held] == [0, *np.cumsum([length for _, length in held])[:-1]]
+    counts = np.bincount([row.length for row in rows], minlength=2049)
+    assert len(places) == sum(times for _, times in packing.plan(counts))
+    assert Counter(row.doc_id for row in rows if not row.piece) == Counter(r.doc_id for r in many.collect())
+
+
+def test_id_cache_is_bounded_in_bytes():
+    path = tokens.default_path("word_bpe_49k.json")
+    cache = tokens.IdCache(path, limit_bytes=4000)
+    for n in range(20):
+        text = f"{n}天地玄黄宇宙洪荒" * 50 + " a"
+        ids = tokens.tokenizer(path).encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(cache.ids_of(text), "<u4").tolist() == ids
+    assert sum(len(k) + len(v) for k, v in cache.known.items()) <= 4000
+
+
 def test_plans_use_every_piece_and_find_exact_fits():
     rng = np.random.default_rng(0)
     for capacity in (5, 16, 64, 2048):
