@@ -8,6 +8,9 @@ N occurrences of kept terms, and likewise the language as a whole, gives each ke
 
 and a group with share p diverges from a share q by f = floor((p - q)^2 / q). All of it is integers.
 
+Tasks count the terms of a batch as arrays, one row per group and term. One shuffle by language and term
+brings a term's rows of all groups together: it adds them up, counts documents and drops rare terms.
+
 Term ids are dealt to blocks of about ``BLOCK_TERMS`` by a hash of the term. In a block each group has
 a segment tree over the ids; nodes are hash-consed over all groups of the block, so equal subtrees are
 one node, and ids are ordered by frequency, so that long runs of zeros and ones are shared. Two groups
@@ -25,22 +28,24 @@ columns are not read.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import apply_arrow, map_batches, stored, texts
+from ledgerline.llm.common import apply_arrow, map_batches, stored
 
 LEAST_DOCUMENTS = 3
 SHARES = 10**9
 TERM_RANKS = 200
 BLOCK_TERMS = 4096
 TILE_GROUPS = 64
-#: Distinct (group, term) counts that a task gathers before it sends them on.
-HELD_TERMS = 200_000
+#: Occurrences of terms, as far as bytes tell, that a task counts at once before it sends the counts on.
+HELD_TERMS = 8_000_000
 
 #: Letters stay, A-Z lower-cased; other ASCII bytes separate terms.
 _LETTERS = bytes(
@@ -52,49 +57,101 @@ _FITS = 9 * 10**9
 _STEP = 1000
 
 
-def terms_of(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").translate(_LETTERS).split()
+def _by_group(batch: pa.RecordBatch) -> pa.Table:
+    """(lang, source, text) of a batch with documents of one group side by side; nulls are empty."""
+    columns = {}
+    for name in ("lang", "source", "text"):
+        column = batch.column(batch.schema.get_field_index(name)).cast(pa.large_string())
+        columns[name] = pc.fill_null(column, "")
+    table = pa.table(columns)
+    codes = [table.column(k).combine_chunks().dictionary_encode().indices.to_numpy() for k in (0, 1)]
+    return table.take(pa.array(np.lexsort(codes[::-1])))
+
+
+def _words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The words of texts, and where each text's words begin and end; empty strings may be among them."""
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    start, end = int(offsets[0]), int(offsets[-1])
+    letters = b"" if data is None else data[start:end].to_pybytes().translate(_LETTERS)
+    plain = pa.Array.from_buffers(
+        pa.large_string(), len(texts), [None, pa.py_buffer(offsets - start), pa.py_buffer(letters)]
+    )
+    split = pc.ascii_split_whitespace(plain)
+    return split.flatten().dictionary_encode(), split.offsets.to_numpy()
+
+
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order and how often each occurs."""
+    keys.sort()
+    starts = np.flatnonzero(np.concatenate([keys[:1] == keys[:1], keys[1:] != keys[:-1]]))
+    return keys[starts], np.diff(starts, append=len(keys))
+
+
+def _sizes(values: pa.Array) -> list[tuple[str, int]]:
+    """The distinct values in their order of first appearance and how often each occurs."""
+    return [(row["values"], row["counts"]) for row in values.value_counts().to_pylist()]
+
+
+def _counted(table: pa.Table) -> Iterator[dict[str, pa.Array]]:
+    """Counts of each group's terms over documents that lie by group: a row per group and term."""
+    langs, sources, texts = (table.column(k).combine_chunks() for k in range(3))
+    first = 0
+    for lang, size in _sizes(langs):
+        here = sources.slice(first, size)
+        words, offsets = _words(texts.slice(first, size))
+        first += size
+        distinct, codes = words.dictionary, words.indices.to_numpy()
+        empty, width = pc.index(distinct, "").as_py(), max(1, len(distinct))
+        found, at = [], 0
+        for source, documents in _sizes(here):
+            own = offsets[at : at + documents + 1]
+            at += documents
+            inside = codes[own[0] : own[-1]]
+            term, n = _runs(inside.copy())
+            of = np.repeat(np.arange(documents, dtype=np.int64), np.diff(own))
+            each, _ = _runs(of * width + inside)
+            _, docs = _runs(each % width)  # the same terms in the same order
+            words_only = term != empty
+            found.append((source, term[words_only], n[words_only], docs[words_only]))
+        names = pa.array([f[0] for f in found], pa.large_string())
+        lengths = [len(f[1]) for f in found]
+        terms = distinct.take(pa.array(np.concatenate([f[1] for f in found])))
+        heads = pa.nulls(len(found), terms.type)
+        zeros = np.zeros(len(found), dtype=np.int64)
+        places = np.concatenate([np.repeat(np.arange(len(found)), lengths), np.arange(len(found))])
+        yield {
+            "lang": pa.repeat(pa.scalar(lang, pa.large_string()), len(places)),
+            "source": names.take(pa.array(places)),
+            "term": pa.concat_arrays([terms, heads]),
+            "n": pa.array(np.concatenate([f[2] for f in found] + [zeros])),
+            "docs": pa.array(np.concatenate([f[3] for f in found] + [zeros])),
+        }
 
 
 def term_counts(documents: DataFrame) -> DataFrame:
     """(lang, source, term, n, docs): occurrences and documents of each term, added up by Spark.
 
-    A null term counts the group itself, so that groups without terms stay.
+    A null term counts the group itself, so that groups without terms stay. The rows of a language's
+    term are in one partition, so that its groups meet without another shuffle.
     """
 
     def function(batch):
-        langs, sources = (batch.column(k).to_pylist() for k in (0, 1))
-        counts, documents_of = defaultdict(Counter), defaultdict(Counter)
-        held = 0
-
-        def out():
-            rows = [
-                (lang, source, term.decode("utf-8", "replace"), n, documents_of[lang, source][term])
-                for (lang, source), group in counts.items()
-                for term, n in group.items()
-            ]
-            rows += [(lang, source, None, 0, 0) for lang, source in counts]
-            counts.clear()
-            documents_of.clear()
-            return dict(zip(("lang", "source", "term", "n", "docs"), zip(*rows)))
-
-        for lang, source, text in zip(langs, sources, texts(batch)):
-            found = Counter(terms_of(text))
-            counts[lang, source].update(found)
-            documents_of[lang, source].update(found.keys())
-            held += len(found)
-            if held >= HELD_TERMS:
-                yield out()
-                held = 0
-        if counts:
-            yield out()
-
-    named = documents.select(
-        F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), "text"
-    )
+        table = _by_group(batch)
+        # a text of b bytes has at most (b + 1) / 2 terms
+        most = np.cumsum((pc.binary_length(table.column("text")).to_numpy() + 1) // 2)
+        start = 0
+        while start < len(table):
+            before = most[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(most, before + HELD_TERMS, side="right")))
+            yield from _counted(table.slice(start, end - start))
+            start = end
+
+    named = documents.select("lang", "source", "text")
     schema = "lang string, source string, term string, n long, docs long"
     return (
         map_batches(named, function, schema)
+        .repartition("lang", "term")
         .groupBy("lang", "source", "term")
         .agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     )
@@ -239,13 +296,12 @@ def _price_block(table: pa.Table) -> pa.Table:
     )
 
 
-def _pair_values(counts: DataFrame, groups: DataFrame, kept: DataFrame) -> DataFrame:
+def _pair_values(counts: DataFrame, groups: DataFrame, sizes: DataFrame) -> DataFrame:
     """(lang, source, item, value) for all pairs of groups of a language.
 
     ``counts`` (lang, source, term, n) of kept terms; ``groups`` (lang, source, total, terms, tiles,
-    blocks) of all groups; ``kept`` (lang, term, block) of all kept terms.
+    tile) of all groups; ``sizes`` (lang, block, block_terms) of all blocks of kept terms.
     """
-    sizes = kept.groupBy("lang", "block").agg(F.count("*").alias("block_terms"))
     cells = F.explode(
         F.expr("transform(sequence(0, tiles - 1), t -> struct(least(t, tile) AS low, greatest(t, tile) AS high))")
     )
@@ -278,20 +334,29 @@ def _pair_values(counts: DataFrame, groups: DataFrame, kept: DataFrame) -> DataF
 
 def divergence(documents: DataFrame) -> DataFrame:
     """(lang, source, part, item, value, rank): all pairs of groups and each group's foremost terms."""
-    counted = stored(term_counts(documents))
-    vocabulary = (
-        counted.where(F.col("term").isNotNull())
-        .groupBy("lang", "term")
-        .agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n"))
-        .where(F.col("docs") >= LEAST_DOCUMENTS)
-        .select("lang", "term", "lang_n")
+    # a language's term is in one partition: what its groups have in common needs a sort, by a hash first
+    term_hash = F.xxhash64("term")
+    common = Window.partitionBy("hash", "lang", "term")
+    counted = stored(
+        term_counts(documents)
+        .withColumn("hash", term_hash)
+        .select(
+            "lang",
+            "source",
+            "term",
+            "n",
+            F.sum("n").over(common).alias("lang_n"),
+            F.sum("docs").over(common).alias("lang_docs"),
+            (F.min("source").over(common) == F.col("source")).alias("first"),
+        )
+        .where(F.col("term").isNull() | (F.col("lang_docs") >= LEAST_DOCUMENTS))
+        .drop("lang_docs")
     )
-    kept_counts = stored(counted.join(vocabulary, ["lang", "term"]).select("lang", "source", "term", "n", "lang_n"))
+    kept_counts = counted.where(F.col("term").isNotNull())
 
     # one row per language and group: their number is that of the sources, not of the documents
     terms = (
-        kept_counts.groupBy("lang", "term", "lang_n")
-        .agg(F.count("*").alias("sources"))
+        kept_counts.where("first")
         .groupBy("lang")
         .agg(F.count("*").alias("terms"), F.sum("lang_n").alias("lang_total"))
     )
@@ -314,10 +379,10 @@ def divergence(documents: DataFrame) -> DataFrame:
         )
     )
     placed = kept_counts.join(groups.select("lang", "source", "total", "terms", "lang_total"), ["lang", "source"])
-    block = F.pmod(F.xxhash64("term"), F.ceil(F.col("terms") / F.lit(BLOCK_TERMS))).cast("int")
+    block = F.pmod(term_hash, F.ceil(F.col("terms") / F.lit(BLOCK_TERMS))).cast("int")
     placed = placed.withColumn("block", block)
-    kept = placed.groupBy("lang", "block", "term").agg(F.count("*").alias("sources"))
-    pairs = _pair_values(placed.select("lang", "source", "term", "n", "block"), groups, kept)
+    sizes = placed.where("first").groupBy("lang", "block").agg(F.count("*").alias("block_terms"))
+    pairs = _pair_values(placed.select("lang", "source", "term", "n", "block"), groups, sizes)
 
     p = _share(F.col("n"), F.col("total"), F.col("terms"))
     q = _share(F.col("lang_n"), F.col("lang_total"), F.col("terms"))

@@ -8,6 +8,7 @@ from fractions import Fraction
 from itertools import permutations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ledgerline.llm import embedding_dedup, source_divergence
@@ -291,6 +292,62 @@ def test_divergence_equals_brute_force(spark, monkeypatch, block, tile, held):
     assert divergence(docs.where("false")).count() == 0
 
 
+def sent_counts(spark, monkeypatch, batch):
+    """What a task sends on for one batch of documents."""
+    taken = []
+
+    def take(frame, function, schema):
+        taken.append(function)
+        return spark.createDataFrame([], schema)
+
+    monkeypatch.setattr(source_divergence, "map_batches", take)
+    source_divergence.term_counts(spark.createDataFrame([], "text string, lang string, source string"))
+    names = ("lang", "source", "term", "n", "docs")
+    plain = lambda column: column.to_pylist() if isinstance(column, pa.Array) else column
+    return [row for out in taken[0](batch) for row in zip(*(plain(out[name]) for name in names))]
+
+
+def test_a_batch_sends_each_term_once(spark, monkeypatch):
+    text = " ".join(f"t{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(100))
+    rows = {"lang": ["en"] * 3000, "source": ["a", "b", "c"] * 1000, "text": [text] * 3000}
+    sent = sent_counts(spark, monkeypatch, pa.RecordBatch.from_pydict(rows))
+    assert len(sent) == 3 * 100 + 3
+    assert {row[3:] for row in sent} == {(1000, 1000), (0, 0)}
+
+
+@pytest.mark.parametrize("held", [1, 50, 10**6])
+def test_batch_counts_equal_plain_counts(spark, monkeypatch, held):
+    monkeypatch.setattr(source_divergence, "HELD_TERMS", held)
+    rows = divergence_rows() + [("", "en", "s1"), (" \n ", "en", "s2"), ("\u00a0x\u3000É é\0A", "xx", "é")]
+    texts, langs, sources = (list(column) for column in zip(*rows))
+    batch = pa.RecordBatch.from_pydict({"lang": langs, "source": sources, "text": texts})
+    n, docs = Counter(), Counter()
+    for lang, source, term, times, within in sent_counts(spark, monkeypatch, batch.slice(5)):
+        n[lang, source, term] += times
+        docs[lang, source, term] += within
+    expected, expected_docs = Counter(), Counter()
+    for text, lang, source in rows[5:]:
+        lowered = (text or "").translate({c: c + 32 for c in range(65, 91)})
+        found = re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", lowered)
+        expected.update((lang or "", source or "", t) for t in found)
+        expected_docs.update((lang or "", source or "", t) for t in set(found))
+        expected[lang or "", source or "", None] += 0
+        expected_docs[lang or "", source or "", None] += 0
+    assert dict(n) == dict(expected) and dict(docs) == dict(expected_docs)
+
+
+def test_counts_and_vocabulary_take_one_shuffle(spark, monkeypatch):
+    frames = []
+    keep = source_divergence.stored
+    monkeypatch.setattr(source_divergence, "stored", lambda frame: frames.append(frame) or keep(frame))
+    divergence(spark.createDataFrame(divergence_rows(), "text string, lang string, source string"))
+    wide = [frame for frame in frames if "term" in frame.columns]
+    plans = [frame._jdf.queryExecution().sparkPlan().toString() for frame in wide]
+    executed = [frame._jdf.queryExecution().executedPlan().toString() for frame in wide]
+    assert len(wide) == 1 and not any("Join" in plan for plan in plans)
+    assert sum(plan.count("Exchange ") for plan in executed) == 1
+
+
 def test_term_ranks_stop_at_200(spark):
     docs = [(" ".join(f"t{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(300)), "en", "a")] * 3
     docs += [("other words " * 200, "en", "b")] * 3
