@@ -29,21 +29,25 @@ def _comparable(records: DataFrame, names: Sequence[str]):
     return F.struct(*[F.col(name) for name in names])
 
 
+#: Rows of one reused key that meet in one task; a key with more is dealt to several.
+HOT = 100_000
+
+
 def conflicting_reuse(
     records: DataFrame,
     key: Sequence[str],
     order_by: Sequence[str],
     compared: Sequence[str],
-    salts: int | None = None,
+    hot: int = HOT,
 ) -> DataFrame:
     """Rows whose compared columns differ from those of the first row with the same key.
 
-    Only keys that really hold two different values take part. Their rows are spread over
-    ``salts`` buckets (as many as the session has shuffle partitions) and the one-row-per-key side is repeated once per bucket, so one reused
-    key cannot gather all of its copies in a single task.
+    Only keys that really hold two different values take part. The rows of a key with more than
+    ``hot`` rows are spread over as many salts as it needs, and only its one row per key is repeated,
+    so one reused key cannot gather all of its copies in a single task and few rows are repeated.
+    The join is never a broadcast: Spark takes the size from the compressed files below, so a
+    table of conflicts far too large for the driver would pass as small.
     """
-    if salts is None:
-        salts = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     value = F.struct(*compared)
     disagreeing = (
         records.groupBy(*key)
@@ -51,17 +55,21 @@ def conflicting_reuse(
             F.min(F.struct(*order_by, value.alias("_value"))).alias("_first"),
             F.min(value).alias("_least"),
             F.max(value).alias("_greatest"),
+            F.ceil(F.count(F.lit(1)) / hot).cast("int").alias("_salts"),
         )
         .filter(~F.col("_least").eqNullSafe(F.col("_greatest")))
-        .select(
-            *key,
-            F.col("_first._value").alias("_expected"),
-            F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"),
-        )
     )
-    salted = records.withColumn("_salt", F.pmod(F.xxhash64(*order_by), F.lit(salts)).cast("int"))
+    # at most one row per ``hot`` records; naming _first lets both uses share one aggregate
+    wide = disagreeing.filter((F.col("_salts") > 1) & F.col("_first").isNotNull()).select(*key, "_salts")
+    salt = F.pmod(F.xxhash64(*order_by), F.coalesce("_salts", F.lit(1))).cast("int")
+    salted = records.join(F.broadcast(wide), [*key], "left").withColumn("_salt", salt)
+    expected = disagreeing.select(
+        *key,
+        F.col("_first._value").alias("_expected"),
+        F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"),
+    )
     return (
-        salted.join(disagreeing, [*key, "_salt"])
+        salted.join(expected.hint("merge"), [*key, "_salt"])
         .filter(~value.eqNullSafe(F.col("_expected")))
         .select(*records.columns)
     )

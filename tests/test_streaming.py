@@ -357,6 +357,38 @@ def test_hot_id_collapses_before_the_shuffle_and_all_conflicts_are_found(spark):
     assert {row.value for row in conflicts.select("value").distinct().collect()} == {"y"}
 
 
+def test_conflicts_repeat_no_key_and_are_never_broadcast(spark):
+    """Each of 500 ids conflicts: its first value is joined once, unless the id has too many rows for one task."""
+    copies = spark.range(2000).selectExpr("CAST(id % 500 AS STRING) AS event_id", "id AS offset",
+                                          "CAST(id DIV 500 AS STRING) AS value")
+
+    def plan_of(**options):
+        found = conflicting_reuse(copies, ["event_id"], ["offset"], ["value"], **options)
+        assert sorted(row.offset for row in found.collect()) == list(range(500, 2000))
+        return found._jdf.queryExecution().executedPlan()
+
+    def generated(plan):
+        """Rows that the salts of the keys make."""
+        nodes, made = [plan], []
+        while nodes:
+            node = nodes.pop()
+            name = node.nodeName()
+            if name == "AdaptiveSparkPlan":
+                nodes.append(node.executedPlan())
+            elif name.endswith("QueryStage"):
+                nodes.append(node.plan())
+            children = node.children()
+            nodes += [children.apply(i) for i in range(children.size())]
+            if name == "Generate":
+                made.append(node.metrics().apply("numOutputRows").value())
+        return made
+
+    plan = plan_of()
+    assert generated(plan) == [500]
+    assert "BroadcastHashJoin" not in plan.toString().split("Initial Plan")[0]
+    assert generated(plan_of(hot=1)) == [2000]
+
+
 def test_bounded_minutes_run_as_a_stream(spark, tmp_path):
     events = spark.createDataFrame(
         [("a", datetime(2026, 8, 6, 0, 0, 5), "s", "/e", 200, 4),
