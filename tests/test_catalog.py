@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions import scrub
 from ledgerline.operators import assets, contract_diff, cost, lineage
 from ledgerline.session import stored
+from ledgerline.sources import derived
 from ledgerline.sources.tables import lag_report, result_report
 
 COLUMNS = "model string, column string, data_type string, required boolean, description string"
@@ -339,6 +340,66 @@ def test_impact_paths_of_all_starts_equal_a_plain_walk(spark):
     assert sorted(p for (p,) in some) == sorted(p for p in brute_paths(graph, "n00") if p[-1] in wanted)
 
 
+def shown(number):
+    """Texts of numbered nodes, whose order is not that of the numbers."""
+    return F.concat(F.lit("n"), number.cast("string"))
+
+
+@pytest.mark.parametrize("limit", [1, 1_000_000])
+def test_numbered_walks_equal_a_plain_walk_of_their_texts(spark, monkeypatch, limit):
+    monkeypatch.setattr(lineage, "ROWS", 50 * limit)
+    for name in ("LIST", "SHARE"):
+        monkeypatch.setattr(lineage, name, limit)
+    rng = random.Random(11)
+    nodes = [-(1 << 63), -3, 0, 2, 9, 10, 11, 65535, 65536, 1 << 20, 3 << 60, (1 << 63) - 1]
+    pairs = [(rng.choice(nodes), rng.choice([*nodes, 7, 70, 700])) for _ in range(45)]
+    graph = spark.createDataFrame(pairs, "upstream bigint, downstream bigint")
+    begin = spark.createDataFrame([(n,) for n in nodes], "start bigint")
+    texts = [(f"n{a}", f"n{b}") for a, b in pairs]
+    found = lineage.reach(graph, begin).select(shown(F.col("start")).alias("start"), shown(F.col("node")).alias("node"), "depth")
+    assert values(found) == sorted((f"n{s}", n, d) for s in nodes for n, d in brute_depths(texts, f"n{s}").items())
+    expected = [(s, p) for s in nodes for p in brute_paths(texts, f"n{s}")]
+    assert sorted(values(lineage.impact_paths(graph, begin, text=shown))) == sorted(expected)
+    asked = spark.createDataFrame([(700,)], "node bigint")
+    for marked in (False, True):
+        steps = lineage.impact_steps(graph, begin, text=shown, mark_inner=marked)
+        found = values(lineage.paths_of(steps, asked, text=shown))
+        assert sorted(found) == sorted((s, p) for s, p in expected if p[-1] == "n700")
+        trees = {(s, p[-1]): p[-2] for s, p in expected[::-1] if p[-1] != f"n{s}"}
+        tree = steps.filter("is_tree").select("start", shown(F.col("node")), shown(F.col("via")))
+        assert {(s, n): via for s, n, via in values(tree)} == trees
+
+
+def test_walks_expand_no_node_that_has_leaves_only(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(lineage, "stored", lambda frame: written.append(stored(frame)) or written[-1])
+    graph = [(f"s{k}", f"m{m}") for k in range(4) for m in range(3)]
+    graph += [(f"m{m}", f"leaf{n}") for m in range(3) for n in range(5)]
+    assert lineage.reach(edges(spark, *graph), starts(spark, *[f"s{k}" for k in range(4)])).count() == 4 * 8
+    assert all(frame.count() for frame in written)
+
+
+def test_partitions_at_the_starts_follow_from_the_listed_nodes(spark, monkeypatch):
+    """Lists are small to shuffle however many rows they spread to."""
+    monkeypatch.setattr(lineage, "ROWS", 100)
+    graph = spark.range(6000).selectExpr("id DIV 100 AS upstream", "1000 + id AS downstream")
+    found = lineage.reach(graph, spark.range(60).withColumnRenamed("id", "start"))
+    assert found.count() == 6000
+    assert "hashpartitioning(start" in (plan := found._jdf.queryExecution().executedPlan().toString())
+    assert "_share" in plan and ", 60), REPARTITION_BY_NUM" in plan
+
+
+def test_node_numbers_stand_for_their_texts(spark):
+    keys = [0, 7, -1, -derived._KEY_LIMIT, derived._KEY_LIMIT - 1, None]
+    rows = spark.createDataFrame([(k,) for k in keys], "key bigint")
+    for kind in derived.NODE_KINDS:
+        found = rows.select("key", derived.node_text(derived.node_number(kind, "key"))).collect()
+        assert all(text == (None if key is None else f"{kind}.{key}") for key, text in found)
+    beyond = spark.createDataFrame([(derived._KEY_LIMIT,)], "key bigint")
+    with pytest.raises(Exception, match="beyond 59 bits"):
+        beyond.select(derived.node_number("part", "key")).collect()
+
+
 def shuffles(frame):
     plan = frame._jdf.queryExecution().executedPlan().toString()
     return plan.count("Exchange hashpartitioning")
