@@ -45,6 +45,8 @@ LAST_DAY = date(2024, 1, 31)
 #: Records in a file of a streamed folder, and bytes of files in a micro-batch.
 FILE_RECORDS = 500_000
 BATCH_BYTES = 256 << 20
+#: Micro-batches that a run is cut into at least, so that finished ones are folded on the way.
+BATCHES = 3
 
 
 def portable(frame: DataFrame) -> DataFrame:
@@ -265,8 +267,13 @@ def first_user_events(spark, directory):
 
 def _run_stream(spark, directory, job, source, replay=False) -> Ledger:
     folder = _scratch(spark)
-    source(spark, directory).write.parquet(f"{folder}/records")
-    stream = tables.record_file_stream(spark, f"{folder}/records", max_files_per_trigger=4)
+    # a topic delivers the records of a partition in order: of a reused id the first coordinate comes first
+    records = source(spark, directory).repartitionByRange("partition", "offset")
+    records.write.option("maxRecordsPerFile", FILE_RECORDS).parquet(f"{folder}/records")
+    size = tables.arrive_in_order(spark, f"{folder}/records")
+    # a batch costs seconds of its own and meets all markers, so batches are as large as the limit allows
+    limit = max(1, min(BATCH_BYTES, -(-size // BATCHES)))
+    stream = tables.record_file_stream(spark, f"{folder}/records", max_bytes_per_trigger=limit)
     attempts = ["first", "second"] if replay else ["first"]
     for attempt in attempts:
         # A new checkpoint delivers every record again; the ledger must not change.

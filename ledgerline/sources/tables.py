@@ -47,6 +47,21 @@ def record_file_stream(
     return reader.parquet(path)
 
 
+def arrive_in_order(spark: SparkSession, path: str) -> int:
+    """Let a file stream deliver the files of a folder in the order of their names; returns their bytes.
+
+    A file stream goes by the time of last change, and tasks that write side by side end in any order.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = [file for file in store.listStatus(folder) if file.getPath().getName().startswith("part-")]
+    files.sort(key=lambda file: file.getPath().getName())
+    newest = max((file.getModificationTime() for file in files), default=0)
+    for place, file in enumerate(files, 1 - len(files)):
+        store.setTimes(file.getPath(), newest + place, -1)
+    return sum(file.getLen() for file in files)
+
+
 def parquet_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A stored table under its declared schema; nothing is inferred."""
     return spark.read.schema(schema).parquet(path)

@@ -181,6 +181,7 @@ def persist_batch(
     """
     ledger.check_owner(token)
     decoded = decode(batch, job.family).persist()
+    decoded.count()  # stages that run side by side would each decode what the others have not finished
     ids = decoded.filter(F.col("error_type").isNull()).select("event_id")
     seen = ledger.seen(ids, job.consumer_group, query_id, batch_id).persist()
     try:

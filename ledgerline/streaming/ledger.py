@@ -189,9 +189,10 @@ class Ledger:
     def seen(self, ids: DataFrame, consumer_group: str, query_id: str, batch_id: int) -> DataFrame:
         """(event_id, digest) of those ids that have a marker of the group from other batches.
 
-        The batch's ids are shuffled to the buckets of the stored markers and hashed there.
+        The batch's ids are dealt to exactly the buckets of the stored markers and hashed there. With
+        Spark's own number of partitions the markers, all of them in every batch, would be dealt anew.
         """
-        wanted = ids.select("event_id").distinct().hint("shuffle_hash")
+        wanted = ids.select("event_id").repartition(self._bucket_count(), "event_id").distinct().hint("shuffle_hash")
         earlier = (F.col("query_id") != query_id) | (F.col("batch_id") < batch_id)
 
         def met(markers: DataFrame) -> DataFrame:

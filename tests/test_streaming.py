@@ -250,6 +250,16 @@ def test_stored_markers_are_neither_shuffled_nor_sorted(spark, tmp_path):
     assert "Sort [" not in stored[stored.rindex("ShuffledHashJoin") :]
 
 
+def test_more_partitions_than_buckets_leave_the_stored_markers_in_place(spark, tmp_path):
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "16")  # four times the buckets
+    try:
+        test_stored_markers_are_neither_shuffled_nor_sorted(spark, tmp_path)
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_a_conflict_with_an_earlier_batch_is_a_dead_letter(folding):
     logs = folding
     logs.send(access(1, 0, ms=10), access(2, 1))
@@ -420,3 +430,18 @@ def test_dead_letters_of_bounded_batches_equal_those_of_one(spark, monkeypatch):
     found = all_queries()["stream_access_dead_letters"](spark, "/root/testdata/sf0.001")
     plain = all_queries()["ingest_access_dead_letters"](spark, "/root/testdata/sf0.001")
     assert values(found) == values(plain)
+
+
+@pytest.mark.parametrize("streamed, plain", [
+    ("stream_log_metrics_minute", "ingest_log_metrics_minute"), ("stream_valid_orders", "ingest_valid_orders"),
+])
+def test_streams_of_many_batches_equal_one_batch(spark, monkeypatch, streamed, plain):
+    """A reused id keeps its first coordinate however the records are cut into batches."""
+    batches, persist = [], ingest.persist_batch
+    monkeypatch.setattr(ingest, "persist_batch", lambda *given, **names: batches.append(given[1]) or persist(*given, **names))
+    monkeypatch.setattr(queries, "BATCH_BYTES", 1)  # a file a batch
+    monkeypatch.setattr(queries, "FILE_RECORDS", 250)
+    found = all_queries()[streamed](spark, "/root/testdata/sf0.001")
+    wanted = all_queries()[plain](spark, "/root/testdata/sf0.001")
+    assert values(found) == values(wanted.select(*found.columns))
+    assert max(batches) >= 3
