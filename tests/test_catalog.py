@@ -1,6 +1,7 @@
 """Contract comparison, lineage, cost policy, assets and scrubbing."""
 
 import random
+import time
 from datetime import datetime
 
 import pytest
@@ -379,6 +380,20 @@ def test_walks_expand_no_node_that_has_leaves_only(spark, monkeypatch):
     assert all(frame.count() for frame in written)
 
 
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    def files():
+        disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        found = disk.getAllFiles()
+        return {name for i in range(found.size()) if (name := found.apply(i).getName()).startswith("shuffle_")}
+
+    before = files()
+    assert len(stored(spark.range(1000).groupBy(F.col("id") % 7).count()).collect()) == 7
+    deadline = time.time() + 20
+    while (left := {name for name in files() - before if name.endswith(".data")}) and time.time() < deadline:
+        time.sleep(0.2)
+    assert not left
+
+
 def test_partitions_at_the_starts_follow_from_the_listed_nodes(spark, monkeypatch):
     """Lists are small to shuffle however many rows they spread to."""
     monkeypatch.setattr(lineage, "ROWS", 100)
